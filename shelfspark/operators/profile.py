@@ -244,13 +244,14 @@ def missing_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     percentages use ``try_divide`` so an empty input gives null, not an error.
     """
     columns = list(columns or df.columns)
-    any_missing = None
-    aggs = []
-    for i, col in enumerate(columns):
-        m = _is_missing(df, col)
-        any_missing = m if any_missing is None else (any_missing | m)
-        aggs.append(F.count_if(m).alias(f"_m{i}"))
-    wide = df.agg(F.count(F.lit(1)).alias("_total"), F.count_if(~any_missing).alias("_complete"), *aggs)
+    flags = [_is_missing(df, col).cast("int") for col in columns]
+    # "complete" = the missing flags sum to 0; an integer sum keeps Catalyst's
+    # boolean simplification from expanding a wide OR over inlined expressions.
+    n_missing_in_row = flags[0]
+    for f in flags[1:]:
+        n_missing_in_row = n_missing_in_row + f
+    aggs = [F.sum(f).cast("bigint").alias(f"_m{i}") for i, f in enumerate(flags)]
+    wide = df.agg(F.count(F.lit(1)).alias("_total"), F.count_if(n_missing_in_row == 0).alias("_complete"), *aggs)
     pct = lambda x: round_half_up(F.try_divide(x.cast("double") * F.lit(100.0), F.col("_total").cast("double")))
     rows = F.array(*[F.struct(F.lit(col).alias("column"), F.col(f"_m{i}").alias("n_missing"))
                      for i, col in enumerate(columns)])

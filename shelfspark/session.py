@@ -22,6 +22,7 @@ _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "true",
+    "spark.driver.memory": "12g",
 }
 
 
