@@ -29,3 +29,25 @@ def safe_ratio(num: Column, den: Column) -> Column:
 def parse_double(c: Column) -> Column:
     """Strict text → double: null when the text is not a plain number."""
     return F.when(c.rlike(NUMERIC_TEXT), F.try_cast(F.trim(c), "double"))
+
+
+def format_fixed(c: Column, digits: int, pattern: str = "%s") -> Column:
+    """``pattern`` with ``%s`` replaced by ``c`` printed with ``digits`` decimals.
+
+    Rounds the *exact binary value* to nearest, ties to even — what Python's
+    and C's ``%.{d}f`` print.  ``format_string`` alone rounds the shortest
+    decimal text half-up (7418.625 → .63, Python → .62).  The product
+    x·10^d is made error-free with Dekker's split, so a product that rounds
+    onto a .5 boundary is resolved by the sign of its rounding error.
+    """
+    s = F.lit(float(10 ** digits))
+    x = c.cast("double")
+    p = x * s
+    hi = F.lit(134217729.0) * x
+    xh = hi - (hi - x)
+    xl = x - xh
+    err = (xh * s - p) + xl * s
+    fl = F.floor(p).cast("double")
+    tie = (p - fl) == F.lit(0.5)
+    r = F.when(tie & (err > 0), fl + F.lit(1.0)).when(tie & (err < 0), fl).otherwise(F.rint(p))
+    return F.format_string(pattern.replace("%s", f"%.{digits}f"), r / s)
