@@ -1,6 +1,6 @@
 """Registered queries (``QUERIES``) and their DuckDB oracle SQL (``ORACLES``)."""
 
-from shelfspark.plans import insight_queries, profile_queries, text_queries  # noqa: F401  (registration)
+from shelfspark.plans import drift_queries, insight_queries, profile_queries, text_queries  # noqa: F401
 from shelfspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
