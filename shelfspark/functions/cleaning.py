@@ -26,24 +26,24 @@ def _first_number(c: Column | str) -> Column:
 
 def clean_rating(c: Column | str) -> Column:
     """First ``\\d+\\.?\\d*`` run as a double (sign is lost), else null."""
-    return F.try_cast(_first_number(c), "double")
+    return _first_number(c).try_cast("double")
 
 
 def clean_discount(c: Column | str) -> Column:
     """First numeric run as a double: ``'Save 30%'`` → 30.0."""
-    return F.try_cast(_first_number(c), "double")
+    return _first_number(c).try_cast("double")
 
 
 def clean_rating_count(c: Column | str) -> Column:
     """Delete commas and whitespace, then the first digit run as a long."""
     squeezed = F.regexp_replace(_col(c).cast("string"), r"[,\s]", "")
     digits = F.nullif(F.regexp_extract(squeezed, r"(\d+)", 1), F.lit(""))
-    return F.try_cast(digits, "bigint")
+    return digits.try_cast("bigint")
 
 
 def strip_non_numeric(c: Column | str) -> Column:
     """Keep only digits and dots, then parse (notebook price clean)."""
-    return F.try_cast(F.nullif(F.regexp_replace(_col(c).cast("string"), r"[^\d.]", ""), F.lit("")), "double")
+    return F.nullif(F.regexp_replace(_col(c).cast("string"), r"[^\d.]", ""), F.lit("")).try_cast("double")
 
 
 def strip_percent(c: Column | str) -> Column:

@@ -28,7 +28,7 @@ def safe_ratio(num: Column, den: Column) -> Column:
 
 def parse_double(c: Column) -> Column:
     """Strict text → double: null when the text is not a plain number."""
-    return F.when(c.rlike(NUMERIC_TEXT), F.try_cast(F.trim(c), "double"))
+    return F.when(c.rlike(NUMERIC_TEXT), F.trim(c).try_cast("double"))
 
 
 def format_fixed(c: Column, digits: int, pattern: str = "%s") -> Column:

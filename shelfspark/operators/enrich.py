@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.bins import price_tier
+from shelfspark.functions.numeric import round_half_up
 from shelfspark.functions.cleaning import (
     clean_discount,
     clean_price,
@@ -44,7 +45,7 @@ def derive_discount(df: DataFrame) -> DataFrame:
     if not {"actual_price", "discounted_price"} <= set(df.columns):
         return df
     a, d = F.col("actual_price"), F.col("discounted_price")
-    return df.withColumn("discount_percentage", F.round(F.try_divide(a - d, a) * F.lit(100.0), 2))
+    return df.withColumn("discount_percentage", round_half_up(F.try_divide(a - d, a) * F.lit(100.0), 2))
 
 
 def category_parts(c: Column) -> tuple[Column, Column, Column]:

@@ -1,6 +1,13 @@
 """Registered queries (``QUERIES``) and their DuckDB oracle SQL (``ORACLES``)."""
 
-from shelfspark.plans import drift_queries, insight_queries, model_queries, profile_queries, text_queries  # noqa: F401
+from shelfspark.plans import (  # noqa: F401  (registration)
+    drift_queries,
+    insight_queries,
+    model_queries,
+    profile_queries,
+    source_queries,
+    text_queries,
+)
 from shelfspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
