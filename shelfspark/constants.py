@@ -82,5 +82,8 @@ COLUMN_ALIASES = {
 # --- fixed values: extra stop words added for review term counts ---
 DOMAIN_STOPWORDS = ["product", "amazon", "bought", "use", "item"]
 
-# --- fixed values: observability histogram buckets (seconds / units) ---
-LATENCY_BUCKETS = [0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
+# --- fixed values: request-latency histogram buckets (seconds) ---
+LATENCY_BUCKETS = [0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
+# --- fixed values: alert rules (threshold, sustained minutes) ---
+ERROR_RATE_ALERT = (0.1, 5)
+P95_LATENCY_ALERT_SECONDS = (2.0, 5)

@@ -6,6 +6,7 @@ from shelfspark.plans import (  # noqa: F401  (registration)
     model_queries,
     profile_queries,
     source_queries,
+    telemetry_queries,
     text_queries,
 )
 from shelfspark.plans.registry import ORACLES, QUERIES
