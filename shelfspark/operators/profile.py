@@ -391,3 +391,24 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     miss = missing_values(df, cols).select(F.lit("missing").alias("section"), F.col("column").alias("key"),
                                            F.col("n_missing").cast("double").alias("value"))
     return counts.unionByName(top).unionByName(stats).unionByName(miss)
+
+
+# FIXED VALUES — category → base discount factor of the sample catalog; others get 5.
+CATEGORY_DISCOUNT_FACTOR = {"Electronics": 5, "Clothing": 10, "Home&Kitchen": 7, "Books": 3, "Sports": 8}
+
+
+def top_products(df: DataFrame, by: str = "rating", n: int = 10, category: str | None = None,
+                 order: Sequence[str] = ("product_id", "order_key", "line_number", "supp_key")) -> DataFrame:
+    """``n`` rows with the largest ``by`` (whitelisted metric), optional main
+    category; id, name, category and metrics rounded to 2 dp."""
+    from shelfspark.constants import TOP_PRODUCT_METRICS
+    if by not in TOP_PRODUCT_METRICS:
+        raise ValueError(f"by must be one of {TOP_PRODUCT_METRICS}")
+    if not 1 <= n <= 100:
+        raise ValueError("n must be within [1, 100]")
+    src = df.where(F.col("main_category") == F.lit(category)) if category is not None else df
+    ties = [c for c in order if c in df.columns]
+    top = src.orderBy(F.col(by).desc_nulls_last(), *ties).limit(n)
+    return top.select("product_id", "product_name", "main_category",
+                      *[round_half_up(c).alias(c) for c in ("rating", "actual_price", "discount_percentage")],
+                      "rating_count")

@@ -265,3 +265,67 @@ def q_fill_missing(spark, sf_dir):
     df = fill_missing(enrich_catalog(catalog_view(spark, sf_dir)))
     return df.groupBy("main_category").agg(F.sum("rating_count").cast("bigint").alias("rating_count"),
                                            F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- explanations
+
+
+def _local(spark, sf_dir):
+    from shelfspark.operators.explain import shap_local
+    model, prep, _, path = get_model(spark, sf_dir)
+    feats = M.transform_features(model_frame(spark, sf_dir), prep)
+    return shap_local(feats, model, f"{path}/model", prep.feature_names)
+
+
+@query("shap_local")
+def q_shap_local(spark, sf_dir):
+    """Per-product contributions; base + Σ contributions = raw score."""
+    return _local(spark, sf_dir)
+
+
+@query("sort_contributions")
+def q_sort_contributions(spark, sf_dir):
+    loc = _local(spark, sf_dir)
+    return loc.select("product_id", F.posexplode("contributions").alias("pos", "c")).select(
+        "product_id", (F.col("pos") + 1).alias("rank"), F.col("c.feature_name").alias("feature_name"),
+        F.col("c.shap_value").alias("shap_value"))
+
+
+@query("shap_global")
+def q_shap_global(spark, sf_dir):
+    from shelfspark.operators.explain import shap_global
+    return shap_global(_local(spark, sf_dir))
+
+
+@query("explanation_summary")
+def q_explanation_summary(spark, sf_dir):
+    from shelfspark.operators.explain import explanation_summary
+    return explanation_summary(_local(spark, sf_dir)).select("product_id", "summary")
+
+
+@query("score_stream")
+def q_score_stream(spark, sf_dir):
+    """Order lines arriving as a file stream, joined to static parts, enriched
+    and scored with the saved model (stateless, append mode)."""
+    from shelfspark.streaming.telemetry_stream import run_to_table, table_stream
+    model, prep, _, _ = get_model(spark, sf_dir)
+    li = table_stream(spark, sf_dir, "lineitem")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    rows = li.join(part, li.l_partkey == part.p_partkey)
+    size_mod = F.col("p_size") % 3
+    actual = F.col("l_extendedprice") / F.lit(10.0)
+    disc = F.round(F.col("l_discount") * F.lit(700.0), 0)
+    cat = rows.select(
+        F.col("l_partkey").cast("string").alias("product_id"),
+        F.concat(F.col("p_name"), F.lit(" #"), F.col("l_partkey").cast("string")).alias("product_name"),
+        F.when(size_mod == 0, F.col("p_type")).when(size_mod == 1, F.concat_ws("|", "p_type", "p_brand"))
+         .otherwise(F.concat_ws("|", "p_type", "p_brand", "p_name")).alias("category"),
+        actual.alias("actual_price"), disc.alias("discount_percentage"),
+        (actual * (F.lit(1.0) - disc / F.lit(100.0))).alias("discounted_price"),
+        (F.lit(1.0) + ((F.col("l_partkey") * 7 + F.col("l_linenumber") * 3) % 41).cast("double") / 10.0).alias("rating"),
+        ((F.col("l_orderkey") * 13 + F.col("l_partkey")) % 50000).cast("bigint").alias("rating_count"),
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("review_id"))
+    scored = M.predict_batch(model, prep, enrich_catalog(cat))
+    out = run_to_table(scored.select("review_id", "product_id", "predicted_discount", "confidence"),
+                       "score_stream", mode="append")
+    return out

@@ -322,4 +322,31 @@ def q_full_summary(spark, sf_dir):
     return full_summary(enriched(spark, sf_dir))
 
 
-__all__ = ["F"]
+
+_TOP_COLS = ["product_id", "product_name", "main_category", "rating", "actual_price", "discount_percentage",
+             "rating_count"]
+
+
+@query("top_products", oracle=with_enriched(f"""SELECT product_id, product_name, main_category,
+    {R2('rating')} AS rating, {R2('actual_price')} AS actual_price, {R2('discount_percentage')} AS discount_percentage,
+    rating_count FROM enriched ORDER BY rating DESC NULLS LAST, product_id, order_key, line_number, supp_key LIMIT 10"""))
+def q_top_products(spark, sf_dir):
+    return P.top_products(enriched(spark, sf_dir), "rating", 10)
+
+
+@query("sort_bins", oracle=_hist_query(
+    [0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 101],
+    ["0-10%", "10-20%", "20-30%", "30-40%", "40-50%", "50-60%", "60-70%", "70-80%", "80-90%", "90-100%"],
+    "discount_percentage"))
+def q_sort_bins(spark, sf_dir):
+    """Histogram rows in bin order (not count order)."""
+    return P.discount_histogram(enriched(spark, sf_dir)).orderBy("bin_no")
+
+
+@query("dict_map_join", oracle=with_enriched("""SELECT main_category, count(*) AS n,
+    CASE main_category WHEN 'Electronics' THEN 5 WHEN 'Clothing' THEN 10 WHEN 'Home&Kitchen' THEN 7
+         WHEN 'Books' THEN 3 WHEN 'Sports' THEN 8 ELSE 5 END AS category_factor FROM enriched GROUP BY 1"""))
+def q_dict_map_join(spark, sf_dir):
+    from shelfspark.operators.enrich import map_lookup
+    df = enriched(spark, sf_dir).groupBy("main_category").agg(F.count(F.lit(1)).alias("n"))
+    return map_lookup(df, "main_category", P.CATEGORY_DISCOUNT_FACTOR, 5, "category_factor")
