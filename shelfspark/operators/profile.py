@@ -71,6 +71,8 @@ def numeric_stats(
 
     All columns are aggregated in one pass over ``df`` (nulls ignored).
     """
+    # project first: the wide aggregate then resolves against a narrow input
+    df = df.select(*[F.col(c) for c in columns])
     aggs: list[Column] = []
     for i, col in enumerate(columns):
         c = F.col(col)
@@ -244,6 +246,7 @@ def missing_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     percentages use ``try_divide`` so an empty input gives null, not an error.
     """
     columns = list(columns or df.columns)
+    df = df.select(*[F.col(c) for c in columns])
     flags = [_is_missing(df, col).cast("int") for col in columns]
     # "complete" = the missing flags sum to 0; an integer sum keeps Catalyst's
     # boolean simplification from expanding a wide OR over inlined expressions.
@@ -273,33 +276,34 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = CORRELATION_COLUMNS,
                        digits: int = 3) -> DataFrame:
-    """Pairwise-complete Pearson r for every pair, in one aggregate pass.
-
-    r = covar_pop(a,b) / (stddev_pop(a | b present) * stddev_pop(b | a present));
-    a constant column gives null (``corr`` would fail with divide-by-zero under
-    ANSI).  Each unordered pair is computed once and mirrored.
+    """Pairwise-complete Pearson r for every column pair.
+
+    Long form: each row emits one (pair, a, b) entry per unordered pair whose
+    two values are present; ``groupBy(pair)`` then runs three numerically
+    stable built-ins, r = covar_pop(a, b) / (stddev_pop(a) · stddev_pop(b)).
+    The partial aggregate leaves at most #pairs rows per task, so the shuffle
+    is tiny at any scale and the generated code stays small.  A constant
+    column gives null (``corr`` would fail with divide-by-zero under ANSI).
+    The matrix is mirrored from the unordered pairs.
     """
     cols = [c for c in columns if c in df.columns]
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    aggs = []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            ca, cb = F.col(a).cast("double"), F.col(b).cast("double")
-            sa = F.stddev_pop(F.when(cb.isNotNull(), ca))
-            sb = F.stddev_pop(F.when(ca.isNotNull(), cb))
-            aggs.append(F.try_divide(F.covar_pop(ca, cb), sa * sb).alias(f"_r{i}_{j}"))
-    wide = df.agg(*aggs)
-    structs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            key = f"_r{min(i, j)}_{max(i, j)}"
-            r = F.when(F.lit(i == j) & F.col(key).isNotNull(), F.lit(1.0)).otherwise(
-                F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(key))))
-            structs.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                                    round_half_up(r, digits).alias("r")))
-    return wide.select(F.inline(F.array(*structs)))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(cols[i]).alias("a"),
+                                 F.col(cols[j]).alias("b")) for i, j in pairs])
+    long = (src.select(F.inline(entries))
+               .where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b")))
+    stats = long.groupBy("i", "j").agg(
+        F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"))
+    grid = df.sparkSession.createDataFrame(
+        [(i, j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)],
+        "gi int, gj int, column_a string, column_b string")
+    joined = grid.join(stats, (F.least("gi", "gj") == F.col("i")) & (F.greatest("gi", "gj") == F.col("j")), "left")
+    r = F.when((F.col("gi") == F.col("gj")) & F.col("r").isNotNull(), F.lit(1.0)).otherwise(
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))))
+    return joined.select("column_a", "column_b", round_half_up(r, digits).alias("r"))
 
 
 def target_correlations(df: DataFrame, target: str = TARGET,
