@@ -73,14 +73,27 @@ def numeric_stats(
     """
     # project first: the wide aggregate then resolves against a narrow input
     df = df.select(*[F.col(c) for c in columns])
+    # every quantile of a column (median included) comes from ONE percentile
+    # aggregate over an array of levels: one value→count buffer per column
+    levels = sorted(set(percentiles) | ({0.5} if "median" in stats else set()))
     aggs: list[Column] = []
     for i, col in enumerate(columns):
         c = F.col(col)
         for s in stats:
-            aggs.append(_stat(c, s, exact).alias(f"_{i}_{s}"))
-        for q in percentiles:
-            aggs.append(_quantile(c, q, exact).alias(f"_{i}_p{int(round(q * 100))}"))
+            if s != "median":
+                aggs.append(_stat(c, s, exact).alias(f"_{i}_{s}"))
+        if levels:
+            arr = F.array(*[F.lit(q) for q in levels])
+            qs = (F.percentile(c, arr) if exact else F.percentile_approx(c, arr, 100000))
+            aggs.append(qs.alias(f"_{i}_qs"))
     wide = df.agg(*aggs)
+    for i in range(len(columns)):
+        if levels:
+            picks = {f"_{i}_p{int(round(q * 100))}": F.element_at(f"_{i}_qs", k + 1).cast("double")
+                     for k, q in enumerate(levels)}
+            if "median" in stats:
+                picks[f"_{i}_median"] = F.element_at(f"_{i}_qs", levels.index(0.5) + 1).cast("double")
+            wide = wide.withColumns(picks)
     names = list(stats) + [f"p{int(round(q * 100))}" for q in percentiles]
     rnd = (lambda x: round_half_up(x, digits)) if digits is not None else (lambda x: x)
     rows = F.array(*[
@@ -355,9 +368,11 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"_{i}_count"), F.avg(x).alias(f"_{i}_mean"),
                  F.stddev_samp(x).alias(f"_{i}_std"), F.min(x).alias(f"_{i}_min"),
-                 F.percentile(x, F.lit(0.25)).alias(f"_{i}_p25"), F.percentile(x, F.lit(0.5)).alias(f"_{i}_p50"),
-                 F.percentile(x, F.lit(0.75)).alias(f"_{i}_p75"), F.max(x).alias(f"_{i}_max")]
+                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{i}_q"),
+                 F.max(x).alias(f"_{i}_max")]
     wide = df.agg(*aggs)
+    wide = wide.withColumns({f"_{i}_p{p}": F.element_at(f"_{i}_q", k + 1)
+                             for i in range(len(columns)) for k, p in enumerate((25, 50, 75))})
     rows = F.array(*[F.struct(
         F.lit(c).alias("column"), F.col(f"_{i}_count").alias("count"),
         *[round_half_up(F.col(f"_{i}_{s}")).alias(s) for s in ("mean", "std", "min", "p25", "p50", "p75", "max")])

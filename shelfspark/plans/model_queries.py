@@ -26,8 +26,9 @@ _MODELS: dict[str, tuple] = {}
 
 def model_frame(spark, sf_dir):
     """One row per product (its latest listing) with every model feature."""
+    from shelfspark.session import materialized
     cat = enrich_catalog(catalog_view(spark, sf_dir, texts=True))
-    return add_sentiment(latest_per_key(cat, "product_id"), product_texts(spark, sf_dir))
+    return materialized(add_sentiment(latest_per_key(cat, "product_id"), product_texts(spark, sf_dir)), "products_model")
 
 
 def get_model(spark, sf_dir):

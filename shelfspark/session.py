@@ -78,3 +78,26 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     if "://" not in path:
         os.makedirs(os.path.dirname(path), exist_ok=True)
     return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem (any scheme)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def materialized(df, name: str):
+    """Write ``df`` once as Parquet under the shared folder and read it back.
+
+    The table name carries the plan's ``semanticHash()``: the same plan over
+    the same inputs reuses the table, a changed plan gets a new one.  Only a
+    committed write (``_SUCCESS``) is reused.  Cuts lineage, survives executor
+    loss, and lets later queries read just the columns they need.
+    """
+    spark = df.sparkSession
+    h = df.semanticHash() & 0xFFFFFFFF
+    path = shared_dir(spark, "tables", f"{name}-{h:08x}")
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
