@@ -16,11 +16,11 @@ def right_closed_bin(c: Column, edges: Sequence[float], labels: Sequence[str]) -
     ``bin_no`` is 0-based and keeps bin order, so an ordered output and empty
     bins survive.
     """
-    no = None
+    no = label = None
     for i in range(len(labels)):
         cond = (c > F.lit(edges[i])) & (c <= F.lit(edges[i + 1]))
         no = F.when(cond, F.lit(i)) if no is None else no.when(cond, F.lit(i))
-    label = F.element_at(F.array(*[F.lit(x) for x in labels]), no + F.lit(1))
+        label = F.when(cond, F.lit(labels[i])) if label is None else label.when(cond, F.lit(labels[i]))
     return no, label
 
 

@@ -314,8 +314,10 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] = CORRELATION_COLUM
         [(i, j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)],
         "gi int, gj int, column_a string, column_b string")
     joined = grid.join(stats, (F.least("gi", "gj") == F.col("i")) & (F.greatest("gi", "gj") == F.col("j")), "left")
-    r = F.when((F.col("gi") == F.col("gj")) & F.col("r").isNotNull(), F.lit(1.0)).otherwise(
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))))
+    # least/greatest skip nulls, so a null r must be kept null explicitly
+    r = (F.when(F.col("r").isNull(), F.lit(None).cast("double"))
+          .when(F.col("gi") == F.col("gj"), F.lit(1.0))
+          .otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
     return joined.select("column_a", "column_b", round_half_up(r, digits).alias("r"))
 
 
