@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from shelfspark.constants import NB_DISCOUNT_EDGES, NB_DISCOUNT_LABELS
 from shelfspark.functions.bins import bins_frame, right_closed_bin
 from shelfspark.functions.numeric import round_half_up
+from shelfspark.session import ensure_checkpoint_dir
 from shelfspark.sources.catalog import ROW_ORDER
 
 REV = "discounted_price"
@@ -164,7 +165,8 @@ def ad_priority(df: DataFrame, k: int = 10) -> DataFrame:
     return top_k(agg, "ad_score", "product_name", k)
 
 
-def stock_risk(df: DataFrame, k: int = 10, low_q: float = 0.25, high_q: float = 0.75) -> DataFrame:
+def stock_risk(df: DataFrame, k: int = 10, low_q: float = 0.25, high_q: float = 0.75,
+               exact: bool = True) -> DataFrame:
     """Products whose revenue is below the ``low_q`` quantile of product
     revenue while their rating count is above the ``high_q`` quantile.
 
@@ -173,8 +175,12 @@ def stock_risk(df: DataFrame, k: int = 10, low_q: float = 0.25, high_q: float =
     """
     stats = df.groupBy("product_name").agg(F.sum(REV).alias("revenue"),
                                            F.sum("rating_count").cast("bigint").alias("rating_count"))
-    rev_q = stats.select(F.percentile("revenue", F.lit(low_q))).scalar()
-    cnt_q = stats.select(F.percentile(F.col("rating_count").cast("double"), F.lit(high_q))).scalar()
+    # exact quantiles merge one value→count buffer per threshold in the final
+    # task; with very many products pass exact=False (bounded sketch)
+    q = (lambda c, p: F.percentile(c, F.lit(p))) if exact else \
+        (lambda c, p: F.percentile_approx(c, F.lit(p), 100000).cast("double"))
+    rev_q = stats.select(q(F.col("revenue"), low_q)).scalar()
+    cnt_q = stats.select(q(F.col("rating_count").cast("double"), high_q)).scalar()
     risky = stats.where((F.col("revenue") < rev_q) & (F.col("rating_count").cast("double") > cnt_q))
     out = risky.select("product_name", round_half_up(F.col("revenue")).alias("revenue"), "rating_count")
     return top_k(out, "rating_count", "product_name", k)
@@ -204,8 +210,11 @@ def bundle_pairs(df: DataFrame, k: int = 10, user: str = "user_id", item: str =
     """
     pos = F.struct(*[F.col(c) for c in order])
     rows = df.select(F.col(user).alias("u"), F.col(item).alias("i"), pos.alias("pos")).where(F.col("u").isNotNull())
-    cui = rows.groupBy("u", "i").agg(F.count(F.lit(1)).alias("c"))
-    nu = rows.groupBy("u").agg(F.count(F.lit(1)).alias("nu"))
+    # (user, item) counts feed every later step: computed once, lineage cut
+    # with a reliable checkpoint in the shared folder
+    ensure_checkpoint_dir(df.sparkSession)
+    cui = rows.groupBy("u", "i").agg(F.count(F.lit(1)).alias("c")).checkpoint(eager=True)
+    nu = cui.groupBy("u").agg(F.sum("c").alias("nu"))
     ub = (cui.join(nu, "u").groupBy("i")
              .agg(F.sum(F.col("c") * (F.col("nu") - F.lit(1))).alias("ub")))
 
