@@ -14,10 +14,10 @@ def enriched(spark: SparkSession, sf_dir: str, users: bool = False) -> DataFrame
     """Cleaned + enriched catalog with per-product text features (a shared,
     materialised table: many queries read it, each only its own columns)."""
     return materialized(enrich_catalog(catalog_view(spark, sf_dir, users=users, texts=True)),
-                        "enriched_users" if users else "enriched")
+                        "enriched_users" if users else "enriched", sf_dir)
 
 
 def questions_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Input of the business questions: one row per review, rating_count filled
     (materialised once: the join and the de-duplication run once)."""
-    return materialized(notebook_frame(catalog_view(spark, sf_dir, users=True)), "questions")
+    return materialized(notebook_frame(catalog_view(spark, sf_dir, users=True)), "questions", sf_dir)

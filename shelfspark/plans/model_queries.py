@@ -28,14 +28,16 @@ def model_frame(spark, sf_dir):
     """One row per product (its latest listing) with every model feature."""
     from shelfspark.session import materialized
     cat = enrich_catalog(catalog_view(spark, sf_dir, texts=True))
-    return materialized(add_sentiment(latest_per_key(cat, "product_id"), product_texts(spark, sf_dir)), "products_model")
+    return materialized(add_sentiment(latest_per_key(cat, "product_id"), product_texts(spark, sf_dir)), "products_model", sf_dir)
 
 
 def get_model(spark, sf_dir):
     """(model, prep, metrics, path) — loaded from the shared store, trained if absent."""
     if sf_dir in _MODELS:
         return _MODELS[sf_dir]
-    name = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    from shelfspark.session import _FINGERPRINT, _input_signature
+    # a model belongs to (inputs, code): new data or new code trains a new one
+    name = hashlib.sha1("|".join([sf_dir, _input_signature(spark, sf_dir), _FINGERPRINT]).encode()).hexdigest()[:16]
     store = M.ModelStore(spark, M.default_store_root(spark, name))
     if store.latest() is None:
         model, prep, metrics = M.fit_and_evaluate(model_frame(spark, sf_dir))

@@ -7,6 +7,7 @@ happens in local tests.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -87,17 +88,49 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
-def materialized(df, name: str):
+def _package_fingerprint() -> str:
+    """sha1 over this package's source: a code change names new tables."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    h = hashlib.sha1()
+    for dirpath, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                full = os.path.join(dirpath, f)
+                h.update(os.path.relpath(full, root).encode())
+                with open(full, "rb") as fh:
+                    h.update(fh.read())
+    return h.hexdigest()
+
+
+_FINGERPRINT = _package_fingerprint()
+
+
+def _input_signature(spark: SparkSession, input_dir: str) -> str:
+    """Names, sizes and modification times of the files below ``input_dir``."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(input_dir)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    it = fs.listFiles(p, True)
+    parts = []
+    while it.hasNext():
+        st = it.next()
+        parts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
+    return ",".join(sorted(parts))
+
+
+def materialized(df, name: str, input_dir: str):
     """Write ``df`` once as Parquet under the shared folder and read it back.
 
-    The table name carries the plan's ``semanticHash()``: the same plan over
-    the same inputs reuses the table, a changed plan gets a new one.  Only a
-    committed write (``_SUCCESS``) is reused.  Cuts lineage, survives executor
-    loss, and lets later queries read just the columns they need.
+    The table name carries a fingerprint of (name, input folder listing with
+    sizes and mtimes, package source): the same code over the same inputs
+    reuses the table, new inputs or new code get a new one.  Only a committed
+    write (``_SUCCESS``) is reused.  Cuts lineage, survives executor loss, and
+    later queries read just the columns they need.
     """
     spark = df.sparkSession
-    h = df.semanticHash() & 0xFFFFFFFF
-    path = shared_dir(spark, "tables", f"{name}-{h:08x}")
+    key = hashlib.sha1("|".join([name, input_dir, _input_signature(spark, input_dir),
+                                 _FINGERPRINT]).encode()).hexdigest()[:16]
+    path = shared_dir(spark, "tables", f"{name}-{key}")
     if not path_exists(spark, f"{path}/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
