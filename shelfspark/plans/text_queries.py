@@ -171,9 +171,10 @@ def q_count_reviews(spark, sf_dir):
 
 def products(spark, sf_dir):
     """Last catalog row per product with its text (text joined per product)."""
+    from shelfspark.session import materialized
     cat = enrich_catalog(catalog_view(spark, sf_dir))
     last = RAG.latest_per_key(cat, "product_id")
-    return last.join(product_texts(spark, sf_dir), "part_key", "left")
+    return materialized(last.join(product_texts(spark, sf_dir), "part_key", "left"), "products_text", sf_dir)
 
 
 _UUID_SQL = """lower(concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3),
