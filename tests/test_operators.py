@@ -139,3 +139,17 @@ def test_term_counts_broadcast_stopwords(spark, sf_small):
     df = term_counts(read_table(spark, sf_small, "documents"), "doc_id", "text")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("kind", ["normal", "dups", "skew"])
+def test_exact_quantiles_refined(spark, kind):
+    from shelfspark.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(5)
+    data = {"normal": rng.normal(0, 1, 20000),
+            "dups": rng.integers(0, 30, 20000).astype(float),
+            "skew": np.concatenate([np.full(15000, 3.0), rng.exponential(5, 5000)])}[kind]
+    df = spark.createDataFrame([(float(v),) for v in data], "x double")
+    lv = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    got = exact_quantiles(df, "x", lv, accuracy=500, max_collect=300)
+    want = df.agg(F.percentile("x", F.array(*[F.lit(q) for q in lv]))).first()[0]
+    assert got == pytest.approx(want, abs=1e-12)
