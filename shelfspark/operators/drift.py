@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.session import ensure_checkpoint_dir
 from shelfspark.constants import (
     CV_TARGET,
     DEFAULT_DRIFT_THRESHOLD,
@@ -86,10 +87,12 @@ def psi_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str], n_bins: in
     both = r.unionByName(c).join(F.broadcast(rng), "feature")  # one row per feature
     binned = both.select("feature", "side",
                          histogram_bins(F.col("value"), F.col("first"), F.col("last"), n_bins).alias("bin"))
-    totals = binned.groupBy("feature").agg(F.count_if(F.col("side") == 0).alias("n_ref"),
-                                           F.count_if(F.col("side") == 1).alias("n_cur"))
-    counts = (binned.where(F.col("bin").isNotNull()).groupBy("feature", "bin")
-                    .agg(F.count_if(F.col("side") == 0).alias("rc"), F.count_if(F.col("side") == 1).alias("cc")))
+    # one aggregate (≤ features × (bins + 1) rows): per-bin counts plus the
+    # out-of-range (null bin) group; totals are derived from it, no second scan
+    per_bin = (binned.groupBy("feature", "bin")
+                     .agg(F.count_if(F.col("side") == 0).alias("rc"), F.count_if(F.col("side") == 1).alias("cc")))
+    totals = per_bin.groupBy("feature").agg(F.sum("rc").alias("n_ref"), F.sum("cc").alias("n_cur"))
+    counts = per_bin.where(F.col("bin").isNotNull())
     grid = totals.select("feature", "n_ref", "n_cur", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     full = grid.join(counts, ["feature", "bin"], "left").select(
         "feature", "bin",
@@ -133,8 +136,11 @@ def ks_two_sample(ref: DataFrame, cur: DataFrame, columns: Sequence[str],
     r = long_form(ref, columns).withColumn("side", F.lit(0))
     c = long_form(cur, columns).withColumn("side", F.lit(1))
     allv = r.unionByName(c)
+    # counts per distinct (feature, value): every later step reads this table,
+    # so it is computed once and its lineage cut (reliable checkpoint)
+    ensure_checkpoint_dir(ref.sparkSession)
     cnt = allv.groupBy("feature", "value").agg(F.count_if(F.col("side") == 0).alias("n1"),
-                                               F.count_if(F.col("side") == 1).alias("n2"))
+                                               F.count_if(F.col("side") == 1).alias("n2")).checkpoint(eager=True)
     levels = [i / buckets for i in range(1, buckets)]
     splits = cnt.groupBy("feature").agg(
         F.percentile_approx("value", F.array(*[F.lit(x) for x in levels]), 10000).alias("_sp"),
