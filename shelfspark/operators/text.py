@@ -76,16 +76,30 @@ def top_terms(term_df: DataFrame, k: int = 20) -> DataFrame:
     return term_df.orderBy(F.desc("n"), "term").limit(k)
 
 
-def review_terms(rows: DataFrame, texts: DataFrame, cond: Column, k: int = 20,
-                 key: str = "part_key") -> DataFrame:
+def document_term_counts(texts: DataFrame, key: str = "part_key", text_col: str = "review_content",
+                         stopwords: DataFrame | None = None) -> DataFrame:
+    """(key, term, n): occurrences of each kept term in each text — the
+    tokenisation done once per text, reusable by every question."""
+    toks = document_tokens(texts, key, text_col).where(~is_number_token(F.col("term")))
+    stop = stopwords if stopwords is not None else stopword_table(texts.sparkSession)
+    kept = toks.join(F.broadcast(stop), "term", "left_anti")
+    return kept.groupBy(F.col("id").alias(key), "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def review_terms(rows: DataFrame, texts: DataFrame | None, cond: Column, k: int = 20,
+                 key: str = "part_key", doc_terms: DataFrame | None = None) -> DataFrame:
     """Most frequent words in the review text of rows matching ``cond``.
 
-    ``rows`` are catalog rows (one per review), ``texts`` one text per ``key``.
-    Rows are counted per key first; each text is tokenised once and weighted.
+    ``rows`` are catalog rows (one per review), ``texts`` one text per ``key``
+    (or precomputed ``doc_terms`` from :func:`document_term_counts`).  Rows are
+    counted per key first, so a text shared by many rows is tokenised once and
+    weighted: Σ over keys of rows(key) × n(key, term).
     """
     weights = rows.where(cond).groupBy(key).agg(F.count(F.lit(1)).alias("w"))
-    docs = texts.join(weights, key)
-    return top_terms(term_counts(docs, key, "review_content", "w"), k)
+    dt = doc_terms if doc_terms is not None else document_term_counts(texts, key)
+    counts = (dt.join(weights, key)
+                .groupBy("term").agg(F.sum(F.col("w") * F.col("n")).cast("bigint").alias("n")))
+    return top_terms(counts, k)
 
 
 def sentiment_scores(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -45,14 +45,22 @@ WHERE NOT regexp_full_match(term, '[0-9]+') AND term NOT IN ({STOP_SQL})
 GROUP BY term ORDER BY n DESC, term LIMIT {k}""")
 
 
+def doc_terms(spark, sf_dir):
+    """Per-product term counts, tokenised once and shared by the term questions."""
+    from shelfspark.session import materialized
+    return materialized(T.document_term_counts(product_texts(spark, sf_dir)), "doc_terms", sf_dir)
+
+
 @query("negative_terms", oracle=_terms_sql("rating <= 2e0"))
 def q_negative_terms(spark, sf_dir):
-    return T.review_terms(questions_frame(spark, sf_dir), product_texts(spark, sf_dir), F.col("rating") <= 2)
+    return T.review_terms(questions_frame(spark, sf_dir), None, F.col("rating") <= 2,
+                          doc_terms=doc_terms(spark, sf_dir))
 
 
 @query("positive_terms", oracle=_terms_sql("rating >= 4e0"))
 def q_positive_terms(spark, sf_dir):
-    return T.review_terms(questions_frame(spark, sf_dir), product_texts(spark, sf_dir), F.col("rating") >= 4)
+    return T.review_terms(questions_frame(spark, sf_dir), None, F.col("rating") >= 4,
+                          doc_terms=doc_terms(spark, sf_dir))
 
 
 _DOC_TERMS = with_ctes(f"tk AS (SELECT unnest({_tok('text')}) AS term FROM documents)", f"""
