@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import digests, orc_tokens, packing
+from shelfspark.llm import bpe, digests, orc_tokens, packing
 from shelfspark.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,3 +45,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
     return packing.best_fit_pack(digests.with_ids_crc32(pieces).drop("n_ids"), capacity=2048).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_query
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded."""
+    ids = bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.decode_ids(ids, tokenizer_path()).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

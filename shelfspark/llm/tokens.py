@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 from tokenizers import Tokenizer
 
@@ -40,45 +41,55 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
-class _Words(dict):
-    """word -> its ids as little-endian 32-bit bytes; filled on demand, emptied when full."""
+class Remembered(dict):
+    """key -> value, made on demand; when full, the entries not used since the last time go."""
 
-    def __init__(self, tokenizer: Tokenizer, limit: int) -> None:
+    def __init__(self, make, limit: int) -> None:
         super().__init__()
-        self._tokenizer, self._model, self._limit = tokenizer, tokenizer.model, limit
-        self._letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
+        self._make, self._limit, self._older = make, limit, {}
 
-    def __missing__(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word) and "<|" not in word:
-            ids = []
-            for piece in _PIECES.findall(word.lower()):
-                if not piece.isascii():
-                    piece = piece.encode().decode("latin-1").translate(self._letters)
-                ids += [t.id for t in self._model.tokenize(piece)]
-        else:
-            ids = self._tokenizer.encode(word, add_special_tokens=False).ids
+    def __missing__(self, key):
+        value = self._older.get(key)
+        if value is None:
+            value = self._make(key)
         if len(self) >= self._limit:
+            self._older = dict(self)
             self.clear()
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(word) <= 64:
-            self[word] = out
-        return out
+        self[key] = value
+        return value
 
 
 class TextEncoder:
-    """Ids of whole texts; ``cache_words`` bounds the words kept per worker."""
+    """Ids of whole texts; ``cache_words`` bounds the words kept per worker (twice, in two generations)."""
 
     def __init__(self, tokenizer_json: str, cache_words: int = 400_000) -> None:
         check_word_bpe(tokenizer_json)
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        self._words = _Words(tokenizer, cache_words)
+        self._tokenizer = Tokenizer.from_str(tokenizer_json)
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        self._model = self._tokenizer.model
+        self._letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
+        self._pieces = Remembered(self._piece, cache_words // 2)
+        self._words = Remembered(self._word, cache_words)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids; null gives none."""
         return b"".join(map(self._words.__getitem__, split_words(text))) if text else b""
 
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        lower = word.lower()
+        if lower.isalpha():
+            if lower.isascii() or _PLAIN.fullmatch(word):
+                return self._pieces[lower]
+        elif _PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self._pieces.__getitem__, _PIECES.findall(lower)))
+        return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
 
 def check_word_bpe(tokenizer_json: str) -> None:
     """Raise unless the file has the normaliser and splitter that word-by-word encoding relies on."""
