@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, digests, orc_tokens, packing
+from shelfspark.llm import bpe, digests, orc_tokens, packing, url_rules
 from shelfspark.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,3 +55,41 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: The rules of the registered query: (host, path, verdict).
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@_query
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op4_url_rules"] = """
+WITH parts AS (
+  SELECT page_id,
+         CASE WHEN strpos(url, '://') > 0
+              THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*', 0),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN strpos(url, '://') > 0
+              THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+rules(rhost, rpath, verdict) AS (VALUES
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (
+  SELECT p.*, r.rhost, r.rpath, r.verdict,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rhost) DESC NULLS LAST,
+                            length(r.rpath) DESC) AS k
+  FROM parts p LEFT JOIN rules r
+    ON (p.host = r.rhost OR p.host LIKE '%.' || r.rhost) AND starts_with(p.path, r.rpath))
+SELECT page_id, host, path, rhost || rpath AS rule, coalesce(verdict, 'allow') AS verdict
+FROM fits WHERE k = 1
+"""
