@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, digests, orc_tokens, packing, url_rules
+from shelfspark.llm import bpe, digests, hilbert_ann, orc_tokens, packing, pivot_search, url_rules
 from shelfspark.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -93,3 +93,31 @@ fits AS (
 SELECT page_id, host, path, rhost || rpath AS rule, coalesce(verdict, 'allow') AS verdict
 FROM fits WHERE k = 1
 """
+
+
+@_query
+def op5_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every 50th vector."""
+    return pivot_search.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op5_pivot_top_k"] = """
+WITH ints AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@_query
+def op6_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty near neighbours of every 20th vector."""
+    return hilbert_ann.hilbert_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
