@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, digests, hilbert_ann, orc_tokens, packing, pivot_search, url_rules
+from shelfspark.llm import bpe, digests, hilbert_ann, html_content, orc_tokens, packing, pivot_search, url_rules
 from shelfspark.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -42,8 +42,10 @@ def op1_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
-    return packing.best_fit_pack(digests.with_ids_crc32(pieces).drop("n_ids"), capacity=2048).select(
+    pieces = packing.piece_step(spark, tokenizer_path(), capacity=2048, end_id=0)
+    return packing.best_fit_pack(
+        packing.texts_of(_table(spark, sf_dir, "documents")), capacity=2048,
+        steps=(pieces, digests.crc32_step(pieces.schema))).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -121,3 +123,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op6_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty near neighbours of every 20th vector."""
     return hilbert_ann.hilbert_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@_query
+def op8_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_content.extract_content(pages).select("page_id", "url", "text", "n_chars")
