@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, digests, hilbert_ann, html_content, orc_tokens, packing, pivot_search, url_rules
+from shelfspark.llm import bpe, digests, hilbert_ann, html_content, langid, orc_tokens, packing, pivot_search, url_rules
 from shelfspark.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -130,3 +130,17 @@ def op8_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_content.extract_content(pages).select("page_id", "url", "text", "n_chars")
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """The model of the registered query: learned from the rows that are not held out."""
+    return langid.train_language_model(docs.where(~langid.held_out(F.col("doc_id"))))
+
+
+@_query
+def op2_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text."""
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify_languages(
+        docs.withColumn("held_out", langid.held_out(F.col("doc_id"))), language_model(docs), keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
