@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, digests, hilbert_ann, html_content, langid, orc_tokens, packing, pivot_search, url_rules
+from shelfspark.llm import bpe, digests, hilbert_ann, html_content, langid, orc_tokens, packing, pivot_search, prob_minhash, url_rules
 from shelfspark.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -144,3 +144,9 @@ def op2_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify_languages(
         docs.withColumn("held_out", langid.held_out(F.col("doc_id"))), language_model(docs), keep=["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@_query
+def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return prob_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
