@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, digests, hilbert_ann, html_content, langid, orc_tokens, packing, pivot_search, prob_minhash, url_rules
+from shelfspark.llm import bpe, digests, hilbert_ann, html_content, langid, orc_tokens, packing, pivot_search, prob_minhash, suffix_dedup, url_rules
 from shelfspark.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -150,3 +150,12 @@ def op2_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return prob_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated 100-byte strings."""
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
