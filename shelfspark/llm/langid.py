@@ -68,7 +68,7 @@ def gram_counts(text: str) -> np.ndarray | None:
     counts, letters = np.zeros(1 << HASH_BITS), False
     for lo in range(0, len(text), _SLICE):
         codes = np.frombuffer(text[lo:lo + _SLICE].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
-        letter = ((codes >= 97) & (codes <= 122)) | (codes >= 0xC0)
+        letter = ((codes >= 97) & (codes <= 122)) | (codes >= 0xC0) | (codes == 0xAA) | (codes == 0xB5) | (codes == 0xBA)
         if not letter.any():
             continue
         beyond = letter & (codes >= 0x250)
@@ -194,6 +194,7 @@ def identify_languages(
     added = ("lang_pred", "score", "ambiguous")
     fields = [f for f in docs.schema.fields if f.name not in added and (keep is None or f.name in keep)]
     names = [f.name for f in fields]
+    read = "_text"
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                            T.StructField("ambiguous", T.BooleanType())])
 
@@ -203,7 +204,7 @@ def identify_languages(
                 b = batch.slice(lo, 1024)
                 margins = np.zeros((b.num_rows, model.codes.shape[1]))
                 found = np.zeros(b.num_rows, dtype=bool)
-                for i, text in enumerate(b.column(b.schema.get_field_index("_text"))):
+                for i, text in enumerate(b.column(b.schema.get_field_index(read))):
                     f = features(text.as_py()) if model.languages else None
                     if f is not None:
                         margins[i], found[i] = f @ model.weights + model.biases, True
@@ -215,7 +216,10 @@ def identify_languages(
                     [*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(pred, pa.string()),
                      pa.array(score), pa.array(lead < ambiguous_below)], names=[*names, *added])
 
-    return docs.withColumn("_text", F.col(text_column).cast("string")).select(*names, "_text").mapInArrow(identify, schema)
+    if text_column in names and isinstance(docs.schema[text_column].dataType, T.StringType):
+        read = text_column  # carried anyway: sent once
+        return docs.select(*names).mapInArrow(identify, schema)
+    return docs.withColumn(read, F.col(text_column).cast("string")).select(*names, read).mapInArrow(identify, schema)
 
 
 def held_out(doc_id: Column) -> Column:
