@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from shelfspark.session import shared_dir
 
@@ -47,6 +49,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class ArrowStep(NamedTuple):
+    """A function over record batches and the schema of what it gives."""
+
+    function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    schema: T.StructType
+
+
+def run_steps(df: DataFrame, *steps: ArrowStep) -> DataFrame:
+    """Apply steps one after another in one Python worker (one transfer in, one out)."""
+    functions = [s.function for s in steps]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in functions:
+            batches = f(batches)
+        return batches
+
+    return df.mapInArrow(run, steps[-1].schema) if steps else df
+
+
 def id_order(doc_id) -> tuple:
     """Sort key of a nullable id: null first."""
     return (doc_id is not None, doc_id if doc_id is not None else 0)

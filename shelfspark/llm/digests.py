@@ -10,14 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import list_buffers
+from shelfspark.llm.common import ArrowStep, list_buffers, run_steps
 
 
-def with_ids_crc32(df: DataFrame, column: str = "ids", keep: bool = False) -> DataFrame:
-    """Replace the id list by (n_ids long, ids_crc32 long); ``keep`` keeps the list too."""
-    others = [f for f in df.schema.fields if keep or f.name != column]
-    schema = T.StructType([*others, T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    names = [f.name for f in others]
+def crc32_step(schema: T.StructType, column: str = "ids") -> ArrowStep:
+    """Replace an id list by (n_ids long, ids_crc32 long)."""
+    kept = [f for f in schema.fields if f.name != column]
+    names = [f.name for f in kept]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -28,4 +27,9 @@ def with_ids_crc32(df: DataFrame, column: str = "ids", keep: bool = False) -> Da
                 [*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(sizes), pa.array(crc)],
                 names=[*names, "n_ids", "ids_crc32"])
 
-    return df.select(*dict.fromkeys([*names, column])).mapInArrow(digest, schema)
+    return ArrowStep(digest, T.StructType([*kept, T.StructField("n_ids", T.LongType()),
+                                           T.StructField("ids_crc32", T.LongType())]))
+
+
+def with_ids_crc32(df: DataFrame, column: str = "ids") -> DataFrame:
+    return run_steps(df, crc32_step(df.schema, column))

@@ -21,20 +21,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import chunked, int_lists, stored, string_values
+from shelfspark.llm.common import ArrowStep, chunked, int_lists, run_steps, stored, string_values
 from shelfspark.llm.tokens import read_tokenizer, worker_encoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids array<int>"
 _FLUSH_BYTES = 4 << 20
+_ADDED = ("_part", "_rank", "_base", "sequence_id", "offset")
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Ids of every whole text plus the end id, cut into pieces of at most ``capacity``."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+    return run_steps(texts_of(docs), piece_step(docs.sparkSession, tokenizer_path, capacity, end_id))
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def piece_step(spark: SparkSession, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> ArrowStep:
+    """``token_pieces`` over record batches of (doc_id, text)."""
+    spec = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,9 +64,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
             if rows:
                 yield _pieces(rows)
 
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(cut, PIECE_SCHEMA)
+    return ArrowStep(cut, T.StructType.fromDDL(PIECE_SCHEMA))
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
@@ -131,19 +139,24 @@ def plan_best_fit_decreasing(histogram: dict[int, int], capacity: int) -> np.nda
     return np.array(sorted(plan), dtype=np.int64).reshape(-1, 5)
 
 
-def best_fit_pack(items: DataFrame, capacity: int = 2048, length_column: str = "length") -> DataFrame:
-    """``items`` plus ``sequence_id`` and ``offset`` (gapless from 0 in every sequence)."""
+def best_fit_pack(
+    items: DataFrame, capacity: int = 2048, length_column: str = "length", steps: tuple[ArrowStep, ...] = ()
+) -> DataFrame:
+    """``items`` plus ``sequence_id`` and ``offset`` (gapless from 0 in every sequence).
+
+    ``steps`` make the items out of ``items`` first, in the Python worker that numbers them.
+    """
     spark = items.sparkSession
-    for name in ("_part", "_rank", "_base", "sequence_id", "offset"):
-        items = items.drop(name)
-    numbered = stored(_number(items, capacity, length_column), "pack_items")
+    made = T.StructType([f for f in (steps[-1].schema if steps else items.schema).fields if f.name not in _ADDED])
+    numbered = stored(
+        run_steps(items if steps else items.drop(*_ADDED), *steps, _number_step(made, capacity, length_column)), "pack_items")
     counts = numbered.groupBy("_part", length_column).agg(F.count("*").alias("n"))
     by_length = Window.partitionBy(length_column).orderBy("_part")  # one row per partition
     bases = counts.select("_part", length_column, (F.sum("n").over(by_length) - F.col("n")).alias("_base"))
     histogram = {r[0]: r[1] for r in counts.groupBy(length_column).agg(F.sum("n")).collect()}  # <= capacity rows
     plan = spark.sparkContext.broadcast(plan_best_fit_decreasing(histogram, capacity))
-    names = items.columns
-    schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()),
+    names = made.names
+    schema = T.StructType([*made.fields, T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +174,9 @@ def best_fit_pack(items: DataFrame, capacity: int = 2048, length_column: str = "
     return numbered.join(bases, ["_part", length_column]).mapInArrow(place, schema)
 
 
-def _number(items: DataFrame, capacity: int, length_column: str) -> DataFrame:
+def _number_step(made: T.StructType, capacity: int, length_column: str) -> ArrowStep:
     """Add (_part, _rank): each item's number among those of its length in its partition."""
-    schema = T.StructType([*items.schema.fields, T.StructField("_part", T.IntegerType()),
+    schema = T.StructType([*made.fields, T.StructField("_part", T.IntegerType()),
                            T.StructField("_rank", T.LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +193,8 @@ def _number(items: DataFrame, capacity: int, length_column: str) -> DataFrame:
             rank[order] = np.arange(len(length)) - first + seen[in_order]
             seen += np.bincount(length, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(np.full(len(length), part, dtype=np.int32)), pa.array(rank)],
-                names=[*b.schema.names, "_part", "_rank"])
+                [*(b.column(b.schema.get_field_index(n)) for n in made.names),
+                 pa.array(np.full(len(length), part, dtype=np.int32)), pa.array(rank)],
+                names=[*made.names, "_part", "_rank"])
 
-    return items.mapInArrow(number, schema)
+    return ArrowStep(number, schema)
