@@ -39,7 +39,7 @@ _NONE = np.int64(1) << 62
 class WordBpe:
     """Encoder and decoder for one word-level BPE file (the file's text, not its path)."""
 
-    def __init__(self, tokenizer_json: str, cache_words: int = 400_000) -> None:
+    def __init__(self, tokenizer_json: str, cache_words: int = 300_000) -> None:
         check_word_bpe(tokenizer_json)
         spec = json.loads(tokenizer_json)
         model, added = spec["model"], spec["added_tokens"]
