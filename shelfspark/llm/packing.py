@@ -4,7 +4,7 @@ Only lengths decide where a piece goes, and there are at most ``capacity``
 different ones.  So the exact best-fit-decreasing plan for the whole corpus is
 made from the length histogram: lengths fall from ``capacity`` to 1, a segment
 tree over remaining capacities finds the tightest open sequences for each, and
-equal pieces go to equally filled sequences in runs.  The plan is a table of
+equal pieces go to equally filled sequences in runs, filling each up first.  The plan is a table of
 runs (length, ranks, sequences, offset); its size depends on the number of
 different lengths, not on the corpus.  Spark numbers the pieces of each length
 (per partition, plus a prefix sum over partitions) and looks each rank up.
@@ -127,15 +127,17 @@ def plan_best_fit_decreasing(histogram: dict[int, int], capacity: int) -> np.nda
         while left:
             room = sequences.tightest(length)
             if room is None:
-                room, per = capacity, capacity // length
-                count = -(-left // per)  # as many as the rest of this length needs
+                room, count = capacity, -(-left // (capacity // length))  # as many as the rest of this length needs
                 sequences.add(capacity, opened, count)
                 opened += count
-            first, count = sequences.take(room, left)
-            plan.append((length, rank, first, capacity - room, count))
-            if room > length:
-                sequences.add(room - length, first, count)
-            rank, left = rank + count, left - count
+            # a sequence that still fits this length is the tightest once it has one of them: fill it up first
+            per = min(left, room // length)
+            first, count = sequences.take(room, left // per)
+            for j in range(per):
+                plan.append((length, rank + j * count, first, capacity - room + j * length, count))
+            if room > per * length:
+                sequences.add(room - per * length, first, count)
+            rank, left = rank + per * count, left - per * count
     return np.array(sorted(plan), dtype=np.int64).reshape(-1, 5)
 
 
