@@ -55,7 +55,6 @@ NEVER_NAMED = frozenset(
     "consent disqus footer login masthead menu modal nav navbar navigation newsletter notice notices popup promo "
     "promoted related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 _CONTENT = frozenset(("article", "main"))
-_CONTENT_CLOSED = "/content"
 
 
 def _names(attributes: str) -> list[str]:
@@ -69,12 +68,13 @@ def read_page(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     """Parts of a page in order: (kind, key, text, inside marked content, never content).
 
     Kind is ``text`` (key: the element it stands in) or ``tag`` (key: the tag).
+    Keys of links and other inline tags name the block around them: ``a@li``.
     """
-    stack: list[tuple[str, str, bool, bool]] = []  # name, key, inside, never
+    stack: list[tuple[str, str, bool, bool, str]] = []  # name, key of its words, inside, never, key of its tag
     for m in _TOKEN.finditer(page):
         token = m[0]
         if token[0] != "<" or token == "<":
-            _, key, inside, never = stack[-1] if stack else ("", "", False, False)
+            _, key, inside, never, _ = stack[-1] if stack else ("", "", False, False, "")
             yield "text", key, token, inside, never
             continue
         name = (m[3] or "").lower()
@@ -82,15 +82,17 @@ def read_page(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             continue
         if m[2]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            inside = bool(stack) and stack[-1][2]
+            inside, key = bool(stack) and stack[-1][2], name
             if at is not None:
+                key = stack[at][4]
                 del stack[at:]
             outer = bool(stack) and stack[-1][2]
-            yield "tag", f"/{name}", "", inside and outer, False
+            yield "tag", f"/{key}", "", inside and outer, False
             continue
         inside, never = (stack[-1][2], stack[-1][3]) if stack else (False, False)
         names = _names(m[4]) if m[4] else []
-        key = ".".join([name, *names[:2]])
+        around = stack[-1][1].rpartition("@")[2] if stack else ""
+        key = f"{name}@{around}" if name in INLINE else ".".join([name, *names[:2]])
         own_never = never or name in NEVER or not NEVER_NAMED.isdisjoint(names) or (name == "header" and not inside)
         yield "tag", key, "", inside, never
         if name in VOID or m[4].endswith("/"):
@@ -100,8 +102,8 @@ def read_page(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             if at is not None and all(x[0] in INLINE or x[0] == "p" for x in stack[at:]):
                 del stack[at:]
         mine = inside or name in _CONTENT or "main" in names
-        context = key if name not in INLINE or name == "a" or not stack else stack[-1][1]
-        stack.append((name, context, mine, own_never))
+        context = key if name not in INLINE or name == "a" else stack[-1][1] if stack else ""
+        stack.append((name, context, mine, own_never, key))
 
 
 class Weights:
@@ -120,11 +122,14 @@ class Weights:
 
     def of_word(self, key: str, never: bool = False) -> float:
         """Words that are never content score 0 where they stand amid content, else below."""
-        score = self.word.get(key, self.word.get(key.partition(".")[0], -1.0 if never else 1.0))
+        score = self.word.get(key)
+        if score is None:
+            block = key.rpartition("@")[2]
+            score = self.word.get(block, self.word.get(block.partition(".")[0], -1.0 if never else 1.0))
         return min(0.0, score) if never else score
 
     def of_tag(self, key: str) -> float:
-        return self.tag.get(key, self.tag.get(key.partition(".")[0], -1.0))
+        return self.tag.get(key, -1.0 if "@" in key else self.tag.get(key.partition(".")[0], -1.0))
 
 
 def content(page: str | None, weights: Weights) -> str:
@@ -148,7 +153,7 @@ def content(page: str | None, weights: Weights) -> str:
     out = []
     for kind, key, text, _, never in parts[slice(*best_range)]:
         if kind == "tag":
-            if key.lstrip("/").partition(".")[0] not in INLINE:
+            if "@" not in key and key.lstrip("/") not in INLINE:
                 out.append(" ")
         elif not never:
             out.append(html_lib.unescape(text))
@@ -170,7 +175,7 @@ def fit_weights(pages: DataFrame, html_column: str = "html", sample_pages: int =
             for page in b.column(0):
                 for kind, key, text, inside, _ in read_page(page.as_py()):
                     n = len(text.split()) if kind == "text" else 1
-                    for k in {key, key.partition(".")[0]}:
+                    for k in {key, key if "@" in key else key.partition(".")[0]}:
                         seen[kind, k, inside] += n
         if seen:
             yield pa.RecordBatch.from_arrays(

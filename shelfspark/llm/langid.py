@@ -104,10 +104,12 @@ def features(text: str | None) -> np.ndarray | None:
 def fit(x: np.ndarray, languages_of: list[str], rounds: int = 200, ridge: float = 1e-4) -> Model:
     """Logistic bit classifiers by accelerated gradient steps; a fifth of the rows weighs the losses."""
     languages = sorted(set(languages_of))
+    if not languages:
+        return Model([], np.ones((0, 1)), np.zeros((x.shape[1], 1)), np.zeros(1), np.ones((0, 1)))
     codes = code_words(len(languages)).astype(np.float64)
-    y = codes[np.searchsorted(languages, languages_of)] if languages else np.zeros((0, 1))
+    y = codes[np.searchsorted(languages, languages_of)]
     each = np.arange(len(x)) % 5 == 4 if len(x) >= 50 else np.zeros(len(x), dtype=bool)
-    mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+    mean = x.mean(axis=0)
 
     def train(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own, want = (x[rows] - mean).astype(np.float32), y[rows]
@@ -127,7 +129,7 @@ def fit(x: np.ndarray, languages_of: list[str], rounds: int = 200, ridge: float
     w, b = train(~each)
     check = each if each.any() else ~each
     right = (x[check] @ w + b) * y[check] > 0
-    names = np.array(languages_of)[check] if len(x) else np.array([])
+    names = np.array(languages_of)[check]
     accuracy = np.array([(right[names == n].sum(axis=0) + 1) / ((names == n).sum() + 2) for n in languages]).reshape(codes.shape)
     if each.any():
         w, b = train(np.ones(len(x), dtype=bool))
