@@ -9,6 +9,7 @@ features (× bins or × buckets), never by rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -109,15 +110,23 @@ def psi_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str], n_bins: in
 # ---------------------------------------------------------------- KS
 
 
-def ks_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
-    """Asymptotic two-sample p-value: 2Σ(−1)^(k−1)·exp(−2k²λ²), λ = D·sqrt(nm/(n+m)), clipped to [0, 1]."""
+def ks_pvalue(d: Column, n: Column, m: Column, terms: int = 8) -> Column:
+    """Asymptotic two-sample p-value of D at λ = D·sqrt(nm/(n+m)), to double precision.
+
+    λ ≥ 1: 2Σ(−1)^(k−1)·exp(−2k²λ²).  λ < 1: 1 − (√(2π)/λ)·Σ exp(−(2k−1)²π²/(8λ²)),
+    the same function by its theta identity.  Either series is exact to the last
+    bit within ``terms`` terms on its side of λ = 1.
+    """
     lam = d * F.sqrt(n.cast("double") * m.cast("double") / (n + m).cast("double"))
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
-        lambda acc, k: acc + F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+    ks = F.sequence(F.lit(1), F.lit(terms))
+    large = F.lit(2.0) * F.aggregate(
+        ks, F.lit(0.0), lambda acc, k: acc + F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
         * F.exp(F.lit(-2.0) * (k * k).cast("double") * lam * lam))
-    p = F.lit(2.0) * series
-    return F.when(lam == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
+    odd = lambda k: (F.lit(2.0) * k.cast("double") - F.lit(1.0))
+    small = F.lit(1.0) - F.lit(math.sqrt(2 * math.pi)) / lam * F.aggregate(
+        ks, F.lit(0.0), lambda acc, k: acc + F.exp(-odd(k) * odd(k) * F.lit(math.pi ** 2 / 8) / (lam * lam)))
+    p = F.when(lam <= 0.04, F.lit(1.0)).when(lam < 1, small).otherwise(large)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
 
 
 def ks_two_sample(ref: DataFrame, cur: DataFrame, columns: Sequence[str],

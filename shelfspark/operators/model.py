@@ -5,7 +5,7 @@ Scale notes
 * Fitted state is small: a (label, code) table per categorical column
   (joined, so Spark picks broadcast or shuffle by its measured size) and a
   handful of scalars per numeric column (bounded by the number of features).
-* The split is a hash of the product id and a seed — deterministic whatever
+* The split is a hash of the row's key and a seed — deterministic whatever
   the partitioning, unlike ``randomSplit``.
 * Training is Spark ML ``GBTRegressor`` (distributed histogram aggregation);
   the driver only holds the trees.
@@ -18,6 +18,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,11 +135,12 @@ def transform_features(df: DataFrame, prep: FeaturePrep, mode: str = "fit",
 
 
 def hash_fraction(key: Column, seed: int) -> Column:
-    """Uniform [0, 1) from ``xxhash64(key, seed)``; independent of partitioning."""
-    return F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1_000_000)).cast("double") / F.lit(1e6)
+    """Uniform [0, 1) from the first 32 bits of ``md5(key#seed)``; independent of partitioning and engine."""
+    text = F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")))
+    return F.conv(F.substring(text, 1, 8), 16, 10).cast("double") / F.lit(2.0 ** 32)
 
 
-def train_test_split(df: DataFrame, key: str = "product_id", test_size: float = 0.2, seed: int = 42,
+def train_test_split(df: DataFrame, key: str = "row_id", test_size: float = 0.2, seed: int = 42,
                      validation_size: float = 0.1) -> DataFrame:
     """Adds ``split`` ∈ {train, validation, test}; validation is carved from train."""
     if not 0.0 < test_size < 1.0:
@@ -153,18 +155,48 @@ def train_test_split(df: DataFrame, key: str = "product_id", test_size: float =
 
 
 GBT_PARAMS = dict(maxIter=100, stepSize=0.1, maxDepth=6, minInstancesPerNode=20, subsamplingRate=0.8,
-                  featureSubsetStrategy="0.8", seed=42, validationTol=0.01, maxBins=32)
+                  featureSubsetStrategy="0.8", seed=42, maxBins=32)
+PATIENCE = 10
+
+
+def best_round(errors: Sequence[float], patience: int = PATIENCE) -> int:
+    """Number of trees at the lowest validation error before ``patience`` rounds without a lower one."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
 
 def train_regressor(train: DataFrame, features: str = "features", label: str = TARGET,
-                    validation_col: str | None = "is_validation", **params) -> GBTRegressionModel:
-    """Gradient-boosted regression trees; early stopping on the validation rows."""
+                    validation_col: str | None = "is_validation", patience: int = PATIENCE,
+                    **params) -> GBTRegressionModel:
+    """Gradient-boosted regression trees, as many as the validation error asks for.
+
+    Trees are fitted on the rows that are not for validation.  The number of
+    rounds doubles (the same seed grows the same first trees) until the error on
+    the validation rows has not fallen for ``patience`` rounds, or ``maxIter`` is
+    reached; the lowest error then picks the number of trees.
+    """
     p = dict(GBT_PARAMS)
     p.update(params)
     gbt = GBTRegressor(featuresCol=features, labelCol=label, **p)
-    if validation_col and validation_col in train.columns:
-        gbt = gbt.setValidationIndicatorCol(validation_col)
-    return gbt.fit(train)
+    if not validation_col or validation_col not in train.columns:
+        return gbt.fit(train)
+    own, held = train.where(~F.col(validation_col)), train.where(F.col(validation_col))
+    most = gbt.getMaxIter()
+    if held.isEmpty():
+        return gbt.fit(own)
+    rounds = min(most, 2 * patience)
+    while True:
+        model = gbt.setMaxIter(rounds).fit(own)
+        best = best_round(model.evaluateEachIteration(held, "squared"), patience)
+        if rounds == most or best + patience <= rounds:
+            break
+        rounds = min(most, 2 * rounds)
+    return model if best == rounds else gbt.setMaxIter(best).fit(own)
 
 
 def confidence_score(price: Column, rating: Column, count: Column) -> Column:
@@ -283,13 +315,14 @@ class ModelStore:
         return model, prep, meta["metrics"], path
 
 
-def fit_and_evaluate(df: DataFrame, key: str = "product_id", **params) -> tuple[GBTRegressionModel, FeaturePrep, dict]:
+def fit_and_evaluate(df: DataFrame, key: str = "row_id", **params) -> tuple[GBTRegressionModel, FeaturePrep, dict]:
     """Split → fit prep on train only → train with validation rows → test metrics."""
     split = train_test_split(df, key)
     train_part = split.where(F.col("split") != "test")
     prep = fit_features(train_part.where(F.col("split") == "train"))
-    train = transform_features(train_part, prep).withColumn("is_validation", F.col("split") == "validation")
-    model = train_regressor(train, **params)
+    train = transform_features(train_part, prep).select("features", TARGET, (F.col("split") == "validation").alias("is_validation"))
+    model = train_regressor(train.persist(StorageLevel.MEMORY_AND_DISK), **params)  # read once per round and tree level
+    train.unpersist()
     test = predict_batch(model, prep, split.where(F.col("split") == "test"))
     m = evaluate_regression(test).first().asDict()
     metrics = {k: (float(v) if v is not None else None) for k, v in m.items()}
@@ -308,6 +341,15 @@ def retrain_decision(new_rows: int, has_model: bool, drift: bool) -> tuple[str,
     return "keep", "no drift"
 
 
+def retrain_if_needed(store: ModelStore, frame: DataFrame, drift: bool, rows: int | None = None) -> tuple[str, str, str | None]:
+    """Decide on ``frame``, and when the decision asks for it train on it and save a new version: (decision, reason, path)."""
+    n = frame.count() if rows is None else rows
+    decision, reason = retrain_decision(n, store.latest() is not None, drift)
+    if decision in ("train", "retrain"):
+        return decision, reason, store.save(*fit_and_evaluate(frame))
+    return decision, reason, store.latest()
+
+
 def default_store_root(spark: SparkSession, name: str) -> str:
     from shelfspark.session import shared_dir
     return shared_dir(spark, "models", name)

@@ -72,8 +72,10 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, weight_col: str | Non
     return kept.groupBy("term").agg(F.sum("weight").cast("bigint").alias("n"))
 
 
-def top_terms(term_df: DataFrame, k: int = 20) -> DataFrame:
-    return term_df.orderBy(F.desc("n"), "term").limit(k)
+def top_terms(term_df: DataFrame, k: int | None = None) -> DataFrame:
+    """Terms by falling count; ``k`` keeps the first ones, None all."""
+    ordered = term_df.orderBy(F.desc("n"), "term")
+    return ordered if k is None else ordered.limit(k)
 
 
 def document_term_counts(texts: DataFrame, key: str = "part_key", text_col: str = "review_content",
@@ -86,7 +88,7 @@ def document_term_counts(texts: DataFrame, key: str = "part_key", text_col: str
     return kept.groupBy(F.col("id").alias(key), "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def review_terms(rows: DataFrame, texts: DataFrame | None, cond: Column, k: int = 20,
+def review_terms(rows: DataFrame, texts: DataFrame | None, cond: Column, k: int | None = None,
                  key: str = "part_key", doc_terms: DataFrame | None = None) -> DataFrame:
     """Most frequent words in the review text of rows matching ``cond``.
 

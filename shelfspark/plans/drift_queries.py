@@ -78,7 +78,7 @@ def q_psi_drift_shifted(spark, sf_dir):
 
 def _ks_sql(shift: str = "") -> str:
     lam = "d * sqrt(cast(n1t AS double) * cast(n2t AS double) / cast(n1t + n2t AS double))"
-    series = (f"list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END) * "
+    series = (f"list_sum(list_transform(range(1, 20001), lambda k: (CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END) * "
               f"exp(-2e0 * cast(k * k AS double) * ({lam}) * ({lam}))))")
     p = f"CASE WHEN ({lam}) = 0 THEN 1e0 ELSE least(1e0, greatest(0e0, 2e0 * {series})) END"
     return f"""WITH {_lf_sql(shift)},

@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfspark.operators.enrich import enrich_catalog
 from shelfspark.operators.insights import notebook_frame
-from shelfspark.session import materialized
 from shelfspark.sources.catalog import catalog_view
 
 
 def enriched(spark: SparkSession, sf_dir: str, users: bool = False) -> DataFrame:
-    """Cleaned + enriched catalog with per-product text features (a shared,
-    materialised table: many queries read it, each only its own columns)."""
-    return materialized(enrich_catalog(catalog_view(spark, sf_dir, users=users, texts=True)),
-                        "enriched_users" if users else "enriched", sf_dir)
+    """Cleaned + enriched catalog with per-product text features.
+
+    A plan, not a table: every query reads the columns and joins it needs.
+    """
+    return enrich_catalog(catalog_view(spark, sf_dir, users=users, texts=True))
 
 
 def questions_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Input of the business questions: one row per review, rating_count filled
-    (materialised once: the join and the de-duplication run once)."""
-    return materialized(notebook_frame(catalog_view(spark, sf_dir, users=True)), "questions", sf_dir)
+    """Input of the business questions: one row per review, rating_count filled."""
+    return notebook_frame(catalog_view(spark, sf_dir, users=True))

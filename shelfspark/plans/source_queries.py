@@ -7,8 +7,6 @@ so the cleaners run on real text through a real reader.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from shelfspark.functions import cleaning as C
@@ -16,7 +14,7 @@ from shelfspark.functions.numeric import round_half_up
 from shelfspark.operators.enrich import clean_raw_catalog, derive_discount, enrich_catalog, parse_category
 from shelfspark.plans.registry import query
 from shelfspark.plans.sql import R2, with_ctes
-from shelfspark.session import _FINGERPRINT, _input_signature, path_exists, shared_dir
+from shelfspark.session import shared_dir
 from shelfspark.sources.catalog import (
     alias_columns,
     catalog_view,
@@ -55,14 +53,9 @@ def _count_sql(c: str) -> str:
 
 
 def raw_frame(spark, sf_dir):
-    """Export text round-tripped through CSV in the shared folder (written
-    once per export plan: the folder name carries the plan's semantic hash)."""
-    raw = raw_catalog(spark, sf_dir)
-    key = hashlib.sha1("|".join([sf_dir, _input_signature(spark, sf_dir), _FINGERPRINT]).encode()).hexdigest()[:16]
-    path = shared_dir(spark, "raw_catalog_csv", key)
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        write_catalog_csv(raw, path)
-    return read_catalog_csv(spark, path)
+    """Export text of the rows as they are now, round-tripped through CSV in the shared folder."""
+    path = shared_dir(spark, "raw_catalog_csv", unique=True)
+    return read_catalog_csv(spark, write_catalog_csv(raw_catalog(spark, sf_dir), path))
 
 
 CLEAN_COLS = ["product_id", "product_name", "category", "discounted_price", "actual_price", "discount_percentage",

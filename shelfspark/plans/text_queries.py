@@ -46,33 +46,32 @@ GROUP BY term ORDER BY n DESC, term LIMIT {k}""")
 
 
 def doc_terms(spark, sf_dir):
-    """Per-product term counts, tokenised once and shared by the term questions."""
-    from shelfspark.session import materialized
-    return materialized(T.document_term_counts(product_texts(spark, sf_dir)), "doc_terms", sf_dir)
+    """Per-product term counts: every text is tokenised once, however many rows share it."""
+    return T.document_term_counts(product_texts(spark, sf_dir))
 
 
 @query("negative_terms", oracle=_terms_sql("rating <= 2e0"))
 def q_negative_terms(spark, sf_dir):
-    return T.review_terms(questions_frame(spark, sf_dir), None, F.col("rating") <= 2,
+    return T.review_terms(questions_frame(spark, sf_dir), None, F.col("rating") <= 2, k=20,
                           doc_terms=doc_terms(spark, sf_dir))
 
 
 @query("positive_terms", oracle=_terms_sql("rating >= 4e0"))
 def q_positive_terms(spark, sf_dir):
-    return T.review_terms(questions_frame(spark, sf_dir), None, F.col("rating") >= 4,
+    return T.review_terms(questions_frame(spark, sf_dir), None, F.col("rating") >= 4, k=20,
                           doc_terms=doc_terms(spark, sf_dir))
 
 
 _DOC_TERMS = with_ctes(f"tk AS (SELECT unnest({_tok('text')}) AS term FROM documents)", f"""
 SELECT term, cast(count(*) AS bigint) AS n FROM tk
 WHERE NOT regexp_full_match(term, '[0-9]+') AND term NOT IN ({STOP_SQL})
-GROUP BY term ORDER BY n DESC, term LIMIT 50""")
+GROUP BY term""")
 
 
 @query("stopword_anti_join", oracle=_DOC_TERMS)
 def q_stopword_anti_join(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return T.top_terms(T.term_counts(docs, "doc_id", "text"), 50)
+    return T.term_counts(docs, "doc_id", "text")
 
 
 @query("stopword_union", oracle=with_ctes(f"tk AS (SELECT unnest({_tok('text')}) AS term FROM documents)",
@@ -179,10 +178,9 @@ def q_count_reviews(spark, sf_dir):
 
 def products(spark, sf_dir):
     """Last catalog row per product with its text (text joined per product)."""
-    from shelfspark.session import materialized
     cat = enrich_catalog(catalog_view(spark, sf_dir))
     last = RAG.latest_per_key(cat, "product_id")
-    return materialized(last.join(product_texts(spark, sf_dir), "part_key", "left"), "products_text", sf_dir)
+    return last.join(product_texts(spark, sf_dir), "part_key", "left")
 
 
 _UUID_SQL = """lower(concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3),

@@ -11,8 +11,10 @@ import hashlib
 import os
 import tempfile
 import uuid
+from importlib import resources
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -56,10 +58,21 @@ def get_session(
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (``local[..]``, not ``local-cluster``)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; set a scratch one only when unset (tests)."""
+    """Return ``spark.checkpoint.dir``; set a scratch one only when unset on a local master.
+
+    On a cluster a machine-local folder would lose data, so an unset folder is an error there.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="shelfspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -76,7 +89,7 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     path = "/".join([base, "shelfspark", *parts])
     if unique:
         path = f"{path}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
+    if "://" not in path and is_local(spark):
         os.makedirs(os.path.dirname(path), exist_ok=True)
     return path
 
@@ -88,49 +101,36 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
-def _package_fingerprint() -> str:
-    """sha1 over this package's source: a code change names new tables."""
-    root = os.path.dirname(os.path.abspath(__file__))
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder, through the Hadoop FileSystem (any scheme)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory())
+
+
+def package_fingerprint() -> str:
+    """sha1 over this package's source, read from a folder or a zip: a code change names new results."""
     h = hashlib.sha1()
-    for dirpath, _, files in sorted(os.walk(root)):
-        for f in sorted(files):
-            if f.endswith(".py"):
-                full = os.path.join(dirpath, f)
-                h.update(os.path.relpath(full, root).encode())
-                with open(full, "rb") as fh:
-                    h.update(fh.read())
-    return h.hexdigest()
 
+    def add(folder, prefix: str) -> None:
+        for entry in sorted(folder.iterdir(), key=lambda e: e.name):
+            if entry.is_dir():
+                add(entry, f"{prefix}{entry.name}/")
+            elif entry.name.endswith(".py"):
+                h.update(f"{prefix}{entry.name}".encode())
+                h.update(entry.read_bytes())
 
-_FINGERPRINT = _package_fingerprint()
+    add(resources.files(__package__), "")
+    return h.hexdigest()
 
 
-def _input_signature(spark: SparkSession, input_dir: str) -> str:
-    """Names, sizes and modification times of the files below ``input_dir``."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(input_dir)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    it = fs.listFiles(p, True)
-    parts = []
-    while it.hasNext():
-        st = it.next()
-        parts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
-    return ",".join(sorted(parts))
-
-
-def materialized(df, name: str, input_dir: str):
-    """Write ``df`` once as Parquet under the shared folder and read it back.
-
-    The table name carries a fingerprint of (name, input folder listing with
-    sizes and mtimes, package source): the same code over the same inputs
-    reuses the table, new inputs or new code get a new one.  Only a committed
-    write (``_SUCCESS``) is reused.  Cuts lineage, survives executor loss, and
-    later queries read just the columns they need.
+def content_key(*frames) -> str:
+    """A key of the rows of ``frames`` (order-independent checksum) and of this package's code.
+
+    One aggregate per frame over the columns it has, whatever the number of files.
     """
-    spark = df.sparkSession
-    key = hashlib.sha1("|".join([name, input_dir, _input_signature(spark, input_dir),
-                                 _FINGERPRINT]).encode()).hexdigest()[:16]
-    path = shared_dir(spark, "tables", f"{name}-{key}")
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    parts = [package_fingerprint()]
+    for df in frames:
+        h = F.xxhash64(*[F.col(c) for c in df.columns])
+        r = df.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first()
+        parts.append(f"{df.columns}{tuple(r)}")
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]

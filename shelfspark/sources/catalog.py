@@ -54,6 +54,7 @@ def catalog_view(
     users: bool = False,
     texts: bool = False,
     part_features: DataFrame | None = None,
+    lineitem: DataFrame | None = None,
 ) -> DataFrame:
     """Catalog rows with numeric prices (no cleaning needed).
 
@@ -61,9 +62,10 @@ def catalog_view(
     discount_percentage, discounted_price, rating, rating_count, review_id,
     row-order keys (order_key, line_number, part_key, supp_key) and, on request,
     user_id/user_name, description_length/review_text_count, plus any
-    ``part_features`` columns (keyed by ``part_key``).
+    ``part_features`` columns (keyed by ``part_key``).  ``lineitem`` may be a
+    stream of order lines instead of the table.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = (read_table(spark, sf_dir, "lineitem") if lineitem is None else lineitem).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount")
     part = read_table(spark, sf_dir, "part").select(
         F.col("p_partkey"), "p_name", "p_type", "p_brand", "p_size")

@@ -10,19 +10,8 @@ TABLES = (
 )
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
-
-    The scan DataFrame (not its data) is reused per session and path, so the
-    footer/schema discovery runs once instead of once per query.
-    """
+    """Lazy parquet scan of the table as it is now; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(path)
-    return _SCANS[key]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -14,8 +14,8 @@ def test_shap_additivity_and_tree_walk(spark, sf_small):
     total = F.aggregate(F.transform("contributions", lambda c: c["shap_value"]), F.lit(0.0), lambda a, b: a + b)
     err = loc.select(F.max(F.abs(F.col("base_value") + total - F.col("raw_prediction")))).first()[0]
     assert err < 1e-9
-    spark_pred = model.setPredictionCol("p").transform(feats).select("product_id", "p")
-    diff = (loc.join(spark_pred, "product_id")
+    spark_pred = model.setPredictionCol("p").transform(feats).select("row_id", "p")
+    diff = (loc.join(spark_pred, "row_id")
                .select(F.max(F.abs(F.col("p") - F.col("raw_prediction")))).first()[0])
     assert diff < 1e-9
 
@@ -25,9 +25,9 @@ def test_store_round_trip_and_clip(spark, sf_small):
     store = M.ModelStore(spark, path.rsplit("/", 1)[0])
     m2, p2, met2, path2 = store.load(path)
     df = model_frame(spark, sf_small)
-    a = M.predict_batch(model, prep, df).select("product_id", "predicted_discount")
-    b = M.predict_batch(m2, p2, df).select("product_id", F.col("predicted_discount").alias("b"))
-    assert a.join(b, "product_id").where(F.col("predicted_discount") != F.col("b")).count() == 0
+    a = M.predict_batch(model, prep, df).select("row_id", "predicted_discount")
+    b = M.predict_batch(m2, p2, df).select("row_id", F.col("predicted_discount").alias("b"))
+    assert a.join(b, "row_id").where(F.col("predicted_discount") != F.col("b")).count() == 0
     rng = a.agg(F.min("predicted_discount"), F.max("predicted_discount")).first()
     assert 0.0 <= rng[0] <= rng[1] <= 100.0
     assert set(metrics) >= {"rmse", "mae", "r2", "mape"} and met2["rmse"] == metrics["rmse"]
@@ -35,6 +35,6 @@ def test_store_round_trip_and_clip(spark, sf_small):
 
 def test_split_is_deterministic(spark, sf_small):
     df = model_frame(spark, sf_small)
-    a = M.train_test_split(df).select("product_id", "split")
-    b = M.train_test_split(df.repartition(7)).select("product_id", F.col("split").alias("s2"))
-    assert a.join(b, "product_id").where(F.col("split") != F.col("s2")).count() == 0
+    a = M.train_test_split(df).select("row_id", "split")
+    b = M.train_test_split(df.repartition(7)).select("row_id", F.col("split").alias("s2"))
+    assert a.join(b, "row_id").where(F.col("split") != F.col("s2")).count() == 0
