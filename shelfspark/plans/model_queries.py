@@ -426,7 +426,7 @@ def q_shap_local(spark, sf_dir):
 @query("sort_contributions")
 def q_sort_contributions(spark, sf_dir):
     loc = _local(spark, sf_dir)
-    return loc.select("product_id", F.posexplode("contributions").alias("pos", "c")).select(
+    return loc.select("row_id", F.posexplode("contributions").alias("pos", "c")).select(
         "row_id", (F.col("pos") + 1).alias("rank"), F.col("c.feature_name").alias("feature_name"),
         F.col("c.shap_value").alias("shap_value"))
 
