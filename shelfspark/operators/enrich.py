@@ -115,10 +115,3 @@ def fill_missing(df: DataFrame) -> DataFrame:
         if c in df.columns:
             fills[c] = "Unknown"
     return df.na.fill(fills) if fills else df
-
-
-def map_lookup(df: DataFrame, column: str, mapping: dict, default, out: str) -> DataFrame:
-    """Dictionary lookup with a default (``Series.map(d).fillna(v)``): a literal
-    map in the expression — no join, no shuffle."""
-    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-    return df.withColumn(out, F.coalesce(F.element_at(m, F.col(column)), F.lit(default)))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from shelfspark.constants import NB_DISCOUNT_EDGES, NB_DISCOUNT_LABELS
 from shelfspark.functions.bins import bins_frame, right_closed_bin
 from shelfspark.functions.numeric import round_half_up
-from shelfspark.session import ensure_checkpoint_dir
+from shelfspark.operators.quantiles import quantile_scalar
 from shelfspark.sources.catalog import ROW_ORDER
 
 REV = "discounted_price"
@@ -175,12 +175,11 @@ def stock_risk(df: DataFrame, k: int = 10, low_q: float = 0.25, high_q: float =
     """
     stats = df.groupBy("product_name").agg(F.sum(REV).alias("revenue"),
                                            F.sum("rating_count").cast("bigint").alias("rating_count"))
-    # exact quantiles merge one value→count buffer per threshold in the final
-    # task; with very many products pass exact=False (bounded sketch)
-    q = (lambda c, p: F.percentile(c, F.lit(p))) if exact else \
-        (lambda c, p: F.percentile_approx(c, F.lit(p), 100000).cast("double"))
-    rev_q = stats.select(q(F.col("revenue"), low_q)).scalar()
-    cnt_q = stats.select(q(F.col("rating_count").cast("double"), high_q)).scalar()
+    if exact:
+        rev_q, cnt_q = quantile_scalar(stats, "revenue", low_q), quantile_scalar(stats, "rating_count", high_q)
+    else:
+        rev_q = stats.select(F.percentile_approx("revenue", F.lit(low_q), 100000)).scalar()
+        cnt_q = stats.select(F.percentile_approx(F.col("rating_count").cast("double"), F.lit(high_q), 100000)).scalar()
     risky = stats.where((F.col("revenue") < rev_q) & (F.col("rating_count").cast("double") > cnt_q))
     out = risky.select("product_name", round_half_up(F.col("revenue")).alias("revenue"), "rating_count")
     return top_k(out, "rating_count", "product_name", k)
@@ -189,54 +188,41 @@ def stock_risk(df: DataFrame, k: int = 10, low_q: float = 0.25, high_q: float =
 # ---------------------------------------------------------------- bundles
 
 
-def bundle_pairs(df: DataFrame, k: int = 10, user: str = "user_id", item: str = "product_name",
-                 order: Sequence[str] = ROW_ORDER, probe: int = 50) -> DataFrame:
-    """Ordered item pairs bought by the same user (earlier row, later row),
-    counted over all users; the ``k`` most frequent.
-
-    Exact without enumerating every pair inside every user:
-
-    1. ``c[u,i]`` = rows of item i for user u, ``n[u]`` = rows of user u.
-       Any pair involving item i occurs at most ``ub[i] = Σ_u c[u,i]·n[u]``
-       times.
-    2. Exact counts of pairs among the ``probe`` items with the largest bound
-       give a floor ``t`` for the k-th best count (they are real pairs).
-    3. Only items with ``ub ≥ t`` can take part in a pair counted ≥ t, so the
-       exact count is computed for pairs among those items only.
-
-    Same-item pairs come from counts (c·(c−1)/2), different-item pairs from a
-    self-join on user restricted to candidate items with the row-order struct
-    ``a < b``.  AQE's skew-join split covers a user holding many rows.
+def ordered_pairs(df: DataFrame, user: str = "user_id", item: str = "product_name",
+                  order: Sequence[str] = ROW_ORDER, block_rows: int = 256) -> DataFrame:
+    """(item_a, item_b, n): how often a user has a row of ``item_a`` before one of ``item_b``.
+
+    Every user's rows are dealt into blocks by a hash of the row, about
+    ``block_rows`` each; a user's block pairs meet by an equi-join on (user,
+    block pair), so a user with many rows becomes many bounded groups, spread
+    over the cluster.  Pairs are counted before the shuffle by item.
     """
-    pos = F.struct(*[F.col(c) for c in order])
-    rows = df.select(F.col(user).alias("u"), F.col(item).alias("i"), pos.alias("pos")).where(F.col("u").isNotNull())
-    # (user, item) counts feed every later step: computed once, lineage cut
-    # with a reliable checkpoint in the shared folder
-    ensure_checkpoint_dir(df.sparkSession)
-    cui = rows.groupBy("u", "i").agg(F.count(F.lit(1)).alias("c")).checkpoint(eager=True)
-    nu = cui.groupBy("u").agg(F.sum("c").alias("nu"))
-    ub = (cui.join(nu, "u").groupBy("i")
-             .agg(F.sum(F.col("c") * (F.col("nu") - F.lit(1))).alias("ub")))
-
-    def exact_pairs(items: DataFrame) -> DataFrame:
-        cand = rows.join(items.select("i"), "i", "left_semi")
-        a, b = cand.alias("a"), cand.alias("b")
-        diff = (a.join(b, (F.col("a.u") == F.col("b.u")) & (F.col("a.i") != F.col("b.i"))
-                       & (F.col("a.pos") < F.col("b.pos")))
-                 .groupBy(F.col("a.i").alias("item_a"), F.col("b.i").alias("item_b"))
-                 .agg(F.count(F.lit(1)).alias("n")))
-        same = (cui.join(items.select("i"), "i", "left_semi").where(F.col("c") > 1)
-                   .groupBy(F.col("i").alias("item_a"))
-                   .agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("bigint").alias("n"))
-                   .select("item_a", F.col("item_a").alias("item_b"), "n"))
-        return diff.unionByName(same)
-
-    probe_items = ub.where(F.col("ub") > 0).orderBy(F.desc("ub"), "i").limit(probe)
-    # the k-th best probe count is a floor only when at least k probe pairs exist
-    floor_t = (exact_pairs(probe_items).orderBy(F.desc("n")).limit(k)
-               .agg(F.when(F.count(F.lit(1)) >= k, F.min("n")).otherwise(F.lit(0)).alias("t"))).scalar()
-    cand_items = ub.where((F.col("ub") >= floor_t) & (F.col("ub") > 0))
-    pairs = exact_pairs(cand_items).withColumn("n", F.col("n").cast("bigint"))
+    rows = df.where(F.col(user).isNotNull()).select(
+        F.col(user).alias("u"), F.col(item).alias("i"), F.struct(*[F.col(c) for c in order]).alias("pos"))
+    sizes = rows.groupBy("u").agg((F.floor((F.count(F.lit(1)) - 1) / block_rows) + 1).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "u").withColumn("b", F.pmod(F.xxhash64("i", "pos"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = dealt.select("u", F.col("b").alias("b1"), F.explode(every).alias("b2"), F.col("i").alias("item_a"), F.col("pos").alias("p1"))
+    right = dealt.select("u", F.explode(every).alias("b1"), F.col("b").alias("b2"), F.col("i").alias("item_b"), F.col("pos").alias("p2"))
+    met = left.join(right, ["u", "b1", "b2"]).where(F.col("p1") < F.col("p2"))
+    ordered = met.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))
+    # rows that are equal in the order columns are pairs too: c·(c−1)/2 of one place and item
+    twins = (rows.groupBy("u", "i", "pos").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+             .groupBy(F.col("i").alias("item_a"), F.col("i").alias("item_b"))
+             .agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("bigint").alias("n")))
+    return ordered.unionByName(twins).groupBy("item_a", "item_b").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def bundle_pairs(df: DataFrame, k: int = 10, user: str = "user_id", item: str = "product_name",
+                 order: Sequence[str] = ROW_ORDER) -> DataFrame:
+    """The ``k`` most frequent ordered item pairs (earlier row, later row) of one user, counted over all users."""
+    pairs = ordered_pairs(df, user, item, order)
     return (pairs.orderBy(F.desc("n"), "item_a", "item_b").limit(k)
                  .select(F.concat_ws(" + ", "item_a", "item_b").alias("product_pair"), "item_a", "item_b",
                          F.col("n").alias("count")))
+
+
+def rating_band(df: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Rows with low <= rating <= high (an open end where None)."""
+    out = df if low is None else df.where(F.col("rating") >= low)
+    return out if high is None else out.where(F.col("rating") <= high)

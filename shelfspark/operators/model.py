@@ -33,6 +33,7 @@ from shelfspark.constants import (
 )
 from shelfspark.functions.bins import price_tier
 from shelfspark.functions.numeric import round_half_up
+from shelfspark.operators.quantiles import exact_quantiles, quantile_scalar
 
 # ---------------------------------------------------------------- features
 
@@ -85,8 +86,8 @@ def fit_features(df: DataFrame, categorical: Sequence[str] = CATEGORICAL_FEATURE
     prep = FeaturePrep(cat, num)
     prep.codes = {c: label_codes(df, c).cache() for c in cat}
     if num:
-        med = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in num]).first()
-        prep.medians = {c: (float(med[c]) if med[c] is not None else 0.0) for c in num}
+        med = {r["column"]: r["quantiles"][0] for r in exact_quantiles(df, num, [0.5]).collect()}  # one row per column
+        prep.medians = {c: float(med.get(c) or 0.0) for c in num}
         imp = impute(df, prep.medians)
         st = imp.agg(*[F.avg(c).alias(f"m_{c}") for c in num], *[F.stddev_pop(c).alias(f"s_{c}") for c in num]).first()
         prep.means = {c: float(st[f"m_{c}"] or 0.0) for c in num}
@@ -107,8 +108,7 @@ def median_impute(df: DataFrame, columns: Sequence[str], prep: FeaturePrep | Non
         if prep is None:
             raise ValueError("fit mode needs a fitted FeaturePrep")
         return impute(df, {c: prep.medians.get(c, 0.0) for c in columns})
-    subs = {c: df.select(F.coalesce(F.percentile(F.col(c).cast("double"), F.lit(0.5)), F.lit(0.0))).scalar()
-            for c in columns}
+    subs = {c: F.coalesce(quantile_scalar(df, c, 0.5), F.lit(0.0)) for c in columns}
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), subs[c]) for c in columns})
 
 

@@ -7,9 +7,8 @@ Shape rules used throughout:
   and unpivoted afterwards with ``inline`` on a one-row result.
 * Histograms are right-closed CASE bins; empty bins are kept by joining the
   per-bin counts (at most #bins rows) to the fixed bins table.
-* Exact quantiles use ``percentile`` (linear interpolation, like pandas).
-  ``exact=False`` switches to ``percentile_approx`` for continuous columns at
-  very large scale, where an exact quantile is a global sort.
+* Exact quantiles (linear interpolation, like pandas) come from counted values
+  dealt into ranges (``operators.quantiles``); ``exact=False`` takes a sketch.
 """
 
 from __future__ import annotations
@@ -31,23 +30,18 @@ from shelfspark.constants import (
 )
 from shelfspark.functions.bins import bins_frame, right_closed_bin
 from shelfspark.functions.numeric import round_half_up
+from shelfspark.operators.quantiles import exact_quantiles
 
 STAT_NAMES = ("min", "max", "mean", "median", "std")
 
 
-def _quantile(c: Column, q: float, exact: bool) -> Column:
-    return F.percentile(c, F.lit(q)) if exact else F.percentile_approx(c, F.lit(q), 100000).cast("double")
-
-
-def _stat(c: Column, name: str, exact: bool) -> Column:
+def _stat(c: Column, name: str) -> Column:
     if name == "min":
         return F.min(c).cast("double")
     if name == "max":
         return F.max(c).cast("double")
     if name == "mean":
         return F.avg(c)
-    if name == "median":
-        return _quantile(c, 0.5, exact)
     if name == "std":
         return F.stddev_samp(c)
     if name == "std_pop":
@@ -69,39 +63,36 @@ def numeric_stats(
 ) -> DataFrame:
     """Long-format stats: one row per column, one column per statistic.
 
-    All columns are aggregated in one pass over ``df`` (nulls ignored).
+    All columns are aggregated in one pass over ``df`` (nulls ignored); exact
+    quantiles (the median among them) come from one more pass over counted
+    values.  ``exact=False`` takes a sketch in the same pass instead.
     """
-    # project first: the wide aggregate then resolves against a narrow input
     df = df.select(*[F.col(c) for c in columns])
-    # every quantile of a column (median included) comes from ONE percentile
-    # aggregate over an array of levels: one value→count buffer per column
     levels = sorted(set(percentiles) | ({0.5} if "median" in stats else set()))
     aggs: list[Column] = []
     for i, col in enumerate(columns):
-        c = F.col(col)
-        for s in stats:
-            if s != "median":
-                aggs.append(_stat(c, s, exact).alias(f"_{i}_{s}"))
-        if levels:
+        aggs += [_stat(F.col(col), s).alias(f"_{i}_{s}") for s in stats if s != "median"]
+        if levels and not exact:
             arr = F.array(*[F.lit(q) for q in levels])
-            qs = (F.percentile(c, arr) if exact else F.percentile_approx(c, arr, 100000))
-            aggs.append(qs.alias(f"_{i}_qs"))
-    wide = df.agg(*aggs)
-    for i in range(len(columns)):
-        if levels:
-            picks = {f"_{i}_p{int(round(q * 100))}": F.element_at(f"_{i}_qs", k + 1).cast("double")
-                     for k, q in enumerate(levels)}
-            if "median" in stats:
-                picks[f"_{i}_median"] = F.element_at(f"_{i}_qs", levels.index(0.5) + 1).cast("double")
-            wide = wide.withColumns(picks)
-    names = list(stats) + [f"p{int(round(q * 100))}" for q in percentiles]
-    rnd = (lambda x: round_half_up(x, digits)) if digits is not None else (lambda x: x)
+            aggs.append(F.percentile_approx(F.col(col), arr, 100000).cast("array<double>").alias(f"_{i}_q"))
+        elif not aggs:
+            aggs.append(F.count(F.lit(1)).alias("_n"))
+    rest = [s for s in stats if s != "median"]
     rows = F.array(*[
-        F.struct(F.lit(col).alias("column"),
-                 *[rnd(F.col(f"_{i}_{n}")).alias(n) for n in names])
-        for i, col in enumerate(columns)
-    ])
-    return wide.select(F.inline(rows))
+        F.struct(F.lit(col).alias("column"), F.lit(i).alias("_i"), *[F.col(f"_{i}_{s}").alias(s) for s in rest],
+                 *([F.col(f"_{i}_q").alias("quantiles")] if levels and not exact else []))
+        for i, col in enumerate(columns)])
+    out = df.agg(*aggs).select(F.inline(rows))
+    if levels and exact:
+        out = out.join(F.broadcast(exact_quantiles(df, columns, levels)), "column", "left")  # one row per column
+    named = {s: F.col(s) for s in rest}
+    if levels:
+        named |= {f"p{int(round(q * 100))}": F.get("quantiles", F.lit(levels.index(q))) for q in percentiles}
+        if "median" in stats:
+            named["median"] = F.get("quantiles", F.lit(levels.index(0.5)))
+    rnd = (lambda x: round_half_up(x, digits)) if digits is not None else (lambda x: x)
+    names = list(stats) + [f"p{int(round(q * 100))}" for q in percentiles]
+    return out.select("column", *[rnd(named[n]).alias(n) for n in names])
 
 
 def histogram(df: DataFrame, column: str, edges: Sequence[float], labels: Sequence[str],
@@ -291,34 +282,35 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] = CORRELATION_COLUM
                        digits: int = 3) -> DataFrame:
     """Pairwise-complete Pearson r for every column pair.
 
-    Long form: each row emits one (pair, a, b) entry per unordered pair whose
-    two values are present; ``groupBy(pair)`` then runs three numerically
-    stable built-ins, r = covar_pop(a, b) / (stddev_pop(a) · stddev_pop(b)).
-    The partial aggregate leaves at most #pairs rows per task, so the shuffle
-    is tiny at any scale and the generated code stays small.  A constant
+    One aggregate without a row more than the input: each unordered pair has
+    three numerically stable built-ins over the rows where both values are
+    present, r = covar_pop(a, b) / (stddev_pop(a) · stddev_pop(b)).  A constant
     column gives null (``corr`` would fail with divide-by-zero under ANSI).
-    The matrix is mirrored from the unordered pairs.
     """
     cols = [c for c in columns if c in df.columns]
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(cols[i]).alias("a"),
-                                 F.col(cols[j]).alias("b")) for i, j in pairs])
-    long = (src.select(F.inline(entries))
-               .where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b")))
-    stats = long.groupBy("i", "j").agg(
-        F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"))
-    grid = df.sparkSession.createDataFrame(
-        [(i, j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)],
-        "gi int, gj int, column_a string, column_b string")
-    joined = grid.join(stats, (F.least("gi", "gj") == F.col("i")) & (F.greatest("gi", "gj") == F.col("j")), "left")
-    # least/greatest skip nulls, so a null r must be kept null explicitly
-    r = (F.when(F.col("r").isNull(), F.lit(None).cast("double"))
-          .when(F.col("gi") == F.col("gj"), F.lit(1.0))
-          .otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
-    return joined.select("column_a", "column_b", round_half_up(r, digits).alias("r"))
+    present = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    src = df.select(*[x.alias(c) for c, x in present.items()])
+    aggs = []
+    for i, a in enumerate(cols):
+        aggs.append(F.stddev_pop(a).alias(f"s{i}_{i}"))
+        for j in range(i + 1, len(cols)):
+            b = cols[j]
+            aggs += [F.covar_pop(a, b).alias(f"c{i}_{j}"),
+                     F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))).alias(f"s{i}_{j}"),
+                     F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b))).alias(f"s{j}_{i}")]
+
+    def r(i: int, j: int) -> Column:
+        if i == j:
+            return F.when(F.col(f"s{i}_{i}") > 0, F.lit(1.0))
+        lo, hi = min(i, j), max(i, j)
+        x = F.try_divide(F.col(f"c{lo}_{hi}"), F.col(f"s{lo}_{hi}") * F.col(f"s{hi}_{lo}"))
+        return F.when(x.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+
+    rows = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), round_half_up(r(i, j), digits).alias("r"))
+                     for i, a in enumerate(cols) for j, b in enumerate(cols)])
+    return src.agg(*aggs).select(F.inline(rows))
 
 
 def target_correlations(df: DataFrame, target: str = TARGET,
@@ -365,21 +357,9 @@ def distinct_main_categories(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles (exact, interpolated), max per column."""
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"_{i}_count"), F.avg(x).alias(f"_{i}_mean"),
-                 F.stddev_samp(x).alias(f"_{i}_std"), F.min(x).alias(f"_{i}_min"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{i}_q"),
-                 F.max(x).alias(f"_{i}_max")]
-    wide = df.agg(*aggs)
-    wide = wide.withColumns({f"_{i}_p{p}": F.element_at(f"_{i}_q", k + 1)
-                             for i in range(len(columns)) for k, p in enumerate((25, 50, 75))})
-    rows = F.array(*[F.struct(
-        F.lit(c).alias("column"), F.col(f"_{i}_count").alias("count"),
-        *[round_half_up(F.col(f"_{i}_{s}")).alias(s) for s in ("mean", "std", "min", "p25", "p50", "p75", "max")])
-        for i, c in enumerate(columns)])
-    return wide.select(F.inline(rows))
+    out = numeric_stats(df, columns, ("count", "mean", "std", "min", "max"), (0.25, 0.5, 0.75))
+    return out.withColumn("count", F.col("count").cast("bigint")).select(
+        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def head_rows(df: DataFrame, n: int = 5, order_by: Sequence[str] = ("product_id",)) -> DataFrame:
@@ -414,10 +394,6 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     return counts.unionByName(top).unionByName(stats).unionByName(miss)
 
 
-# FIXED VALUES — category → base discount factor of the sample catalog; others get 5.
-CATEGORY_DISCOUNT_FACTOR = {"Electronics": 5, "Clothing": 10, "Home&Kitchen": 7, "Books": 3, "Sports": 8}
-
-
 def top_products(df: DataFrame, by: str = "rating", n: int = 10, category: str | None = None,
                  order: Sequence[str] = ("product_id", "order_key", "line_number", "supp_key")) -> DataFrame:
     """``n`` rows with the largest ``by`` (whitelisted metric), optional main

@@ -1,94 +1,63 @@
-"""Exact quantiles by distributed refinement.
+"""Exact quantiles (linear interpolation between order statistics) without one task that holds a column.
 
-``percentile`` is exact but merges one value→count map per column in a single
-final task — its memory grows with the number of distinct values.  This
-operator gets the same answer (linear interpolation between the order
-statistics at rank q·(n−1), like ``percentile``) with bounded state:
+1. values are counted per (column, value), which combines on the map side;
+2. split points per column (a bounded sketch) deal the counted values into
+   ranges; they only balance the work;
+3. the ranges' totals give every range its offset, and a running sum inside a
+   range gives each value's ranks;
+4. one conditional aggregate reads the values at the ranks asked for.
 
-1. one pass: n = count;
-2. per target rank r, a bounded ``percentile_approx`` sketch of the values
-   still in r's bracket gives values just below and above r (the sketch's
-   rank error is at most m/accuracy, so a margin of twice that is safe);
-3. one pass of exact ``count_if`` puts r inside the new, narrower bracket;
-4. once a bracket holds at most ``max_collect`` values, those values (sorted)
-   are fetched and r is read off directly.
-
-All ranks of all columns share each pass (conditional aggregates), so the
-number of passes is 2 per round, ~log(n)/log(accuracy/4) rounds.  Only bounded
-things reach the driver: sketches, counts, ≤ ``max_collect`` values per rank.
+The number of ranges follows ``spark.sql.shuffle.partitions``, so a range holds
+about one shuffle partition's share of the values, whatever the table's size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, column: str, levels: Sequence[float], accuracy: int = 10000,
-                    max_collect: int = 20000, max_rounds: int = 30) -> list[float | None]:
-    x = F.col(column).cast("double")
-    src = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = src.count()
-    if n == 0:
-        return [None] * len(levels)
-    ranks = sorted({r for q in levels for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))})
-    # bracket per rank: the open interval (lo, hi) holds m values; `below`
-    # values are ≤ lo.  Rank r (0-based) is inside: below ≤ r < below + m.
-    br = {r: (-math.inf, math.inf, 0, n) for r in ranks}
-    found: dict[int, float] = {}
-    eps = 1.0 / accuracy
-    inside = lambda lo, hi: (F.col("v") > F.lit(lo)) & (F.col("v") < F.lit(hi))
-    for _ in range(max_rounds):
-        todo = [r for r in ranks if r not in found]
-        if not todo:
-            break
-        for r in [r for r in todo if br[r][3] <= max_collect]:
-            lo, hi, below, _ = br[r]
-            vals = [row[0] for row in src.where(inside(lo, hi)).orderBy("v").collect()]
-            found[r] = vals[r - below]
-        big = [r for r in todo if r not in found]
-        if not big:
-            break
-        sk = []
-        for r in big:  # one pass: a bounded sketch of each open bracket
-            lo, hi, below, m = br[r]
-            t = r - below
-            a = max(0.0, (t - 2 * eps * m - 1) / m)
-            b = min(1.0, (t + 2 * eps * m + 1) / m)
-            sk.append(F.percentile_approx(F.when(inside(lo, hi), F.col("v")), F.array(F.lit(a), F.lit(b)),
-                                          accuracy).alias(f"s{r}"))
-        row = src.agg(*sk).first()
-        cand = {r: (row[f"s{r}"][0], row[f"s{r}"][1]) for r in big}
-        cnt = []
-        for r in big:  # one pass: exact counts around each candidate bracket [a, b]
-            a, b = cand[r]
-            cnt += [F.count_if(F.col("v") < F.lit(a)).alias(f"lt{r}"),
-                    F.count_if(F.col("v") == F.lit(a)).alias(f"ea{r}"),
-                    F.count_if(F.col("v") == F.lit(b)).alias(f"eb{r}"),
-                    F.count_if(inside(a, b)).alias(f"in{r}")]
-        row = src.agg(*cnt).first()
-        for r in big:
-            a, b = cand[r]
-            lt, ea, eb, mid = row[f"lt{r}"], row[f"ea{r}"], row[f"eb{r}"], row[f"in{r}"]
-            if lt <= r < lt + ea:
-                found[r] = a
-            elif a != b and lt + ea + mid <= r < lt + ea + mid + eb:
-                found[r] = b
-            elif a != b and lt + ea <= r < lt + ea + mid:
-                br[r] = (a, b, lt + ea, mid)  # strictly smaller: a and b are excluded
-            else:
-                eps = min(0.5, eps * 4)  # sketch missed its bound: widen the margin and retry
-    if len(found) < len(ranks):
-        raise RuntimeError("quantile refinement did not converge")
-    out = []
-    for q in levels:
-        p = q * (n - 1)
-        lo_r, hi_r = math.floor(p), math.ceil(p)
-        if lo_r == hi_r:
-            out.append(found[lo_r])
-        else:
-            out.append((hi_r - p) * found[lo_r] + (p - lo_r) * found[hi_r])
-    return out
+def exact_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float]) -> DataFrame:
+    """(column, quantiles): the value at rank q·(n−1) for every level, interpolated; nulls are ignored.
+
+    A column without values has no row.
+    """
+    levels = list(levels)
+    if any(not 0.0 <= q <= 1.0 for q in levels):
+        raise ValueError("levels must lie in [0, 1]")
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    values = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])))
+    counts = values.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    splits = counts.groupBy("column").agg(F.percentile_approx("value", steps, 10_000).alias("splits"),
+                                          F.sum("n").alias("total"))
+    dealt = counts.join(F.broadcast(splits), "column").withColumn(  # one row per column
+        "part", F.size(F.filter("splits", lambda s: s < F.col("value")))).drop("splits")
+    earlier = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (dealt.groupBy("column", "part").agg(F.sum("n").alias("m"))
+               .select("column", "part", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before")))
+    running = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.join(F.broadcast(offsets), ["column", "part"]).withColumn(  # columns x ranges rows
+        "upto", F.col("before") + F.sum("n").over(running))
+
+    def at(rank):
+        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("value")))
+
+    picked = []
+    for i, q in enumerate(levels):
+        rank = F.lit(q) * (F.col("total") - 1).cast("double")
+        picked += [at(F.floor(rank)).alias(f"lo{i}"), at(F.ceil(rank)).alias(f"hi{i}"),
+                   F.max(rank - F.floor(rank)).alias(f"w{i}")]
+    # as order statistics interpolate: (1 - w) * lower + w * upper, exact where both are one value
+    each = [F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}"))
+            .otherwise((F.lit(1.0) - F.col(f"w{i}")) * F.col(f"lo{i}") + F.col(f"w{i}") * F.col(f"hi{i}"))
+            for i in range(len(levels))]
+    return ranked.groupBy("column").agg(*picked).select("column", F.array(*each).alias("quantiles"))
+
+
+def quantile_scalar(df: DataFrame, column: str, level: float):
+    """One quantile of one column as a scalar subquery column (null without values)."""
+    return exact_quantiles(df, [column], [level]).select(F.max(F.get("quantiles", F.lit(0)))).scalar()

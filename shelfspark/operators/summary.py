@@ -1,33 +1,42 @@
-"""Whole-dataset summary with a refreshable, lineage-free result.
+"""The whole catalog summary: every profile section as (section, key, value) rows.
 
-The summary sections are computed once and written with ``checkpoint()``
-(reliable: files in the cluster's ``spark.checkpoint.dir``), so re-reading it
-survives executor loss and never re-scans the catalog.  ``force_refresh``
-recomputes.
+A plan over the catalog as it is now; write the result to keep it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
-from shelfspark.operators.profile import dataset_summary
-from shelfspark.session import ensure_checkpoint_dir
-
-
-class CatalogProfile:
-    """Holds a catalog and its materialised summary."""
-
-    def __init__(self, df: DataFrame):
-        self.df = df
-        self._summary: DataFrame | None = None
-
-    def summary(self, force_refresh: bool = False) -> DataFrame:
-        if self._summary is None or force_refresh:
-            ensure_checkpoint_dir(self.df.sparkSession)
-            self._summary = dataset_summary(self.df).checkpoint(eager=True)
-        return self._summary
-
-
-def full_summary(df: DataFrame, force_refresh: bool = False) -> DataFrame:
-    """One-shot form of :class:`CatalogProfile`."""
-    return CatalogProfile(df).summary(force_refresh)
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from shelfspark.constants import CORRELATION_COLUMNS
+from shelfspark.functions.numeric import round_half_up
+from shelfspark.operators.profile import category_summary, correlation_matrix, dataset_summary, value_counts
+
+TEXT_COLUMNS = ("name_length", "description_length", "review_text_count")
+CATEGORY_KEYS = ("product_count", "avg_price", "avg_discount", "avg_rating", "total_reviews", "sub_categories",
+                 "price_min", "price_max")
+
+
+def full_summary(df: DataFrame) -> DataFrame:
+    """Dataset counts, top categories, column stats, missing values, price tiers, categories, texts and correlations."""
+    tiers = value_counts(df, "price_tier").select(
+        F.lit("price_tiers").alias("section"), F.col("price_tier").alias("key"), F.col("n").cast("double").alias("value"))
+    categories = category_summary(df).select(F.lit("categories").alias("section"), F.inline(F.array(*[
+        F.struct(F.concat("main_category", F.lit(f".{k}")).alias("key"), F.col(k).cast("double").alias("value"))
+        for k in CATEGORY_KEYS])))
+    lengths = df.agg(*[f(c).cast("double").alias(f"{c}.{k}") for c in TEXT_COLUMNS
+                       for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
+    texts = lengths.select(F.lit("texts").alias("section"), F.inline(F.array(*[
+        F.struct(F.lit(k).alias("key"), round_half_up(F.col(f"`{k}`")).alias("value")) for k in lengths.columns])))
+    matrix = correlation_matrix(df)
+    correlations = matrix.where(_first_of_pair()).select(
+        F.lit("correlations").alias("section"), F.concat("column_a", F.lit("|"), "column_b").alias("key"), F.col("r").alias("value"))
+    out = dataset_summary(df)
+    for part in (tiers, categories, texts, correlations):
+        out = out.unionByName(part)
+    return out
+
+
+def _first_of_pair() -> Column:
+    place = F.create_map(*[x for i, c in enumerate(CORRELATION_COLUMNS) for x in (F.lit(c), F.lit(i))])
+    return F.element_at(place, F.col("column_a")) < F.element_at(place, F.col("column_b"))

@@ -111,29 +111,24 @@ def sentiment_scores(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     subjectivity = mean over hits, 0.0 without hits.  A null or empty text gets
     polarity 0.0 and subjectivity 0.5.  The whole text is scored.
     """
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    toks = docs.select("id", tokens(F.col("text")).alias("t"))
-    # (term, previous term) pairs read inside the token array: no window needed
-    pairs = toks.select("id", F.posexplode(F.arrays_zip(
-        F.col("t").alias("term"),
-        F.concat(F.array(F.lit(None).cast("string")), F.col("t")).alias("prev"))).alias("pos", "z"))
-    pairs = pairs.select("id", F.col("z.term").alias("term"), F.col("z.prev").alias("prev"))
-    lex = F.broadcast(lexicon_table(spark))
-    neg = F.array(*[F.lit(x) for x in NEGATIONS])
-    hits = pairs.join(lex, "term").select(
-        "id",
-        F.when(F.array_contains(neg, F.coalesce(F.col("prev"), F.lit(""))),
-               F.col("polarity") * F.lit(NEGATION_FACTOR)).otherwise(F.col("polarity")).alias("p"),
-        "subjectivity")
-    agg = hits.groupBy("id").agg(F.avg("p").alias("_p"), F.avg("subjectivity").alias("_s"),
-                                 F.count(F.lit(1)).alias("hits"))
-    empty = F.col("text").isNull() | (F.col("text") == "")
-    return (docs.join(agg, "id", "left").select(
-        F.col("id").alias(id_col),
-        F.when(empty, F.lit(0.0)).otherwise(F.coalesce("_p", F.lit(0.0))).alias("polarity"),
-        F.when(empty, F.lit(0.5)).otherwise(F.coalesce("_s", F.lit(0.0))).alias("subjectivity"),
-        F.coalesce(F.col("hits"), F.lit(0)).cast("bigint").alias("hits")))
+    words = [w for w, _, _ in LEXICON]
+    value = lambda k: F.create_map(*[x for row in LEXICON for x in (F.lit(row[0]), F.lit(float(row[k])))])
+    scored = df.select(F.col(id_col), F.col(text_col).alias("_text"), tokens(F.col(text_col)).alias("_t"))
+    # each lexicon word with the word before it, read inside the token array: no join, no shuffle
+    found = F.filter(F.transform("_t", lambda t, i: F.struct(t.alias("term"), F.when(i > 0, F.get("_t", i - 1)).alias("prev"))),
+                     lambda z: z["term"].isin(words))
+    scored = scored.withColumn("_h", found)
+    negated = lambda z: F.coalesce(z["prev"].isin(NEGATIONS), F.lit(False))
+    total = lambda f: F.aggregate("_h", F.lit(0.0), lambda acc, z: acc + f(z))
+    polarity = total(lambda z: F.element_at(value(1), z["term"]) * F.when(negated(z), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0)))
+    subjectivity = total(lambda z: F.element_at(value(2), z["term"]))
+    hits = F.when(F.col("_h").isNull(), F.lit(0)).otherwise(F.size("_h"))
+    empty = F.col("_text").isNull() | (F.col("_text") == "")
+    return scored.select(
+        F.col(id_col),
+        F.when(empty | (hits == 0), F.lit(0.0)).otherwise(polarity / hits).alias("polarity"),
+        F.when(empty, F.lit(0.5)).when(hits == 0, F.lit(0.0)).otherwise(subjectivity / hits).alias("subjectivity"),
+        F.when(empty, F.lit(0)).otherwise(hits).cast("bigint").alias("hits"))
 
 
 def add_sentiment(df: DataFrame, texts: DataFrame | None = None, key: str = "part_key") -> DataFrame:
@@ -145,11 +140,10 @@ def add_sentiment(df: DataFrame, texts: DataFrame | None = None, key: str = "par
     if "review_sentiment" in df.columns:
         return df
     if texts is None:
-        if "review_content" in df.columns:
-            s = sentiment_scores(df.select("review_content").distinct(), "review_content", "review_content")
-            return df.join(s.select("review_content", F.col("polarity").alias("review_sentiment")),
-                           "review_content", "left").withColumn(
-                "review_sentiment", F.coalesce("review_sentiment", F.lit(0.0)))
+        if "review_content" in df.columns:  # scored in the row: no join on texts
+            whole = F.struct(*[F.col(c) for c in df.columns])
+            s = sentiment_scores(df.select(whole.alias("_row"), "review_content"), "_row", "review_content")
+            return s.select("_row.*", F.col("polarity").alias("review_sentiment"))
         return df.withColumn("review_sentiment", F.lit(0.0))
     s = sentiment_scores(texts, key, "review_content").select(key, F.col("polarity").alias("review_sentiment"))
     return (df.join(s, key, "left")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from shelfspark.functions.numeric import round_half_up
 from shelfspark.operators import insights as I
 from shelfspark.plans.frames import questions_frame
 from shelfspark.plans.registry import query
@@ -41,11 +44,20 @@ def q_high_rating_low_revenue(spark, sf_dir):
     return I.high_rating_low_revenue(questions_frame(spark, sf_dir))
 
 
-@query("filter_rating_band", oracle=_topk_sql(
-    "product_name", R2("sum(discounted_price)"), "revenue", asc=True, where="discount_percentage > 50e0"))
+_BANDS = [("excellent", "rating >= 4.5e0", 4.5, None), ("good", "rating >= 4e0", 4.0, None),
+          ("poor", "rating <= 2e0", None, 2.0)]
+
+
+@query("filter_rating_band", oracle=nb(" UNION ALL ".join(
+    f"SELECT '{name}' AS band, count(*) AS n, {R2('avg(rating)')} AS avg_rating, {R2('sum(discounted_price)')} AS revenue "
+    f"FROM nb WHERE {cond}" for name, cond, _, _ in _BANDS)))
 def q_filter_rating_band(spark, sf_dir):
-    """The notebook's band filters (rating ≥4.5 / ≥4 / ≤2, discount >50) — discount band shown."""
-    return I.high_discount_low_revenue(questions_frame(spark, sf_dir))
+    """Rows, mean rating and revenue of the rating bands ≥ 4.5, ≥ 4 and ≤ 2."""
+    df = questions_frame(spark, sf_dir)
+    parts = [I.rating_band(df, low, high).agg(F.count(F.lit(1)).alias("n"), round_half_up(F.avg("rating")).alias("avg_rating"),
+                                              round_half_up(F.sum("discounted_price")).alias("revenue"))
+             .select(F.lit(name).alias("band"), "*") for name, _, low, high in _BANDS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("high_discount_low_revenue", oracle=_topk_sql(
@@ -178,12 +190,12 @@ def q_bundle_pairs(spark, sf_dir):
 
 
 @query("pair_self_join", oracle=nb("""
-SELECT concat(a, ' + ', b) AS product_pair, a AS item_a, b AS item_b, count(*) AS count
+SELECT a AS item_a, b AS item_b, count(*) AS n
 FROM (SELECT x.product_name AS a, y.product_name AS b
       FROM r x JOIN r y ON x.user_id = y.user_id AND x.pos < y.pos)
-GROUP BY a, b ORDER BY count DESC, a, b LIMIT 10""",
+GROUP BY a, b HAVING count(*) > 1""",
     extra="r AS (SELECT user_id, product_name, row_number() OVER (PARTITION BY user_id ORDER BY order_key, "
           "line_number, part_key, supp_key, actual_price) AS pos FROM nb WHERE user_id IS NOT NULL)"))
 def q_pair_self_join(spark, sf_dir):
-    """The equi (user) + theta (row order) self-join behind bundle pairs."""
-    return I.bundle_pairs(questions_frame(spark, sf_dir), probe=10)
+    """All ordered item pairs that occur more than once, with their counts."""
+    return I.ordered_pairs(questions_frame(spark, sf_dir)).where("n > 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfspark.constants import CORRELATION_COLUMNS
@@ -315,38 +316,66 @@ def q_dataset_summary(spark, sf_dir):
     return P.dataset_summary(enriched(spark, sf_dir))
 
 
-@query("full_summary", oracle=with_enriched(_summary_sql()))
+def _full_sql() -> str:
+    tiers = f"SELECT 'price_tiers' AS section, price_tier AS key, cast(count(*) AS double) AS value FROM enriched GROUP BY 2"
+    cats = " UNION ALL ".join(
+        f"SELECT 'categories', main_category || '.{k}', {R2(f'cast({x} AS double)')} FROM enriched GROUP BY main_category"
+        for k, x in (("product_count", "count(*)"), ("avg_price", "avg(actual_price)"), ("avg_discount", "avg(discount_percentage)"),
+                     ("avg_rating", "avg(rating)"), ("total_reviews", "sum(rating_count)"),
+                     ("sub_categories", "count(DISTINCT sub_category)"), ("price_min", "min(actual_price)"),
+                     ("price_max", "max(actual_price)")))
+    texts = " UNION ALL ".join(
+        f"SELECT 'texts', '{c}.{k}', {R2(f'cast({f}({c}) AS double)')} FROM enriched"
+        for c in ("name_length", "description_length", "review_text_count") for k, f in (("min", "min"), ("max", "max"), ("mean", "avg")))
+    cols = ["actual_price", "discounted_price", "discount_percentage", "rating", "rating_count", "category_depth",
+            "name_length", "description_length", "rating_count_log"]
+    corr = " UNION ALL ".join(
+        f"SELECT 'correlations', '{a}|{b}', {R2(f'greatest(-1e0, least(1e0, covar_pop({a}, {b}) / nullif(stddev_pop({a}) FILTER (WHERE {b} IS NOT NULL) * stddev_pop({b}) FILTER (WHERE {a} IS NOT NULL), 0e0)))', 3)} FROM enriched"
+        for i, a in enumerate(cols) for b in cols[i + 1:])
+    return f"{_summary_sql()} UNION ALL {tiers} UNION ALL {cats} UNION ALL {texts} UNION ALL {corr}"
+
+
+@query("full_summary", oracle=with_enriched(_full_sql()))
 def q_full_summary(spark, sf_dir):
-    """All summary sections computed over one persisted catalog."""
+    """Every section: counts, top categories, stats, missing, price tiers, categories, texts, correlations."""
     from shelfspark.operators.summary import full_summary
     return full_summary(enriched(spark, sf_dir))
 
 
-
 _TOP_COLS = ["product_id", "product_name", "main_category", "rating", "actual_price", "discount_percentage",
              "rating_count"]
 
 
-@query("top_products", oracle=with_enriched(f"""SELECT product_id, product_name, main_category,
-    {R2('rating')} AS rating, {R2('actual_price')} AS actual_price, {R2('discount_percentage')} AS discount_percentage,
-    rating_count FROM enriched ORDER BY rating DESC NULLS LAST, product_id, order_key, line_number, supp_key LIMIT 10"""))
-def q_top_products(spark, sf_dir):
-    return P.top_products(enriched(spark, sf_dir), "rating", 10)
+_TOP_CASES = [(by, None) for by in ("rating", "discount_percentage", "rating_count", "actual_price")] + [
+    (by, "STANDARD") for by in ("rating", "actual_price")]
 
 
-@query("sort_bins", oracle=_hist_query(
-    [0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 101],
-    ["0-10%", "10-20%", "20-30%", "30-40%", "40-50%", "50-60%", "60-70%", "70-80%", "80-90%", "90-100%"],
-    "discount_percentage"))
-def q_sort_bins(spark, sf_dir):
-    """Histogram rows in bin order (not count order)."""
-    return P.discount_histogram(enriched(spark, sf_dir)).orderBy("bin_no")
+def _top_sql(by: str, category: str | None) -> str:
+    where = f"WHERE main_category = '{category}'" if category else ""
+    return (f"(SELECT '{by}' AS metric, '{category or 'all'}' AS scope, product_id, product_name, main_category, "
+            f"{R2('rating')} AS rating, {R2('actual_price')} AS actual_price, {R2('discount_percentage')} AS discount_percentage, "
+            f"rating_count FROM enriched {where} ORDER BY {by} DESC NULLS LAST, product_id, order_key, line_number, supp_key LIMIT 10)")
 
 
-@query("dict_map_join", oracle=with_enriched("""SELECT main_category, count(*) AS n,
-    CASE main_category WHEN 'Electronics' THEN 5 WHEN 'Clothing' THEN 10 WHEN 'Home&Kitchen' THEN 7
-         WHEN 'Books' THEN 3 WHEN 'Sports' THEN 8 ELSE 5 END AS category_factor FROM enriched GROUP BY 1"""))
-def q_dict_map_join(spark, sf_dir):
-    from shelfspark.operators.enrich import map_lookup
-    df = enriched(spark, sf_dir).groupBy("main_category").agg(F.count(F.lit(1)).alias("n"))
-    return map_lookup(df, "main_category", P.CATEGORY_DISCOUNT_FACTOR, 5, "category_factor")
+@query("top_products", oracle=with_enriched(" UNION ALL ".join(_top_sql(*c) for c in _TOP_CASES)))
+def q_top_products(spark, sf_dir):
+    """The top ten by each metric, and within one category by two of them."""
+    df = enriched(spark, sf_dir)
+    out = None
+    for by, category in _TOP_CASES:
+        part = P.top_products(df, by, 10, category).select(F.lit(by).alias("metric"), F.lit(category or "all").alias("scope"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("sort_bins", oracle=with_enriched("""SELECT cast(row_number() OVER (ORDER BY lo) AS integer) AS place, bin, n FROM (
+    SELECT least(floor((discount_percentage - 1e-9) / 10e0), 9) AS lo,
+           min(CASE WHEN discount_percentage > 90 THEN '90-100%' ELSE
+               cast(cast(floor((discount_percentage - 1e-9) / 10e0) * 10 AS integer) AS varchar) || '-' ||
+               cast(cast(floor((discount_percentage - 1e-9) / 10e0) * 10 + 10 AS integer) AS varchar) || '%' END) AS bin, count(*) AS n
+    FROM enriched WHERE discount_percentage > 0 GROUP BY 1)"""))
+def q_sort_bins(spark, sf_dir):
+    """Histogram bins that have rows, numbered in bin order (not count order)."""
+    bins = P.discount_histogram(enriched(spark, sf_dir)).where("n > 0")
+    place = Window.orderBy("bin_no")  # one row per bin
+    return bins.select(F.row_number().over(place).alias("place"), "bin", "n")

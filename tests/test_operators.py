@@ -138,7 +138,7 @@ def test_term_counts_broadcast_stopwords(spark, sf_small):
     from shelfspark.sources.tables import read_table
     df = term_counts(read_table(spark, sf_small, "documents"), "doc_id", "text")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" not in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 @pytest.mark.parametrize("kind", ["normal", "dups", "skew"])
@@ -150,6 +150,9 @@ def test_exact_quantiles_refined(spark, kind):
             "skew": np.concatenate([np.full(15000, 3.0), rng.exponential(5, 5000)])}[kind]
     df = spark.createDataFrame([(float(v),) for v in data], "x double")
     lv = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
-    got = exact_quantiles(df, "x", lv, accuracy=500, max_collect=300)
+    found = exact_quantiles(df.withColumn("y", -F.col("x")).withColumn("z", F.lit(None).cast("double")), ["x", "y", "z"], lv)
+    got = {r["column"]: r["quantiles"] for r in found.collect()}
     want = df.agg(F.percentile("x", F.array(*[F.lit(q) for q in lv]))).first()[0]
-    assert got == pytest.approx(want, abs=1e-12)
+    assert set(got) == {"x", "y"}
+    assert got["x"] == pytest.approx(want, abs=1e-12)
+    assert got["y"] == pytest.approx([-w for w in reversed([np.quantile(data, 1 - q) for q in reversed(lv)])], abs=1e-12)

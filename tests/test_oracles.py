@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB oracle (or a rows-only run) at sf0.001."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -8,7 +9,8 @@ import pytest
 import __spark_entry__ as E
 from shelfspark.sources.tables import TABLES
 
-QUERIES = E.queries()
+#: The corpus operators have tests of their own in tests/llm.
+QUERIES = {n: f for n, f in E.queries().items() if not re.match(r"op\d+_|pipeline", n)}
 ORACLES = E.oracle_sql()
 
 
@@ -47,7 +49,7 @@ def test_query(spark, con, sf_small, name):
     df = QUERIES[name](spark, sf_small)
     srows = [tuple(r) for r in df.collect()]
     if name not in ORACLES:
-        assert srows is not None
+        assert srows and all(any(v is not None for v in r) for r in srows)
         return
     cur = con.execute(ORACLES[name])
     dcols = [d[0] for d in cur.description]
