@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from shelfspark.functions.numeric import round_half_up
@@ -220,11 +222,20 @@ def q_document_vector_join(spark, sf_dir):
                                                   F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query("embed_documents")
+def _embed_cte(name: str, source: str) -> str:
+    """(id, b, n) word counts per place and (id, norm) of ``source`` (id, text)."""
+    return f"""{name}_b AS (SELECT id, cast('0x' || substr(md5(t), 1, 8) AS bigint) % 256 AS b, count(*) AS n
+  FROM (SELECT id, unnest({_tok('text')}) AS t FROM {source}) GROUP BY 1, 2),
+{name}_n AS (SELECT id, sqrt(cast(sum(n * n) AS double)) AS norm FROM {name}_b GROUP BY id)"""
+
+
+@query("embed_documents", oracle=f"""WITH src AS (SELECT doc_id AS id, text FROM documents), {_embed_cte('e', 'src')}
+SELECT e_b.id AS doc_id, cast(b AS integer) AS place, {R2('n / norm', 9)} AS value FROM e_b JOIN e_n ON e_b.id = e_n.id""")
 def q_embed_documents(spark, sf_dir):
-    """Hashed unit vectors of every document (rows-only: hashing is engine specific)."""
-    docs = read_table(spark, sf_dir, "documents")
-    return RAG.embed_documents(docs, "text", "vector").select("doc_id", "vector")
+    """The non-zero places of every document's vector."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return RAG.embed_documents(docs, "text", "vector").select("doc_id", F.posexplode("vector").alias("place", "x")).where(
+        "x <> 0").select("doc_id", "place", round_half_up("x", 9).alias("value"))
 
 
 # ---------------------------------------------------------------- vectors & search
@@ -269,10 +280,10 @@ def _self_search(spark, sf_dir, **kw):
     return hits.select("query_id", "rank", "id", round_half_up("score", 6).alias("score"), "main_category")
 
 
-@query("semantic_search", oracle=_search_sql(5, "0.7e0"))
+@query("semantic_search", oracle=_search_sql(5, "0.2e0"))
 def q_semantic_search(spark, sf_dir):
-    """Every vector as a query against the whole index: top 5 with cosine ≥ 0.7."""
-    return _self_search(spark, sf_dir)
+    """Every vector as a query against the whole index: top 5 with cosine ≥ 0.2."""
+    return _self_search(spark, sf_dir, score_threshold=0.2)
 
 
 @query("vector_topk", oracle=_search_sql(10, "0.5e0"))
@@ -280,32 +291,24 @@ def q_vector_topk(spark, sf_dir):
     return _self_search(spark, sf_dir, top_k=10, score_threshold=0.5)
 
 
-@query("search_filters", oracle=_search_sql(5, "0.3e0", "i.main_category = 'label_3'"))
-def q_search_filters(spark, sf_dir):
-    return _self_search(spark, sf_dir, score_threshold=0.3, filters={"category": "label_3"})
-
-
-@query("query_document_cross", oracle=_search_sql(20, "0e0"))
-def q_query_document_cross(spark, sf_dir):
-    """All query × vector scores ≥ 0 (pivot cells prune nothing at τ = 0), top 20."""
-    return _self_search(spark, sf_dir, top_k=20, score_threshold=0.0)
-
-
 # ---------------------------------------------------------------- RAG batch
 
 
 def product_index(spark, sf_dir):
-    """Product documents joined to their vectors (``embeddings.vec_id`` = part key)."""
-    docs = RAG.build_rag_documents(products(spark, sf_dir))
-    e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"),
-                                                      F.col("embedding").alias("vector"))
-    return docs.join(e, "id")
+    """Every product document with its vector."""
+    return RAG.embed_documents(RAG.build_rag_documents(products(spark, sf_dir)), "text", "vector")
+
+
+def user_questions(spark, sf_dir):
+    """Every user turn as a question with its vector."""
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    q = conv.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("question"))
+    return RAG.embed_documents(q, "question", "query_vector")
 
 
-def _hits(spark, sf_dir, top_k=5, tau=0.7):
-    idx = product_index(spark, sf_dir)
-    q = idx.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"),
-                   F.concat(F.lit("Which products are similar to "), F.col("product_name"), F.lit("?")).alias("question"))
+def _hits(spark, sf_dir, top_k=5, tau=0.5, filters=None):
+    idx = search_filters(product_index(spark, sf_dir), **(filters or {}))
+    q = user_questions(spark, sf_dir)
     payload = ["text", "product_name", "main_category", "actual_price", "discounted_price",
                "discount_percentage", "rating", "rating_count"]
     hits = semantic_search(q, idx, top_k=top_k, score_threshold=tau, payload=payload)
@@ -317,10 +320,13 @@ docs AS (SELECT product_id AS id, product_name, main_category, actual_price, dis
            concat_ws(chr(10), 'Product: ' || product_name, 'Category: ' || main_category,
                      'Sub-category: ' || sub_category, 'Description: ' || about_product,
                      'Reviews: ' || review_content) AS text FROM prod),
-ix AS (SELECT d.*, cast(e.embedding AS double[]) AS v FROM docs d JOIN embeddings e ON cast(e.vec_id AS varchar) = d.id),
-n AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM ix),
-s AS (SELECT q.id AS query_id, i.*, list_dot_product(q.u, i.u) AS score FROM n q, n i
-      WHERE list_dot_product(q.u, i.u) >= 0.7e0),
+qs AS (SELECT concat_ws('-', conv_id, turn) AS query_id, text AS question FROM conversations WHERE role = 'user'),
+q_src AS (SELECT query_id AS id, question AS text FROM qs),
+""" + _embed_cte("q", "q_src") + "," + _embed_cte("d", "docs") + """,
+s AS (SELECT query_id, docs.*, score FROM (
+        SELECT q_b.id AS query_id, d_b.id AS did, round(sum(q_b.n * d_b.n) / (any_value(q_n.norm) * any_value(d_n.norm)), 9) AS score
+        FROM q_b JOIN d_b ON q_b.b = d_b.b JOIN q_n ON q_b.id = q_n.id JOIN d_n ON d_b.id = d_n.id GROUP BY 1, 2)
+      JOIN docs ON docs.id = did WHERE score >= 0.5e0 /*filter*/),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM s),
 h AS (SELECT * FROM r WHERE rk <= 5),
 blk AS (SELECT query_id, rk, concat_ws(chr(10),
@@ -337,7 +343,6 @@ blk AS (SELECT query_id, rk, concat_ws(chr(10),
 ctx AS (SELECT query_id, count(*) AS n_hits,
           'Relevant products from our catalog:' || chr(10) || chr(10) || string_agg(b, chr(10) ORDER BY rk) AS context
         FROM blk GROUP BY query_id),
-qs AS (SELECT id AS query_id, 'Which products are similar to ' || product_name || '?' AS question FROM ix),
 cq AS (SELECT qs.query_id, qs.question, cast(coalesce(ctx.n_hits, 0) AS integer) AS n_hits,
           coalesce(ctx.context, 'No relevant products found in the database.') AS context
         FROM qs LEFT JOIN ctx ON qs.query_id = ctx.query_id)"""
@@ -358,28 +363,67 @@ def q_extract_sources(spark, sf_dir):
                       F.col("s.relevance").alias("relevance"), F.col("s.id").alias("id"))
 
 
-def _qa_prompt_sql() -> str:
-    from shelfspark.operators.prompts import QA_PROMPT_TEMPLATE, UNGROUNDED_PROMPT_TEMPLATE
-    qa = _q(QA_PROMPT_TEMPLATE)
-    un = _q(UNGROUNDED_PROMPT_TEMPLATE)
-    return with_ctes(_RAG_CTE, f"""SELECT query_id, n_hits > 0 AS grounded,
-    CASE WHEN n_hits > 0 THEN replace(replace({qa}, '{{question}}', question), '{{context}}', context)
-         ELSE replace({un}, '{{question}}', question) END AS prompt FROM cq""")
+_FILTERED = {"min_price": 300.0, "max_price": 5000.0, "min_rating": 2.0}
 
 
-@query("assemble_prompts", oracle=_qa_prompt_sql())
-def q_assemble_prompts(spark, sf_dir):
+@query("search_filters", oracle=with_ctes(_RAG_CTE.replace(
+    "/*filter*/", "AND actual_price >= 300e0 AND actual_price <= 5000e0 AND rating >= 2e0"),
+    f"SELECT query_id, cast(rk AS integer) AS rank, id, {R2('score', 6)} AS score, main_category FROM h"))
+def q_search_filters(spark, sf_dir):
+    """Questions against the products of a price band with a rating of at least 2."""
+    _, hits = _hits(spark, sf_dir, filters=_FILTERED)
+    return hits.select("query_id", "rank", "id", round_half_up("score", 6).alias("score"), "main_category")
+
+
+@query("question_search", oracle=with_ctes(
+    _RAG_CTE, f"SELECT query_id, cast(rk AS integer) AS rank, id, {R2('score', 6)} AS score, main_category FROM h"))
+def q_question_search(spark, sf_dir):
+    """Question text → vector → the five nearest product documents."""
+    _, hits = _hits(spark, sf_dir)
+    return hits.select("query_id", "rank", "id", round_half_up("score", 6).alias("score"), "main_category")
+
+
+_KINDS = ("qa", "qa_examples", "recommendation", "comparison", "pricing")
+
+
+def _prompt_sql() -> str:
+    """The prompts of all kinds; slots are filled once, the question last so that its text is never filled again."""
+    from shelfspark.operators.prompts import UNGROUNDED_PROMPT_TEMPLATE, template
+    parts = []
+    for kind in _KINDS:
+        t = template(kind)
+        slot = "{request}" if "{request}" in t else "{question}"
+        pieces = re.split(r"(\{context\}|" + re.escape(slot) + ")", t)
+        grounded = " || ".join("context" if x == "{context}" else "question" if x == slot else _q(x) for x in pieces if x)
+        pieces = re.split(r"(\{question\})", UNGROUNDED_PROMPT_TEMPLATE)
+        without = " || ".join("question" if x == "{question}" else _q(x) for x in pieces if x)
+        parts.append(f"SELECT '{kind}' AS kind, query_id, n_hits > 0 AS grounded, "
+                     f"CASE WHEN n_hits > 0 THEN {grounded} ELSE {without} END AS prompt FROM cq")
+    return with_ctes(_RAG_CTE, " UNION ALL ".join(parts))
+
+
+def _contexts(spark, sf_dir):
     q, hits = _hits(spark, sf_dir)
-    ctx = RAG.format_context(hits, q).join(q.select("query_id", "question"), "query_id")
-    return RAG.assemble_prompts(ctx).select("query_id", "grounded", "prompt")
+    return RAG.format_context(hits, q).join(q.select("query_id", "question"), "query_id")
 
 
-@query("rag_batch", oracle=with_ctes(_RAG_CTE, """SELECT query_id, n_hits, n_hits > 0 AS grounded FROM cq"""))
+@query("assemble_prompts", oracle=_prompt_sql())
+def q_assemble_prompts(spark, sf_dir):
+    """Prompts of every kind for every question, grounded or not."""
+    ctx = _contexts(spark, sf_dir)
+    out = None
+    for kind in _KINDS:
+        part = RAG.assemble_prompts(ctx, kind=kind).select(F.lit(kind).alias("kind"), "query_id", "grounded", "prompt")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("rag_batch", oracle=with_ctes(_RAG_CTE, f"""SELECT cq.query_id, n_hits, n_hits > 0 AS grounded,
+    {R2('max(score)', 6)} AS best_score FROM cq LEFT JOIN h ON h.query_id = cq.query_id GROUP BY 1, 2, 3"""))
 def q_rag_batch(spark, sf_dir):
     """Questions → hits → context → prompt, sources and grounded flag (no generation)."""
     q, hits = _hits(spark, sf_dir)
-    ctx = RAG.format_context(hits, q).join(q.select("query_id", "question"), "query_id")
+    best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
+    ctx = RAG.format_context(hits, q).join(q.select("query_id", "question"), "query_id").join(best, "query_id", "left")
     out = RAG.assemble_prompts(ctx, kind="qa_examples")
-    return out.select("query_id", "n_hits", "grounded")
-
-
+    return out.select("query_id", "n_hits", "grounded", round_half_up("best", 6).alias("best_score"))
