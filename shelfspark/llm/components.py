@@ -20,9 +20,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     total = _sum(labels)
     while total is not None:
         near = (both.join(labels, both["a"] == labels["id"]).groupBy(F.col("b").alias("id")).agg(F.min("label").alias("near")))
-        least = stored(labels.join(near, "id").select("id", F.least("label", "near").alias("label")), "labels")
-        of_label = least.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        labels = stored(least.join(of_label, "label").select("id", F.col("further").alias("label")), "labels")
+        least = labels.join(near, "id").select("id", F.least("label", "near").alias("label"))
+        further = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        labels = stored(least.join(further, "label").select("id", F.least("label", "further").alias("label")), "labels")
         now = _sum(labels)
         if now == total:
             break

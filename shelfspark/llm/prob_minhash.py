@@ -7,12 +7,13 @@ once its next arrival is later than every register's first.  Two signatures
 agree in a register with the probability Jaccard similarity of the documents.
 
 Exact copies (equal words) share one class from the start.  Bands of registers
-give buckets; inside a bucket each member is compared with the smallest id,
-and members that are not near to it with every other member of another
-component, so no candidate link between components is lost and no group is
-expanded into all pairs.  Candidates are verified on their whole texts:
-probability Jaccard of the counts, or Jaccard of the shingle sets, of at least
-the threshold.  Classes are the connected components.
+give buckets; members of a bucket are compared with its most central member
+first, and from then on only across components, so that a large group of near
+copies is linked by its centre and no candidate link between components is
+lost; in large buckets an exact prefix filter on rare shingles says which pairs
+can be near at all.  Candidates are verified on their whole texts: probability Jaccard of
+the counts, or Jaccard of the shingle sets, of at least the threshold.
+Classes are the connected components.
 
 Words are maximal runs of ASCII letters and digits and of non-ASCII characters
 in the lower-cased text; a shorter text is one shingle of all its words.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import stored
@@ -195,6 +196,107 @@ def _near(pairs: DataFrame, texts: DataFrame, threshold: float, shingle_words: i
             .mapInArrow(verify, "a long, b long"))
 
 
+def _link_buckets(
+    members: DataFrame, texts: DataFrame, threshold: float, shingle_words: int, small: int = 32
+) -> DataFrame:
+    """(id, label): components of all near pairs that share a bucket.
+
+    First every member meets the most central member of its bucket, which links
+    a group of near copies at once.  What is then still apart meets within
+    buckets of at most ``small`` members pair by pair; in larger buckets two
+    members can only be near if they share one of their rarest shingles, and
+    those meet that do (an exact filter, so a bucket full of texts that merely
+    share a passage is not expanded).
+    """
+    centre = Window.partitionBy("key").orderBy(F.col("degree").desc(), "id")
+    leading = (members.withColumn("n", F.row_number().over(centre)).where("n = 1")
+               .select("key", F.col("id").alias("centre")))
+    met = members.where("size > 1").join(leading, "key").where("id <> centre")
+    first = stored(met.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct(), "pairs")
+    links = stored(_near(first, texts, threshold, shingle_words), "links")
+    labels = connected_components(links)
+    placed = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = (placed.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last"))
+             .where("first <> last").select("key"))
+    apart = stored(placed.join(mixed, "key"), "open_buckets")
+    few = apart.where(F.col("size") <= small)
+    others = few.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))
+    pairs = (few.join(others, "key").where("label <> other_label AND id > other")
+             .select(F.col("id").alias("a"), F.col("other").alias("b")))
+    many = apart.where(F.col("size") > small).select("id", "label").distinct()
+    if not many.isEmpty():
+        pairs = pairs.union(_pairs_by_rare_shingles(many, texts, threshold, shingle_words))
+    pairs = stored(pairs.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    more = stored(_near(pairs, texts, threshold, shingle_words), "links")
+    return labels if more.isEmpty() else connected_components(links.union(more))
+
+
+_COUNT_BITS, _CHUNK_BITS = 22, 16
+
+
+def _pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, threshold: float, shingle_words: int) -> DataFrame:
+    """(a, b) of members with different labels that can reach the threshold.
+
+    Similarity t needs shared shingles of at least t of either text's weight (or
+    number) of shingles, so in any one order of all shingles the first that two
+    such texts share is among those of the first 1 - t of each.  The order is by
+    a table of hashed counts of fixed size, rare shingles first; shingles that
+    no second text has are left out.
+    """
+    own = stored(texts.join(members, "id"), "large_buckets")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for b in batches:
+            for text in b.column(0):
+                found.append(np.unique(_counted(text.as_py(), shingle_words)[0] & np.uint64((1 << _COUNT_BITS) - 1)))
+        if found:
+            at, n = np.unique(np.concatenate(found).astype(np.int64), return_counts=True)
+            cuts = np.flatnonzero(np.diff(at >> _CHUNK_BITS)) + 1
+            rows = [s for s in np.split(np.arange(len(at)), cuts) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(at[s[0]] >> _CHUNK_BITS) for s in rows], pa.int32()),
+                 pa.array([(at[s] & ((1 << _CHUNK_BITS) - 1)).astype("<u2").tobytes() for s in rows], pa.binary()),
+                 pa.array([np.minimum(n[s], 65535).astype("<u2").tobytes() for s in rows], pa.binary())],
+                names=["chunk", "at", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(1 << _CHUNK_BITS, dtype=np.int64)
+        for at, n in zip(t["at"].to_pylist(), t["n"].to_pylist()):
+            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u2")
+        return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int32()),
+                         "n": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
+
+    chunks = (own.select("text").mapInArrow(count, "chunk int, at binary, n binary")
+              .groupBy("chunk").applyInArrow(add, "chunk int, n binary").collect())  # 4 MB at most
+    table = np.zeros(1 << _COUNT_BITS, dtype=np.uint8)
+    for r in chunks:
+        table[r.chunk << _CHUNK_BITS:(r.chunk + 1) << _CHUNK_BITS] = np.frombuffer(r.n, dtype=np.uint8)
+    held = own.sparkSession.sparkContext.broadcast(table)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slack = 1 - threshold + 1e-9
+        for b in batches:
+            lists = []
+            for text in b.column(2):
+                h, w = _counted(text.as_py(), shingle_words)
+                n = held.value[h & np.uint64((1 << _COUNT_BITS) - 1)]
+                order = np.lexsort((h, n))
+                weight = np.cumsum(w[order]) - w[order]
+                keep = (weight <= slack * w.sum()) | (np.arange(len(h)) <= slack * len(h))
+                lists.append(h[order][keep & (n[order] > 1)].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["id", "label", "rare"])
+
+    rows = own.select("id", "label", "text").mapInArrow(rare, "id long, label long, rare array<long>")
+    rows = stored(rows.select("id", "label", F.explode("rare").alias("shingle")), "rare_shingles")
+    shared = rows.groupBy("shingle").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last")
+    rows = rows.join(shared.select("shingle"), "shingle")
+    others = rows.select("shingle", F.col("id").alias("b"), F.col("label").alias("other_label"))
+    return (rows.join(others, "shingle").where("id > b AND label <> other_label")
+            .select(F.col("id").alias("a"), "b").distinct())
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -207,28 +309,14 @@ def near_duplicates(
     known = signed.where(F.col("doc_id").isNotNull() & F.col("h1").isNotNull())
     copies = stored(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")), "copies")
     keys = copies.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(keys.join(shared, "key"), "buckets")
-    involved = members.select("id").distinct()
+    central = members.groupBy("id").agg(F.sum("size").alias("degree"))  # who meets the most others
+    members = stored(members.join(central, "id"), "ranked_buckets")
     texts = stored(
         docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        .where(F.col("text").isNotNull()).join(involved, "id"), "bucket_texts")
-    first = stored(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "first_pairs")
-    links = stored(_near(first, texts, threshold, shingle_words), "first_links")
-    labels = connected_components(links)
-    placed = (members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
-    placed = stored(placed, "labelled_buckets")
-    # a member that isn't near to its bucket's smallest id meets the bucket's members of other components
-    apart = placed.where("id <> hub").join(
-        links.select(F.col("a").alias("id"), F.col("b").alias("hub")), ["id", "hub"], "left_anti")
-    others = placed.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))
-    second = (
-        apart.join(others, "key").where("label <> other_label")
-        .select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti"))
-    second = stored(second, "second_pairs")
-    more = stored(_near(second, texts, threshold, shingle_words), "second_links")
-    final = connected_components(links.union(more))
+        .where(F.col("text").isNotNull()).join(central.select("id"), "id"), "bucket_texts")
+    final = _link_buckets(members, texts, threshold, shingle_words)
     of_copy = copies.select("h1", "h2", "id").join(final, "id", "left").select(
         F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("label", "id").alias("class"))
     return (

@@ -214,6 +214,23 @@ def test_classes_equal_brute_force(spark):
     assert {r.doc_id: r.class_id for r in rows} == {**plain_classes(docs), None: None}
 
 
+def test_large_buckets_of_texts_that_share_a_passage(spark):
+    """Many texts share most of their words and are not near; a few of them are."""
+    rnd = random.Random(12)
+    words = lambda n: [rnd.choice("abcdefgh") + str(rnd.randrange(10 ** 6)) for _ in range(n)]
+    core, docs = words(60), {}
+    for i in range(120):
+        docs[i] = " ".join(core + words(16))
+    for i in range(120, 150):  # near to one of them
+        parts = docs[i - 120].split()
+        parts[3] = "other"
+        docs[i] = " ".join(parts)
+    for i in range(150, 155):  # mostly core: near to each other
+        docs[i] = " ".join(core + words(3))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in prob_minhash.near_duplicates(df).collect()} == plain_classes(docs)
+
+
 def test_classes_of_odd_and_no_rows(spark, odd_docs, no_docs):
     rows = prob_minhash.near_duplicates(odd_docs).collect()
     assert len(rows) == len(ODD_TEXTS) and {r.class_id for r in rows if r.doc_id == 5} == {5}
