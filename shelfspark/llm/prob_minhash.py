@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import stored
@@ -208,10 +208,8 @@ def _link_buckets(
     those meet that do (an exact filter, so a bucket full of texts that merely
     share a passage is not expanded).
     """
-    centre = Window.partitionBy("key").orderBy(F.col("degree").desc(), "id")
-    leading = (members.withColumn("n", F.row_number().over(centre)).where("n = 1")
-               .select("key", F.col("id").alias("centre")))
-    met = members.where("size > 1").join(leading, "key").where("id <> centre")
+    leading = members.groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("centre"))
+    met = members.join(leading, "key").where("id <> centre")
     first = stored(met.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct(), "pairs")
     links = stored(_near(first, texts, threshold, shingle_words), "links")
     labels = connected_components(links)
