@@ -237,9 +237,9 @@ def _pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, threshold: flo
 
     Similarity t needs shared shingles of at least t of either text's weight (or
     number) of shingles, so in any one order of all shingles the first that two
-    such texts share is among those of the first 1 - t of each.  The order is by
-    a table of hashed counts of fixed size, rare shingles first; shingles that
-    no second text has are left out.
+    such texts share is among those of the first 1 - t of each, and what stands
+    before it bounds the similarity.  The order is by a table of hashed counts of
+    fixed size, rare shingles first; shingles that no second text has are left out.
     """
     own = stored(texts.join(members, "id"), "large_buckets")
 
@@ -275,24 +275,36 @@ def _pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, threshold: flo
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slack = 1 - threshold + 1e-9
         for b in batches:
-            lists = []
+            lists, odds, places, sizes = [], [], [], []
             for text in b.column(2):
                 h, w = _counted(text.as_py(), shingle_words)
                 n = held.value[h & np.uint64((1 << _COUNT_BITS) - 1)]
                 order = np.lexsort((h, n))
-                weight = np.cumsum(w[order]) - w[order]
-                keep = (weight <= slack * w.sum()) | (np.arange(len(h)) <= slack * len(h))
-                lists.append(h[order][keep & (n[order] > 1)].view(np.int64))
+                before = (np.cumsum(w[order]) - w[order]) / w.sum()  # weight that is not shared if this one is the first
+                keep = ((before <= slack) | (np.arange(len(h)) <= slack * len(h))) & (n[order] > 1)
+                lists.append(h[order][keep].view(np.int64))
+                odds.append((before / (1 - before))[keep])
+                places.append(np.flatnonzero(keep).astype(np.int32))
+                sizes.append(len(h))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["id", "label", "rare"])
+                [b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64())),
+                 pa.array(odds, pa.list_(pa.float64())), pa.array(places, pa.list_(pa.int32()))],
+                names=["id", "label", "n", "shingle", "odds", "place"])
 
-    rows = own.select("id", "label", "text").mapInArrow(rare, "id long, label long, rare array<long>")
-    rows = stored(rows.select("id", "label", F.explode("rare").alias("shingle")), "rare_shingles")
+    rows = own.select("id", "label", "text").mapInArrow(
+        rare, "id long, label long, n int, shingle array<long>, odds array<double>, place array<int>")
+    rows = stored(rows.select("id", "label", "n", F.inline(F.arrays_zip("shingle", "odds", "place"))), "rare_shingles")
     shared = rows.groupBy("shingle").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last")
     rows = rows.join(shared.select("shingle"), "shingle")
-    others = rows.select("shingle", F.col("id").alias("b"), F.col("label").alias("other_label"))
-    return (rows.join(others, "shingle").where("id > b AND label <> other_label")
-            .select(F.col("id").alias("a"), "b").distinct())
+    others = rows.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("id", "label", "n", "odds", "place")])
+    # If x and y share no shingle before this one, then with a and b the weights before it
+    #   probability Jaccard <= 1 / (1 + a / (1 - a) + b / (1 - b))
+    # (terms x_i y_i / (y_i + b x_i) are concave; equal for equal weights), and the sets share at most what is left.
+    most = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    reach = (1 / (1 + F.col("odds") + F.col("other_odds")) >= threshold - 1e-9) | (
+        most >= (threshold - 1e-9) * (F.col("n") + F.col("other_n") - most))
+    return (rows.join(others, "shingle").where((F.col("id") > F.col("other_id")) & (F.col("label") != F.col("other_label")) & reach)
+            .select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct())
 
 
 def near_duplicates(
