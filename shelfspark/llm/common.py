@@ -10,6 +10,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.session import shared_dir
@@ -27,9 +28,13 @@ def worker_cache() -> dict:
     return module.cache
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, blobs: bool = False) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
+    ``blobs``: rows are large and compressed already.  They are written as they
+    are, a row to a page; Parquet's codecs would hold buffers of whole pages,
+    and it looks at a page's size only after 100 rows.
+
     Cuts the lineage: an executor lost later costs a read, not a recomputation.
     Shuffle files of the write are removed when it ends, so a chain of stored
     tables holds one stage's shuffle on disk at a time.
@@ -39,12 +44,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.mode("errorifexists").parquet(path)
+        write = df.write.mode("errorifexists")
+        if blobs:
+            write = (write.option("compression", "none").option("parquet.page.size.row.check.min", "1")
+                     .option("parquet.page.size.row.check.max", "1").option("parquet.enable.dictionary", "false")
+                     .option("parquet.block.size", str(16 << 20))
+                     .option("parquet.block.size.row.check.min", "1").option("parquet.block.size.row.check.max", "1"))
+        write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """About ``rows`` rows, never more, chosen by the hash of ``columns``; all rows of a small table.
+
+    A hash bound is applied before the limit, so that tasks together hand on
+    about twice the rows asked for, however many tasks there are.
+    """
+    total = df.count()
+    h = F.xxhash64(*columns)
+    likely = F.pmod(h, F.lit(1 << 30)) < int(min(1.0, 2.0 * rows / max(1, total)) * (1 << 30))
+    return df.where(likely).withColumn("_h", h).orderBy("_h").limit(rows).drop("_h")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,7 @@ suffix would move the corpus many times over, so the suffix array is sparse:
   runs by their known common prefixes, never comparing a known prefix again.
   Neighbours that share the whole group are repeats but for the earliest.
 * A group that meets its anchor gram in different surroundings (the borders of
-  a repeated passage) is judged window by window, by 128-bit hashes.
+  a repeated passage) is judged window by window, by 96-bit hashes.
 
 Blocks of documents (hashed by row) are the unit of work; each is one row of a
 stored table, and nothing is proportional to the square of a repeat's copies:
@@ -151,8 +151,8 @@ def _chunk_groups(data, base, bounds, window, gram, table, second) -> Iterator[t
     whole = mix(whole + (anchor - first).astype(np.uint64) * _ODD + (last - first).astype(np.uint64))
 
     def window_hashes(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        other = Substrings(second[x])
-        return sums.of(p - base, p - base + window), other.of(p - base, p - base + window)
+        # the sums are made again for the few chunks that ask: a block would keep eight bytes for each of its own
+        return tuple(Substrings(t[x]).of(p - base, p - base + window) for t in (table, second))
 
     yield first + base, last + base, hashes[anchor], whole, window_hashes
 
@@ -226,10 +226,33 @@ def find_repeated(blocks: DataFrame, buckets: int, window: int, gram: int) -> Da
 
 #: Where an item is: document id, block, document's place in it, first and last window.
 _ITEM = np.dtype([("id", "<i8"), ("block", "<i4"), ("doc", "<i4"), ("first", "<i8"), ("last", "<i8")])
-_WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("block", "<i4"), ("doc", "<i4"), ("at", "<i8")])
+_WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("id", "<i8"), ("block", "<i4"), ("doc", "<i4"), ("at", "<i8")])
 _SPAN = np.dtype([("doc", "<i4"), ("lo", "<i8"), ("hi", "<i8")])
 
 
+def squeeze(data: bytes) -> bytes:
+    """zstd with the length in front."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def squeeze_records(records: np.ndarray) -> bytes:
+    """Records column by column, so that what is alike stands together."""
+    return squeeze(b"".join(np.ascontiguousarray(records[f]).tobytes() for f in records.dtype.names))
+
+
+def unsqueeze_records(data: bytes, kind: np.dtype) -> np.ndarray:
+    raw = unsqueeze(data)
+    out, at = np.empty(len(raw) // kind.itemsize, dtype=kind), 0
+    for f in kind.names:
+        out[f] = np.frombuffer(raw, dtype=kind[f], count=len(out), offset=at)
+        at += len(out) * kind[f].itemsize
+    return out
+
+
 def common_prefixes(texts: list[bytes]) -> np.ndarray:
     """Length of the common prefix of each text with the one before (0 for the first)."""
     found = np.zeros(len(texts), dtype=np.int64)
@@ -340,7 +363,7 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[Run, int]]:
 def sort_and_judge(
     blocks: DataFrame, repeated: DataFrame, splitters: list[bytes], buckets: int, window: int, gram: int
 ) -> DataFrame:
-    """(kind, dest, block, data): local repeats (0), front-coded runs by range (1), windows by bucket (2)."""
+    """(kind, dest, block, data): repeats within a block (0), front-coded runs by range (1), windows by bucket (2)."""
 
     def judge(packed: pa.Table, flagged: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -382,7 +405,7 @@ def _judge_block(block, packed, flags, splitters, buckets, window, gram) -> list
     cuts = [0, *(bisect_left(run, s) for s in splitters), len(run)]
     for dest, (a, b) in enumerate(zip(cuts, cuts[1:])):
         if b > a:
-            rows.append((1, dest, block, front_code(run[a:b], items[places[sent[a:b]]])))
+            rows.append((1, dest, block, squeeze(front_code(run[a:b], items[places[sent[a:b]]]))))
     single = np.flatnonzero(lead & (flag >= 2))
     windows = []
     for c in np.unique(chunk[single]).tolist():
@@ -390,7 +413,8 @@ def _judge_block(block, packed, flags, splitters, buckets, window, gram) -> list
         sizes = last[own] - first[own] + 1
         at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[own], sizes)
         part = np.empty(len(at), dtype=_WINDOW)
-        part["h1"], part["h2"] = found[c][4](at)
+        part["h1"], second = found[c][4](at)
+        part["h2"] = second >> np.uint64(32)
         of = np.repeat(doc[own], sizes)
         part["id"], part["block"], part["doc"], part["at"] = ids[of], block, of, at - offsets[of]
         windows.append(part)
@@ -404,10 +428,10 @@ def _judge_block(block, packed, flags, splitters, buckets, window, gram) -> list
         part = part[np.argsort(part["h1"] % np.uint64(buckets), kind="stable")]
         dest = (part["h1"] % np.uint64(buckets)).astype(np.int64)
         for s in np.split(np.arange(len(part)), np.flatnonzero(np.diff(dest)) + 1):
-            rows.append((2, int(dest[s[0]]), block, part[s].tobytes()))
+            rows.append((2, int(dest[s[0]]), block, squeeze_records(part[s])))
     docs, lo, hi = (np.concatenate([s[i] for s in spans]) for i in range(3))
     if len(docs):
-        rows.append((0, -1, block, _spans(docs, lo - offsets[docs], hi - offsets[docs])))
+        rows.append((0, block, block, _spans(docs, lo - offsets[docs], hi - offsets[docs])))
     return rows
 
 
@@ -425,19 +449,21 @@ def _first_windows(part: np.ndarray) -> np.ndarray:
 def _spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
     out = np.empty(len(doc), dtype=_SPAN)
     out["doc"], out["lo"], out["hi"] = doc, lo, hi
-    return out.tobytes()
+    return squeeze_records(out)
 
 
 def merge_and_compare(judged: DataFrame, window: int) -> DataFrame:
-    """(block, data): spans that repeat something earlier in another block."""
+    """(block, data): spans that repeat something earlier, in the same block or another."""
 
     def compare(t: pa.Table) -> pa.Table:
         coded = t["data"].to_pylist()
+        if t["kind"][0].as_py() == 0:
+            return t.select(["block", "data"])
         if t["kind"][0].as_py() == 1:
-            late = _late_items([Run(c) for c in coded])
+            late = _late_items([Run(unsqueeze(c)) for c in coded])
             doc, block, lo, hi = late["doc"], late["block"], late["first"], late["last"] + window
         else:
-            part = np.concatenate([np.frombuffer(c, dtype=_WINDOW) for c in coded])
+            part = np.concatenate([unsqueeze_records(c, _WINDOW) for c in coded])
             late = part[~_first_windows(part)]
             doc, block, lo, hi = late["doc"], late["block"], late["at"], late["at"] + window
         order = np.argsort(block, kind="stable")
@@ -446,7 +472,7 @@ def merge_and_compare(judged: DataFrame, window: int) -> DataFrame:
         return pa.table({"block": pa.array([int(block[s[0]]) for s in parts], pa.int32()),
                          "data": pa.array([_spans(doc[s], lo[s], hi[s]) for s in parts], pa.binary())})
 
-    return judged.where("kind > 0").groupBy("kind", "dest").applyInArrow(compare, "block int, data binary")
+    return judged.groupBy("kind", "dest").applyInArrow(compare, "block int, data binary")
 
 
 def _late_items(runs: list[Run]) -> np.ndarray:
@@ -485,7 +511,7 @@ def remove_spans(blocks: DataFrame, spans: DataFrame, fields: list[T.StructField
         data, offsets, _ = block_texts(table)
         change = np.zeros(len(data) + 1, dtype=np.int32)
         for x in found["data"].to_pylist():
-            s = np.frombuffer(x, dtype=_SPAN)
+            s = unsqueeze_records(x, _SPAN)
             np.add.at(change, offsets[s["doc"]] + s["lo"], 1)
             np.add.at(change, offsets[s["doc"]] + s["hi"], -1)
         gone = np.cumsum(change[:-1]) > 0
@@ -510,18 +536,18 @@ def remove_spans(blocks: DataFrame, spans: DataFrame, fields: list[T.StructField
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = 100, gram: int = 32, block_bytes: int = 16 << 20, range_bytes: int = 32 << 20
+    docs: DataFrame, window: int = 100, gram: int = 48, block_bytes: int = 4 << 20, range_bytes: int = 16 << 20
 ) -> DataFrame:
     """Every column but ``text``, plus n_bytes, kept (bytes) and removed (spans) of every document."""
     names = [c for c in docs.columns if c not in ("n_bytes", "kept", "removed")]
     docs = docs.select(*names).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(1, -(-total // block_bytes)), max(1, -(-total // range_bytes))
-    packed = stored(pack_blocks(docs, blocks), "blocks")
-    repeated = stored(find_repeated(packed, buckets, window, gram), "repeated")
+    packed = stored(pack_blocks(docs, blocks), "blocks", blobs=True)
+    repeated = stored(find_repeated(packed, buckets, window, gram), "repeated", blobs=True)
     sample = repeated.where("block = -1").select("data").first()  # at most a few MB, whatever the corpus
     texts = sorted({sample[0][i:i + window] for i in range(0, len(sample[0]), window)}) if sample else []
     splitters = [bytes(texts[len(texts) * i // buckets]) for i in range(1, buckets)] if texts else []
-    judged = stored(sort_and_judge(packed, repeated.where("block >= 0"), splitters, buckets, window, gram), "judged")
-    spans = stored(judged.where("kind = 0").select("block", "data").union(merge_and_compare(judged, window)), "spans")
+    judged = sort_and_judge(packed, repeated.where("block >= 0"), splitters, buckets, window, gram)
+    spans = stored(merge_and_compare(judged, window), "spans", blobs=True)  # exchanged once, not kept beside that
     return remove_spans(packed, spans, [f for f in docs.schema.fields if f.name != "text"])
