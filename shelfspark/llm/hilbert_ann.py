@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import shuffle_partitions, stored
+from shelfspark.llm.common import bounded_sample, shuffle_partitions, stored
 from shelfspark.llm.vectors import ids_of, matrix, usable, widest
 
 
@@ -96,7 +96,7 @@ def hilbert_neighbours(
                 F.col(vector_column).alias("v"))
     )
     width = widest(rows, "v")
-    sampled = rows.select("v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(sample_rows).collect()
+    sampled = bounded_sample(rows, sample_rows, "id", "v").select("v").collect()
     points = np.zeros((max(1, len(sampled)), max(1, width)))
     for i, r in enumerate(sampled):
         points[i, :len(r.v)] = r.v

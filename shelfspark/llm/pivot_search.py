@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import stored
+from shelfspark.llm.common import bounded_sample, stored
 from shelfspark.llm.vectors import ids_of, matrix, usable, widest
 
 _FOUND = "query_id long, vec_id long, score long"
@@ -73,7 +73,7 @@ def exact_top_k(
                 scaled_integers(F.col(vector_column), scale).alias("v"))
     )
     width = widest(rows, "v")
-    sample = rows.select("v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(pivot_sample).collect()
+    sample = bounded_sample(rows, pivot_sample, "id", "v").select("v").collect()
     points = np.zeros((len(sample), width))
     for i, r in enumerate(sample):
         points[i, :len(r.v)] = r.v

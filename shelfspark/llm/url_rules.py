@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import shuffle_partitions
+from shelfspark.llm.common import bounded_sample, shuffle_partitions
 
 _OUT = ("host", "path", "rule", "verdict")
 _INNER = ("_range", "_key", "_kind", "_rule_path", "_rule_verdict", "_rule_text")
@@ -74,8 +74,7 @@ def judge_urls(
         .withColumn("_key", F.concat(host_key(F.col("host")), F.lit("\0"), F.col("path")))
     )
     spread = F.xxhash64(*[F.col(c) for c in pages.columns])
-    sample = sorted(r[0] for r in keyed.select("_key", spread.alias("h")).orderBy("h").limit(sample_rows)
-                    .select("_key").collect())  # at most sample_rows keys
+    sample = sorted(r[0] for r in bounded_sample(keyed, sample_rows, *pages.columns).select("_key").collect())
     bounds = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
     if bounds:
         bound_list = F.array(*[F.lit(b) for b in bounds])  # n - 1 keys
