@@ -12,7 +12,7 @@ from shelfspark.operators import telemetry as T
 from shelfspark.plans.registry import query
 from shelfspark.plans.sql import R2
 from shelfspark.session import shared_dir
-from shelfspark.sinks.index import index_info, upsert_index
+from shelfspark.sinks.index import index_info, read_index, upsert_index
 from shelfspark.sinks.logs import read_json_logs, write_json_logs
 from shelfspark.sources.tables import read_table
 from shelfspark.streaming import telemetry_stream as S
@@ -252,26 +252,37 @@ def q_sink_metrics(spark, sf_dir):
 
 
 def _index_points(spark, sf_dir):
-    from shelfspark.operators.rag import build_rag_documents
-    from shelfspark.plans.text_queries import products
-    docs = build_rag_documents(products(spark, sf_dir))
-    return docs.select("id", "point_id", "text", "main_category", "actual_price", "rating")
+    """Every product document with its payload and its vector."""
+    from shelfspark.plans.text_queries import product_index
+    return product_index(spark, sf_dir).select("id", "point_id", "text", "main_category", "actual_price", "rating", "vector")
 
 
-@query("sink_vector_index", oracle="""WITH p AS (SELECT DISTINCT l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT count(*) AS points FROM p""")
-def q_sink_vector_index(spark, sf_dir):
-    """Two overlapping upserts (second batch re-sends every product): last write wins, no duplicates."""
-    root = shared_dir(spark, "vector_index", hashlib.sha1(sf_dir.encode()).hexdigest()[:12], unique=True)
-    pts = _index_points(spark, sf_dir)
-    upsert_index(spark, root, pts, recreate=True)
-    upsert_index(spark, root, pts.withColumn("rating", F.coalesce("rating", F.lit(0.0))))
-    return index_info(spark, root).select("points")
+def _index_sql(body: str) -> str:
+    from shelfspark.plans.sql import with_ctes
+    from shelfspark.plans.text_queries import _PRODUCTS_CTE
+    return with_ctes(_PRODUCTS_CTE, body)
 
 
-@query("src_vector_index_info", oracle="""WITH p AS (SELECT DISTINCT l_partkey, p_type FROM lineitem
-JOIN part ON l_partkey = p_partkey) SELECT count(*) AS points, count(DISTINCT p_type) AS categories FROM p""")
+@query("sink_vector_index", oracle=_index_sql(f"""SELECT main_category, count(*) AS points,
+    {R2('sum(coalesce(rating, 0e0) + CASE WHEN part_key % 2 = 0 THEN 1e0 ELSE 0e0 END)', 6)} AS rating_sum,
+    count(*) AS unit_vectors FROM lastrow GROUP BY main_category"""))
+def q_sink_vector_index(spark, sf_dir):
+    """A first load, then an upsert that sends products twice, the later row changed: the last write stays, with its vector."""
+    root = shared_dir(spark, "vector_index", "points", unique=True)
+    pts = _index_points(spark, sf_dir).withColumn("rating", F.coalesce("rating", F.lit(0.0)))
+    upsert_index(spark, root, pts.withColumn("write", F.lit(0)), "write", recreate=True)
+    even = pts.where(F.col("id").cast("bigint") % 2 == 0)
+    stale = even.withColumns({"rating": F.lit(-9.0), "write": F.lit(1)})
+    upsert_index(spark, root, stale.unionByName(even.withColumns({"rating": F.col("rating") + 1, "write": F.lit(2)})), "write")
+    squares = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x)
+    return read_index(spark, root).groupBy("main_category").agg(
+        F.count(F.lit(1)).alias("points"), round_half_up(F.sum("rating"), 6).alias("rating_sum"),
+        F.count_if(F.abs(squares - 1) < 1e-9).alias("unit_vectors"))
+
+
+@query("src_vector_index_info", oracle=_index_sql(
+    "SELECT count(*) AS points, count(DISTINCT main_category) AS categories FROM lastrow"))
 def q_src_vector_index_info(spark, sf_dir):
-    root = shared_dir(spark, "vector_index_info", hashlib.sha1(sf_dir.encode()).hexdigest()[:12], unique=True)
-    upsert_index(spark, root, _index_points(spark, sf_dir), recreate=True)
+    root = shared_dir(spark, "vector_index", "info", unique=True)
+    upsert_index(spark, root, _index_points(spark, sf_dir).withColumn("write", F.lit(0)), "write", recreate=True)
     return index_info(spark, root)

@@ -36,17 +36,16 @@ def read_index(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root}/{v[-1]}/data") if v else None
 
 
-def upsert_index(spark: SparkSession, root: str, points: DataFrame, key: str = "id",
-                 order_col: str | None = None, recreate: bool = False,
-                 partition_col: str = "main_category") -> str:
-    """Write ``points`` into the index at ``root``; returns the new version path."""
+def upsert_index(spark: SparkSession, root: str, points: DataFrame, order_col: str, key: str = "id",
+                 recreate: bool = False, partition_col: str = "main_category") -> str:
+    """Write ``points`` into the index at ``root``; returns the new version path.
+
+    ``order_col`` says which of several rows of one key came last; it is not stored.
+    """
     root = root.rstrip("/")
-    cols = points.columns
-    if order_col:
-        last = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col))
-        points = points.groupBy(key).agg(last.alias("_r")).select("_r.*")
-    else:
-        points = points.dropDuplicates([key])
+    cols = [c for c in points.columns if c != order_col]
+    last = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col))
+    points = points.groupBy(key).agg(last.alias("_r")).select("_r.*")
     old = None if recreate else read_index(spark, root)
     merged = points if old is None else old.join(points.select(key), key, "left_anti").unionByName(
         points, allowMissingColumns=True)

@@ -9,7 +9,7 @@ from shelfspark.plans.model_queries import get_model, model_frame
 
 def test_shap_additivity_and_tree_walk(spark, sf_small):
     model, prep, _, path = get_model(spark, sf_small)
-    feats = M.transform_features(model_frame(spark, sf_small), prep)
+    feats = M.transform_features(model_frame(spark, sf_small).dropDuplicates(["row_id"]), prep)
     loc = shap_local(feats, model, f"{path}/model", prep.feature_names)
     total = F.aggregate(F.transform("contributions", lambda c: c["shap_value"]), F.lit(0.0), lambda a, b: a + b)
     err = loc.select(F.max(F.abs(F.col("base_value") + total - F.col("raw_prediction")))).first()[0]
@@ -24,7 +24,7 @@ def test_store_round_trip_and_clip(spark, sf_small):
     model, prep, metrics, path = get_model(spark, sf_small)
     store = M.ModelStore(spark, path.rsplit("/", 1)[0])
     m2, p2, met2, path2 = store.load(path)
-    df = model_frame(spark, sf_small)
+    df = model_frame(spark, sf_small).dropDuplicates(["row_id"])
     a = M.predict_batch(model, prep, df).select("row_id", "predicted_discount")
     b = M.predict_batch(m2, p2, df).select("row_id", F.col("predicted_discount").alias("b"))
     assert a.join(b, "row_id").where(F.col("predicted_discount") != F.col("b")).count() == 0

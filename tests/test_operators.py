@@ -102,7 +102,7 @@ def test_ks_statistic_matches_numpy(spark):
     b = rng.integers(5, 60, 3000).astype(float)
     ra = spark.createDataFrame([(float(v),) for v in a], "x double")
     rb = spark.createDataFrame([(float(v),) for v in b], "x double")
-    row = D.ks_two_sample(ra, rb, ["x"], buckets=8).first()
+    row = D.ks_two_sample(ra, rb, ["x"]).first()
     assert abs(row["ks_statistic"] - _np_ks(a, b)) < 1e-12
     assert 0.0 <= row["p_value"] <= 1.0 and row["drift_detected"]
 
@@ -156,3 +156,23 @@ def test_exact_quantiles_refined(spark, kind):
     assert set(got) == {"x", "y"}
     assert got["x"] == pytest.approx(want, abs=1e-12)
     assert got["y"] == pytest.approx([-w for w in reversed([np.quantile(data, 1 - q) for q in reversed(lv)])], abs=1e-12)
+
+
+def test_one_user_with_half_of_all_rows(spark):
+    """Pairs of a heavy user, dealt into blocks, equal all ordered pairs."""
+    from collections import Counter
+    from itertools import combinations
+
+    from shelfspark.operators.insights import ordered_pairs
+    rng = np.random.default_rng(3)
+    rows = [("heavy", f"p{rng.integers(12)}", i, 1, 1, 1, float(i % 3)) for i in range(150)]
+    rows += [(f"u{rng.integers(20)}", f"p{rng.integers(12)}", i, 1, 1, 1, 1.0) for i in range(150)] + [(None, "p1", 1, 1, 1, 1, 1.0)]
+    rows += [("u1", "p1", 7, 7, 7, 7, 7.0)] * 3
+    df = spark.createDataFrame(rows, "user_id string, product_name string, order_key int, line_number int, part_key int, "
+                                     "supp_key int, actual_price double")
+    want = Counter()
+    for u in {r[0] for r in rows if r[0]}:
+        own = sorted((r for r in rows if r[0] == u), key=lambda r: r[2:])
+        want.update((a[1], b[1]) for a, b in combinations(own, 2))
+    got = {(r.item_a, r.item_b): r.n for r in ordered_pairs(df, block_rows=16).collect()}
+    assert got == dict(want)
