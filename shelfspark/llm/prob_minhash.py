@@ -197,7 +197,7 @@ def _near(pairs: DataFrame, texts: DataFrame, threshold: float, shingle_words: i
 
 
 def _link_buckets(
-    members: DataFrame, texts: DataFrame, threshold: float, shingle_words: int, small: int = 32
+    members: DataFrame, texts: DataFrame, threshold: float, shingle_words: int, small: int = 4
 ) -> DataFrame:
     """(id, label): components of all near pairs that share a bucket.
 
