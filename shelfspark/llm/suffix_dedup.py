@@ -55,7 +55,7 @@ def pack_blocks(docs: DataFrame, blocks: int) -> DataFrame:
 
     def write(table: pa.Table) -> bytes:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
             writer.write_table(table)
         return sink.getvalue().to_pybytes()
 
@@ -232,7 +232,7 @@ _SPAN = np.dtype([("doc", "<i4"), ("lo", "<i8"), ("hi", "<i8")])
 
 def squeeze(data: bytes) -> bytes:
     """zstd with the length in front."""
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
 
 
 def unsqueeze(data: bytes) -> bytes:
