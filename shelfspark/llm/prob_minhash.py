@@ -4,7 +4,10 @@ A document is its five-word shingles weighted by their counts.  Every shingle
 starts a Poisson process whose rate is its weight; each arrival hits one
 register, a register keeps the shingle that came first, and a shingle stops
 once its next arrival is later than every register's first.  Two signatures
-agree in a register with the probability Jaccard similarity of the documents.
+agree in a register with the probability Jaccard similarity of the documents.  A text
+that repeats a shingle has a second signature in which all weights are 1 (two
+of these agree with the Jaccard similarity of the shingle sets; without repeats
+both are the same), so either measure that verification accepts finds candidates.
 
 Exact copies (equal words) share one class from the start.  Bands of registers
 give buckets; members of a bucket are compared with its most central member
@@ -107,6 +110,25 @@ def prob_minhash(elements: list[tuple[np.ndarray, np.ndarray]], registers: int)
     return signature.reshape(n, registers)
 
 
+def band_keys(elements: list[tuple[np.ndarray, np.ndarray]], bands: int, rows: int) -> list[np.ndarray]:
+    """Distinct keys of the bands of each weighted set's signature and of the one with all weights 1.
+
+    Both share one space of keys: a text without repeats has one signature,
+    which must meet the second one of a text that repeats a line.
+    """
+    again = [i for i, (_, w) in enumerate(elements) if w.max() > 1]
+    every = elements + [(elements[i][0], np.ones(len(elements[i][0]))) for i in again]
+    parts = prob_minhash(every, bands * rows).reshape(-1, bands, rows)
+    total = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64) * _STEP), parts.shape[:2])
+    for i in range(rows):
+        total = mix(total * _STEP + parts[:, :, i])
+    keys = total.view(np.int64)
+    found = list(keys[:len(elements)])
+    for i, more in zip(again, keys[len(elements):]):
+        found[i] = np.union1d(found[i], more)
+    return found
+
+
 def _in_parts(active: np.ndarray, each: np.ndarray) -> Iterator[np.ndarray]:
     ends = np.cumsum(each[active])
     return iter(np.split(active, np.unique(np.searchsorted(ends, np.arange(_ARRIVALS, ends[-1], _ARRIVALS))) )) \
@@ -138,10 +160,9 @@ def _counted(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, shingle_words: int) -> DataFrame:
-    """(doc_id, h1, h2, bands): the words' hash and a key per band; null where there are no words."""
+    """(doc_id, h1, h2, bands): the words' hash and the keys of the bands; null where there are no words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix(np.arange(1, bands + 1, dtype=np.uint64) * _STEP)
         for b in batches:
             lo = 0
             while lo < b.num_rows:
@@ -152,24 +173,21 @@ def signatures(docs: DataFrame, bands: int, rows: int, shingle_words: int) -> Da
                     if len(words):
                         whole.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
                         elements.append(np.unique(shingle_hashes(words, shingle_words), return_counts=True))
-                        size += len(elements[-1][0]) + 1500
+                        size += (len(elements[-1][0]) + 1500) * (2 if elements[-1][1].max() > 1 else 1)
                     else:
                         whole.append(None)
                     hi += 1
-                keys = np.zeros((0, bands), dtype=np.int64)
-                if elements:
-                    parts = prob_minhash(elements, bands * rows).reshape(-1, bands, rows)
-                    total = np.broadcast_to(salt, parts.shape[:2])
-                    for i in range(rows):
-                        total = mix(total * _STEP + parts[:, :, i])
-                    keys = total.view(np.int64)
+                keys = band_keys(elements, bands, rows) if elements else []
                 has = np.array([w is not None for w in whole])
                 halves = np.zeros((len(whole), 2), dtype=np.int64)
                 halves[has] = np.frombuffer(b"".join(w for w in whole if w), dtype="<i8").reshape(-1, 2)
-                ends = np.concatenate([[0], np.cumsum(has) * bands]).astype(np.int32)
+                counts = np.zeros(len(whole), dtype=np.int64)
+                counts[has] = [len(k) for k in keys]
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                held = np.concatenate([np.zeros(0, dtype=np.int64), *keys])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(halves[:, 0], mask=~has), pa.array(halves[:, 1], mask=~has),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], names=["doc_id", "h1", "h2", "bands"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(held))], names=["doc_id", "h1", "h2", "bands"])
                 lo = hi
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(

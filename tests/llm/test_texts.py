@@ -231,6 +231,24 @@ def test_large_buckets_of_texts_that_share_a_passage(spark):
     assert {r.doc_id: r.class_id for r in prob_minhash.near_duplicates(df).collect()} == plain_classes(docs)
 
 
+def repeated_lines():
+    """Pairs with nearly equal shingle sets of which one text repeats a line many times."""
+    rnd = random.Random(21)
+    words = lambda n: [rnd.choice("abcdefgh") + str(rnd.randrange(10 ** 6)) for _ in range(n)]
+    docs = {}
+    for i, (size, times) in enumerate([(504, 100)] * 8 + [(304, 200)] * 8):
+        base, line = words(size), words(14)
+        docs[2 * i], docs[2 * i + 1] = " ".join(base + line), " ".join(base + line * times)
+    return docs
+
+
+def test_classes_of_texts_that_repeat_a_line(spark):
+    docs = repeated_lines()
+    assert plain_classes(docs) == {i: i - i % 2 for i in docs}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in prob_minhash.near_duplicates(df).collect()} == plain_classes(docs)
+
+
 def test_classes_of_odd_and_no_rows(spark, odd_docs, no_docs):
     rows = prob_minhash.near_duplicates(odd_docs).collect()
     assert len(rows) == len(ODD_TEXTS) and {r.class_id for r in rows if r.doc_id == 5} == {5}
