@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|svg|iframe|textarea|select)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<svg(?=[\s/>])(?:[^>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>"
+    r"|<(script|style|template|noscript|svg|iframe|textarea|select)(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/!?a-zA-Z][^<>]*+>?"
     r"|[^<]++|<",

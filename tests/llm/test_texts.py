@@ -109,6 +109,14 @@ def test_content_of_odd_pages(spark):
     assert html_content.extract_content(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("before", [
+    "<svg-icon name=x></svg-icon>", "<select-box>", "<svg class=i/>", "<svg aria-label='a > b' />", "<svg/>",
+    "<svg class='a/b'><title>no</title></svg>", "<select><option>no</select>", "<script src='x/'>no</script>"])
+def test_raw_elements_end_where_they_end(before):
+    page = f"<body>{before}<article><p>{'words of the article ' * 9}{before}</p></article><svg></svg><select></select></body>"
+    assert html_content.content(page, html_content.Weights({})) == ("words of the article " * 9).strip()
+
+
 def test_best_stretch_is_the_maximum_sum():
     rnd = random.Random(2)
     weights = html_content.Weights({})
