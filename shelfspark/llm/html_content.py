@@ -6,7 +6,12 @@ content costs more the surer it does, and a word counts by the element it
 stands in (words of elements that hold no content on labelled pages score
 below zero).  One linear scan finds the contiguous stretch with the highest
 sum.  Its text is the page's content, without the elements that are never
-content (scripts, styles, menus, forms, adverts, comments and the like).
+content (scripts, styles, menus and the like) and without the unlikely ones
+(forms, and what class, id or role calls adverts, comments and the like) that
+lie within the stretch.  Words of unlikely elements count less, by how often the
+name stands around content on labelled pages; an unlikely element that holds the
+whole stretch is a wrapper and cuts nothing, and neither does one of html, body,
+main or article or one around a marked article.
 
 Pages whose markup names the content (``article`` or ``main``) serve as
 labelled pages: at most ``sample_pages`` of them, for fitting only; every page
@@ -49,13 +54,16 @@ INLINE = frozenset(
 #: Elements without content of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never part of an article's text.
-NEVER = frozenset("head title nav aside footer form button menu dialog".split())
-#: Words in class, id or role that mark what is not part of an article's text.
+NEVER = frozenset("head title nav aside footer button menu dialog".split())
+#: Words in class, id or role that mark what is seldom part of an article's text.
 NEVER_NAMED = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist cookie cookies "
     "consent disqus footer login masthead menu modal nav navbar navigation newsletter notice notices popup promo "
     "promoted related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 _CONTENT = frozenset(("article", "main"))
+_WHOLE = _CONTENT | {"html", "body"}
+#: Share of content in an unlikely element: the one assumed, as seen in so many words, and the least.
+_LIKELY, _LIKELY_WORDS, _LEAST_LIKELY = 0.25, 8, 0.05
 
 
 def _names(attributes: str) -> list[str]:
@@ -65,17 +73,25 @@ def _names(attributes: str) -> list[str]:
     return [x for x in found if x]
 
 
-def read_page(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """Parts of a page in order: (kind, key, text, inside marked content, never content).
+class _Unlikely:
+    """An element with names that are seldom content: the names, whether it stands outside marked content and around some."""
 
-    Kind is ``text`` (key: the element it stands in) or ``tag`` (key: the tag).
-    Keys of links and other inline tags name the block around them: ``a@li``.
-    """
-    stack: list[tuple[str, str, bool, bool, str]] = []  # name, key of its words, inside, never, key of its tag
+    def __init__(self, names: frozenset[str], outside: bool) -> None:
+        self.names, self.outside, self.wraps = names, outside, False
+
+
+#: What holds for the words of an element that is never content.
+_NEVER = _Unlikely(frozenset(), False)
+
+
+def _parts(page: str) -> Iterator[tuple[str, str, str, bool, tuple[_Unlikely, ...]]]:
+    """As ``read_page``, with every unlikely element around a part, wrappers too (known as such at the page's end)."""
+    # name, key of its words, inside, unlikely elements around, key of its tag
+    stack: list[tuple[str, str, bool, tuple[_Unlikely, ...], str]] = []
     for m in _TOKEN.finditer(page):
         token = m[0]
         if token[0] != "<" or token == "<":
-            _, key, inside, never, _ = stack[-1] if stack else ("", "", False, False, "")
+            _, key, inside, never, _ = stack[-1] if stack else ("", "", False, (), "")
             yield "text", key, token, inside, never
             continue
         name = (m[3] or "").lower()
@@ -88,13 +104,12 @@ def read_page(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
                 key = stack[at][4]
                 del stack[at:]
             outer = bool(stack) and stack[-1][2]
-            yield "tag", f"/{key}", "", inside and outer, False
+            yield "tag", f"/{key}", "", inside and outer, ()
             continue
-        inside, never = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        inside, never = (stack[-1][2], stack[-1][3]) if stack else (False, ())
         names = _names(m[4]) if m[4] else []
         around = stack[-1][1].rpartition("@")[2] if stack else ""
         key = f"{name}@{around}" if name in INLINE else ".".join([name, *names[:2]])
-        own_never = never or name in NEVER or not NEVER_NAMED.isdisjoint(names) or (name == "header" and not inside)
         yield "tag", key, "", inside, never
         if name in VOID or m[4].endswith("/"):
             continue
@@ -102,9 +117,27 @@ def read_page(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
             if at is not None and all(x[0] in INLINE or x[0] == "p" for x in stack[at:]):
                 del stack[at:]
-        mine = inside or name in _CONTENT or "main" in names
+        marks = name in _CONTENT or "main" in names
+        unlikely = NEVER_NAMED.intersection(names)
+        if marks:  # a comment marked as an article does not make the comments around it content
+            for x in never:
+                x.wraps |= x.outside or not unlikely
+        if name in NEVER or (name == "header" and not inside):
+            never = (*never, _NEVER) if _NEVER not in never else never
+        elif not marks and name not in _WHOLE and (unlikely or name == "form"):
+            never = (*never, _Unlikely(unlikely | {"form"} if name == "form" else unlikely, not inside))
         context = key if name not in INLINE or name == "a" else stack[-1][1] if stack else ""
-        stack.append((name, context, mine, own_never, key))
+        stack.append((name, context, inside or marks, never, key))
+
+
+def read_page(page: str) -> Iterator[tuple[str, str, str, bool, tuple[_Unlikely, ...]]]:
+    """Parts of a page in order: (kind, key, text, inside marked content, unlikely elements around it).
+
+    Kind is ``text`` (key: the element it stands in) or ``tag`` (key: the tag).
+    Keys of links and other inline tags name the block around them: ``a@li``.
+    """
+    for kind, key, text, inside, never in list(_parts(page)):
+        yield kind, key, text, inside, tuple(x for x in never if x is _NEVER or not x.wraps) if never else never
 
 
 class Weights:
@@ -113,31 +146,35 @@ class Weights:
     def __init__(self, counts: dict[tuple[str, str], tuple[int, int]]) -> None:
         self.word: dict[str, float] = {}
         self.tag: dict[str, float] = {}
+        self.likely: dict[str, float] = {}
         for (kind, key), (inside, outside) in counts.items():
             odds = math.log((inside + 0.5) / (outside + 0.5))
             if kind == "text":
                 self.word[key] = max(-2.0, min(2.0, odds))
+            elif kind == "name":
+                share = (inside + _LIKELY * _LIKELY_WORDS) / (inside + outside + _LIKELY_WORDS)
+                self.likely[key] = max(_LEAST_LIKELY, share)
             else:
                 self.tag[key] = -0.25 - 4.0 * max(0.0, min(8.0, -odds))
         self.fitted = bool(counts)
 
-    def of_word(self, key: str, never: bool = False) -> float:
-        """Words that are never content score 0 where they stand amid content, else below."""
+    def of_word(self, key: str, never: tuple[_Unlikely, ...] = ()) -> float:
+        """Words that are never content score 0 where they stand amid content, else below; unlikely ones count less."""
         score = self.word.get(key)
         if score is None:
             block = key.rpartition("@")[2]
-            score = self.word.get(block, self.word.get(block.partition(".")[0], -1.0 if never else 1.0))
-        return min(0.0, score) if never else score
+            score = self.word.get(block, self.word.get(block.partition(".")[0], -1.0 if _NEVER in never else 1.0))
+        if score <= 0 or not never:
+            return score
+        if _NEVER in never:
+            return 0.0
+        return score * min(self.likely.get(n, _LIKELY) for x in never for n in x.names)
 
     def of_tag(self, key: str) -> float:
         return self.tag.get(key, -1.0 if "@" in key else self.tag.get(key.partition(".")[0], -1.0))
 
 
-def content(page: str | None, weights: Weights) -> str:
-    """The text of the best stretch, white space turned into single spaces."""
-    if not page:
-        return ""
-    parts = list(read_page(page))
+def _best_range(parts: list[tuple], weights: Weights, wrappers: set[_Unlikely]) -> tuple[int, int]:
     best = total = 0.0
     start = 0
     best_range = (0, 0)
@@ -146,17 +183,33 @@ def content(page: str | None, weights: Weights) -> str:
             total += weights.of_tag(key)
         else:
             words = len(text.split())
-            total += words * weights.of_word(key, never)
+            total += words * weights.of_word(key, tuple(x for x in never if x not in wrappers) if wrappers else never)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, best_range = total, (start, i + 1)
+    return best_range
+
+
+def content(page: str | None, weights: Weights) -> str:
+    """The text of the best stretch, white space turned into single spaces."""
+    if not page:
+        return ""
+    parts = list(read_page(page))
+    wrappers: set[_Unlikely] = set()
+    while True:  # a wrapper found is content: its words count in full from then on
+        chosen = parts[slice(*_best_range(parts, weights, wrappers))]
+        around = [set(never) for kind, _, text, _, never in chosen if kind == "text" and not text.isspace()]
+        found = set.intersection(*around) - wrappers if around else set()
+        if not found:
+            break
+        wrappers |= found
     out = []
-    for kind, key, text, _, never in parts[slice(*best_range)]:
+    for kind, key, text, _, never in chosen:
         if kind == "tag":
             if "@" not in key and key.lstrip("/") not in INLINE:
                 out.append(" ")
-        elif not never:
+        elif wrappers.issuperset(never):
             out.append(html_lib.unescape(text))
     return " ".join("".join(out).split())
 
@@ -174,8 +227,11 @@ def fit_weights(pages: DataFrame, html_column: str = "html", sample_pages: int =
         seen: Counter = Counter()
         for b in batches:
             for page in b.column(0):
-                for kind, key, text, inside, _ in read_page(page.as_py()):
+                for kind, key, text, inside, around in _parts(page.as_py()):
                     n = len(text.split()) if kind == "text" else 1
+                    if kind == "text" and around:
+                        for x in {x for u in around if u.outside for x in u.names}:
+                            seen["name", x, inside] += n
                     for k in {key, key if "@" in key else key.partition(".")[0]}:
                         seen[kind, k, inside] += n
         if seen:

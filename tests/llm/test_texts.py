@@ -117,6 +117,30 @@ def test_raw_elements_end_where_they_end(before):
     assert html_content.content(page, html_content.Weights({})) == ("words of the article " * 9).strip()
 
 
+WRAPPERS = [
+    '<body class="has-sidebar"><nav>Home</nav>{}</body>', '<body><main class="with-sidebar">{}</main></body>',
+    '<body><article class="post comments-open">{}</article></body>', '<body><div id="no-sidebar"><article>{}</article></div></body>',
+    '<body><main><div class="has-widget"><article>{}</article></div></main></body>',
+    '<body><form action="/"><div>{}</div></form></body>', '<body><div id="no-sidebar">{}</div><div class="ad">Buy this now</div></body>']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_names_of_wrappers_do_not_cut_the_page(spark, wrapper):
+    text = "some words of text " * 30
+    inner = f"<h1>A page of words</h1><p>{text}</p><div class='share'>Share me</div><p>{text}</p>"
+    page = wrapper.replace("{}", inner)
+    labelled = [(i, BOILERPLATE.replace("{}", f"<h1>Page {i}</h1><p>{text}</p>")) for i in range(40)]
+    fitted = html_content.fit_weights(spark.createDataFrame(labelled, "page_id long, html string"))
+    assert html_content.content(page, fitted) == " ".join(f"A page of words {text} {text}".split())
+    assert html_content.content(page.replace("<h1>A page of words</h1>", ""), html_content.Weights({})) == " ".join(f"{text} {text}".split())
+
+
+def test_comments_marked_as_articles_are_no_content():
+    text = "some words of text " * 30
+    page = f"<main><article><p>{text}</p></article><div id='comments'><article class='comment'><p>first!</p></article></div></main>"
+    assert html_content.content(page, html_content.Weights({})) == text.strip()
+
+
 def test_best_stretch_is_the_maximum_sum():
     rnd = random.Random(2)
     weights = html_content.Weights({})
