@@ -215,13 +215,16 @@ def content(page: str | None, weights: Weights) -> str:
 
 
 def fit_weights(pages: DataFrame, html_column: str = "html", sample_pages: int = 512) -> Weights:
-    """Weights from at most ``sample_pages`` pages whose markup names the content."""
-    marked = F.lower(html_column).rlike(r"<(article|main)\b")
-    total = pages.count()
+    """Weights from ``sample_pages`` pages whose markup names the content, or all of them where there are fewer."""
+    marked = pages.where(F.lower(html_column).rlike(r"<(article|main)[\s/>]"))
+    total = marked.count()
     one_in = max(1, total // (2 * sample_pages))
     spread = F.xxhash64(*[F.col(c) for c, kind in pages.dtypes if c != html_column and not kind.startswith("map")], F.lit(1))
-    sample = (pages.where(F.pmod(spread, F.lit(one_in)) == 0).where(marked)
-              .select(F.col(html_column).alias("html"), spread.alias("h")).orderBy("h", "html").limit(sample_pages).select("html"))
+    least = marked.select(F.col(html_column).alias("html"), spread.alias("h"))
+    likely = least.where(F.pmod("h", F.lit(one_in)) == 0)  # tasks hand on about twice the pages asked for
+    if one_in > 1 and likely.limit(sample_pages).count() < sample_pages:  # rows with equal columns have one hash
+        likely = least
+    sample = likely.orderBy("h", "html").limit(sample_pages).select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

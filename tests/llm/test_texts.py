@@ -141,6 +141,17 @@ def test_comments_marked_as_articles_are_no_content():
     assert html_content.content(page, html_content.Weights({})) == text.strip()
 
 
+def test_all_of_few_marked_pages_are_fitted(spark):
+    """What few marked pages say does not depend on how many pages without marks stand beside them."""
+    marked = [(i, BOILERPLATE.replace("{}", f"<h1>Page {i}</h1><p>{'some words of text ' * 9}</p>")) for i in range(12)]
+    plain = [(100 + i, "<article-list><p>other</p></article-list>") for i in range(4000)]
+    frame = lambda rows: spark.createDataFrame(rows, "page_id long, html string")
+    alone, beside = (html_content.fit_weights(frame(x), sample_pages=64) for x in (marked, marked + plain))
+    assert alone.word and (alone.word, alone.tag) == (beside.word, beside.tag)
+    same = spark.range(4000).select(F.lit(marked[0][1]).alias("html"))  # one hash for all rows
+    assert html_content.fit_weights(same, sample_pages=64).word
+
+
 def test_best_stretch_is_the_maximum_sum():
     rnd = random.Random(2)
     weights = html_content.Weights({})
