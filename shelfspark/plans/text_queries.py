@@ -291,6 +291,20 @@ def q_vector_topk(spark, sf_dir):
     return _self_search(spark, sf_dir, top_k=10, score_threshold=0.5)
 
 
+@query("query_document_cross", oracle=_search_sql(20, "0e0"))
+def q_query_document_cross(spark, sf_dir):
+    """All query × vector scores ≥ 0 (pivot cells prune nothing at τ = 0), top 20.
+
+    The search ranks by scores of 9 digits; the hits' scores are taken anew from
+    their vectors, since rounding twice would move a score next to a tie.
+    """
+    idx = embeddings_index(read_table(spark, sf_dir, "embeddings"))
+    q = idx.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    hits = semantic_search(q, idx, top_k=20, score_threshold=0.0).select("query_id", "rank", "id")
+    score = round_half_up(cosine_similarity("query_vector", "vector"), 6).alias("score")
+    return hits.join(q, "query_id").join(idx, "id").select("query_id", "rank", "id", score, "main_category")
+
+
 # ---------------------------------------------------------------- RAG batch
 
 

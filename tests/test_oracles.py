@@ -55,3 +55,8 @@ def test_query(spark, con, sf_small, name):
     dcols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(dcols)
     assert _rows(df.columns, srows) == _rows(dcols, cur.fetchall())
+
+
+def test_every_query_meets_every_vector():
+    """SURVEY 2.4: registered, with SQL (the tests above hold its rows against it)."""
+    assert "query_document_cross" in QUERIES and "query_document_cross" in ORACLES
