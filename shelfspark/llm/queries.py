@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, digests, hilbert_ann, html_content, langid, orc_tokens, packing, pivot_search, prob_minhash, suffix_dedup, url_rules
+from shelfspark.llm import alignment, bpe, conversations, decontaminate, digests, hilbert_ann, html_content, langid, orc_tokens, packing, pivot_search, prob_minhash, suffix_dedup, url_rules
+from shelfspark.llm.common import stored
 from shelfspark.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -159,3 +160,60 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items found in every document."""
+    found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLES["op12_benchmark_decontamination"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+grams AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+        FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM grams),
+places AS (
+  SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM texts, sizes WHERE len(w) >= k)),
+hits AS (SELECT p.r, p.k, p.i, g.item_id FROM places p JOIN grams g USING (k, g)),
+hit_words AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r),
+hit_items AS (
+  SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(x.n, 0) AS BIGINT) AS n_items, sha256(coalesce(x.ids, '')) AS items_sha256,
+       coalesce(h.n, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN hit_words h USING (r) LEFT JOIN hit_items x USING (r)
+"""
+
+
+@_query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers cut every document."""
+    return alignment.cross_tokenizer_links(
+        _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, the cheapest edits and the repaired text's digest of every damaged conversation."""
+    rows = conversations.damage(_table(spark, sf_dir, "conversations"))
+    judged = stored(conversations.judge_conversations(rows), "conversation_audits")
+    hashed = conversations.repair_conversations(rows, judged, digest=True).withColumnRenamed("conv_id", "_conv")
+    return judged.join(hashed, judged["conv_id"].eqNullSafe(hashed["_conv"])).drop("_conv")
