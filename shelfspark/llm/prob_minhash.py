@@ -9,22 +9,25 @@ that repeats a shingle has a second signature in which all weights are 1 (two
 of these agree with the Jaccard similarity of the shingle sets; without repeats
 both are the same), so either measure that verification accepts finds candidates.
 
-Exact copies (equal words) share one class from the start.  Bands of registers
+Exact copies (equal words) are one node from the start.  Bands of registers
 give buckets; members of a bucket are compared with its most central member
 first, and from then on only across components, so that a large group of near
 copies is linked by its centre and no candidate link between components is
-lost; in large buckets an exact prefix filter on rare shingles says which pairs
-can be near at all.  Candidates are verified on their whole texts: probability Jaccard of
-the counts, or Jaccard of the shingle sets, of at least the threshold.
-Classes are the connected components.
+lost.  Members of large buckets that are still apart form clusters; a cluster is
+dealt into blocks, and one task compares two blocks: it adds up what every two
+texts share, verifies the pairs that can be near, and gives out no more links
+than join its components, so rows stay linear in the members.  Candidates are
+verified on their whole texts: probability Jaccard of the counts, or Jaccard of
+the shingle sets, of at least the threshold.  Classes are the connected components.
 
 Words are maximal runs of ASCII letters and digits and of non-ASCII characters
 in the lower-cased text; a shorter text is one shingle of all its words.
 
 Edge cases: documents without words (null, empty, signs only) are classes of
-their own; documents with a null id have a null class; rows that share an id
-count as one document; an empty table gives no rows; texts of any length are
-read whole; other columns are ignored.
+their own; documents with a null id have a null class; rows that share an id are
+documents of their own, each judged by its text; repeated rows are all returned;
+an empty table gives no rows; texts of any length are read whole; other columns
+are ignored, or kept by ``one_of_each_class``.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.llm.common import stored
 from shelfspark.llm.components import connected_components
@@ -216,15 +220,12 @@ def _near(pairs: DataFrame, texts: DataFrame, threshold: float, shingle_words: i
 
 def _link_buckets(
     members: DataFrame, texts: DataFrame, threshold: float, shingle_words: int, small: int = 4
-) -> DataFrame:
-    """(id, label): components of all near pairs that share a bucket.
+) -> tuple[DataFrame, DataFrame]:
+    """(id, label) of the components of all near pairs that share a bucket, and the verified links (a, b) that make them.
 
     First every member meets the most central member of its bucket, which links
     a group of near copies at once.  What is then still apart meets within
-    buckets of at most ``small`` members pair by pair; in larger buckets two
-    members can only be near if they share one of their rarest shingles, and
-    those meet that do (an exact filter, so a bucket full of texts that merely
-    share a passage is not expanded).
+    buckets of at most ``small`` members pair by pair, in larger ones by blocks.
     """
     leading = members.groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("centre"))
     met = members.join(leading, "key").where("id <> centre")
@@ -233,121 +234,214 @@ def _link_buckets(
     labels = connected_components(links)
     placed = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = (placed.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last"))
-             .where("first <> last").select("key"))
+             .where("first <> last").select("key", "first"))
     apart = stored(placed.join(mixed, "key"), "open_buckets")
     few = apart.where(F.col("size") <= small)
     others = few.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))
     pairs = (few.join(others, "key").where("label <> other_label AND id > other")
              .select(F.col("id").alias("a"), F.col("other").alias("b")))
-    many = apart.where(F.col("size") > small).select("id", "label").distinct()
-    if not many.isEmpty():
-        pairs = pairs.union(_pairs_by_rare_shingles(many, texts, threshold, shingle_words))
     pairs = stored(pairs.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    more = stored(_near(pairs, texts, threshold, shingle_words), "links")
-    return labels if more.isEmpty() else connected_components(links.union(more))
-
+    more = _near(pairs, texts, threshold, shingle_words)
+    many = apart.where(F.col("size") > small)
+    if not many.isEmpty():
+        # buckets join the components (labels) of their members to clusters: a label is tied to the least label it
+        # meets in any bucket, and that one to the least labels of the label's other buckets
+        met = many.groupBy("label").agg(F.collect_set("first").alias("firsts")).withColumn("least", F.array_min("firsts"))
+        ties = (met.select(F.col("label").alias("a"), F.col("least").alias("b"))
+                .union(met.select(F.explode("firsts").alias("a"), F.col("least").alias("b"))).distinct())
+        clusters = connected_components(ties).select(F.col("id").alias("label"), F.col("label").alias("cluster"))
+        clustered = many.select("id", "label").distinct().join(clusters, "label")
+        more = more.union(_links_between_blocks(clustered, texts, threshold, shingle_words))
+    more = stored(more, "links")
+    if more.isEmpty():
+        return labels, links
+    every = links.union(more)
+    return connected_components(every), every
+
+
+#: A block holds about so many members and bytes of text at most; a task compares two blocks.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
+_LISTED = 12
+
+
+def _links_between_blocks(
+    members: DataFrame, texts: DataFrame, threshold: float, shingle_words: int,
+    block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Links (a, b) between members (id, label, cluster) of one cluster with different labels, enough to join all near ones."""
+    own = stored(texts.join(members, "id").withColumn("bytes", F.octet_length("text")), "clusters")
+    sizes = own.groupBy("cluster").agg(F.greatest(
+        F.lit(1), F.ceil(F.count("*") / block_rows), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = own.join(sizes, "cluster").withColumn("block", block).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                         "block", "id", "label", "text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, labels, blocks = (t[c].to_numpy() for c in ("id", "label", "block"))
+        found = []
+        if len(np.unique(labels)) > 1:
+            counted = [_counted(x.as_py(), shingle_words) for x in t["text"]]
+            found = _joining_links(ids, labels, blocks == blocks.min(), blocks == blocks.max(), counted, threshold)
+        a, b = zip(*found) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _joining_links(ids: np.ndarray, labels: np.ndarray, in_x: np.ndarray, in_y: np.ndarray,
+                   counted: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """Verified links between members of block x and of block y, a spanning forest of their labels."""
+    x, y = np.flatnonzero(in_x), np.flatnonzero(in_y)
+    place_x, place_y = np.cumsum(in_x) - 1, np.cumsum(in_y) - 1
+    sizes = np.array([len(h) for h, _ in counted])
+    hashes, of = np.concatenate([h for h, _ in counted]), np.repeat(np.arange(len(ids)), sizes)
+    share = np.concatenate([w / w.sum() if len(w) else w for _, w in counted]).astype(np.float32)
+    order = np.argsort(hashes, kind="stable")
+    hashes, of, share = hashes[order], of[order], share[order]
+    cuts = np.flatnonzero(np.diff(hashes)) + 1
+    lows, highs = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(hashes)]])
+    both = np.zeros((len(x), len(y)), dtype=np.float32)  # shingles that two texts share
+    weight_x, weight_y = np.zeros_like(both), np.zeros_like(both)  # and their share of each text's weight
+    width = highs - lows
+    for k in range(2, _LISTED + 1):  # a shingle of few texts: their pairs
+        chosen = np.flatnonzero(width == k)
+        for part in np.array_split(chosen, max(1, len(chosen) * k * k >> 20)):
+            at = lows[part][:, None] + np.arange(k)
+            left, right = (np.repeat(at, k, axis=1).ravel(), np.tile(at, k).ravel())
+            ok = in_x[of[left]] & in_y[of[right]]
+            left, right = left[ok], right[ok]
+            cell = place_x[of[left]], place_y[of[right]]
+            np.add.at(both, cell, 1)
+            np.add.at(weight_x, cell, share[left])
+            np.add.at(weight_y, cell, share[right])
+    often = np.flatnonzero(width > _LISTED)
+    for part in np.array_split(often, max(1, -(-len(often) // 512))):  # a shingle of many: products of matrices
+        at = np.concatenate([np.arange(lows[p], highs[p]) for p in part]) if len(part) else part
+        column = np.repeat(np.arange(len(part)), width[part])
+        here_x, here_y = in_x[of[at]], in_y[of[at]]
+        has_x, has_y = np.zeros((len(x), len(part)), dtype=np.float32), np.zeros((len(part), len(y)), dtype=np.float32)
+        has_x[place_x[of[at[here_x]]], column[here_x]] = 1
+        has_y[column[here_y], place_y[of[at[here_y]]]] = 1
+        both += has_x @ has_y
+        of_x, of_y = has_x.copy(), has_y.copy()
+        of_x[place_x[of[at[here_x]]], column[here_x]] = share[at[here_x]]
+        of_y[column[here_y], place_y[of[at[here_y]]]] = share[at[here_y]]
+        weight_x += of_x @ has_y
+        weight_y += has_x @ of_y
+    union = sizes[x][:, None] + sizes[y][None, :] - both
+    # with a and b the weights that are not shared, probability Jaccard <= 1 / (1 + a / (1 - a) + b / (1 - b))
+    # (its terms x_i y_i / (y_i + b x_i) are concave; equal for equal weights)
+    with np.errstate(divide="ignore"):
+        most = 1 / (1 / weight_x + 1 / weight_y - 1)
+    can = (labels[x][:, None] != labels[y][None, :]) & ((both >= (threshold - 1e-5) * union) | (most >= threshold - 1e-3))
+    root: dict[int, int] = {}
+
+    def find(label: int) -> int:
+        while root.get(label, label) != label:
+            root[label] = root.get(root[label], root[label])
+            label = root[label]
+        return label
+
+    found = []
+    for i, j in np.argwhere(can).tolist():
+        p, q = find(int(labels[x[i]])), find(int(labels[y[j]]))
+        if p != q and similarity(counted[x[i]], counted[y[j]]) >= threshold:
+            root[max(p, q)] = min(p, q)
+            pair = int(ids[x[i]]), int(ids[y[j]])
+            found.append((max(pair), min(pair)))
+    return found
 
-_COUNT_BITS, _CHUNK_BITS = 22, 16
 
+def _words_digest(text: str | None) -> bytes | None:
+    words = word_hashes(text) if text else ()
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(words) else None
 
-def _pairs_by_rare_shingles(members: DataFrame, texts: DataFrame, threshold: float, shingle_words: int) -> DataFrame:
-    """(a, b) of members with different labels that can reach the threshold.
 
-    Similarity t needs shared shingles of at least t of either text's weight (or
-    number) of shingles, so in any one order of all shingles the first that two
-    such texts share is among those of the first 1 - t of each, and what stands
-    before it bounds the similarity.  The order is by a table of hashed counts of
-    fixed size, rare shingles first; shingles that no second text has are left out.
-    """
-    own = stored(texts.join(members, "id"), "large_buckets")
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, text) of ``nodes`` (id, doc_id, h1, h2): of the rows with a node's doc_id, one with its words."""
+    joined = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+              .where(F.col("text").isNotNull()).join(nodes.select("doc_id", "id", "h1", "h2"), "doc_id"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for b in batches:
-            for text in b.column(0):
-                found.append(np.unique(_counted(text.as_py(), shingle_words)[0] & np.uint64((1 << _COUNT_BITS) - 1)))
-        if found:
-            at, n = np.unique(np.concatenate(found).astype(np.int64), return_counts=True)
-            cuts = np.flatnonzero(np.diff(at >> _CHUNK_BITS)) + 1
-            rows = [s for s in np.split(np.arange(len(at)), cuts) if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(at[s[0]] >> _CHUNK_BITS) for s in rows], pa.int32()),
-                 pa.array([(at[s] & ((1 << _CHUNK_BITS) - 1)).astype("<u2").tobytes() for s in rows], pa.binary()),
-                 pa.array([np.minimum(n[s], 65535).astype("<u2").tobytes() for s in rows], pa.binary())],
-                names=["chunk", "at", "n"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(1 << _CHUNK_BITS, dtype=np.int64)
-        for at, n in zip(t["at"].to_pylist(), t["n"].to_pylist()):
-            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u2")
-        return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int32()),
-                         "n": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
-
-    chunks = (own.select("text").mapInArrow(count, "chunk int, at binary, n binary")
-              .groupBy("chunk").applyInArrow(add, "chunk int, n binary").collect())  # 4 MB at most
-    table = np.zeros(1 << _COUNT_BITS, dtype=np.uint8)
-    for r in chunks:
-        table[r.chunk << _CHUNK_BITS:(r.chunk + 1) << _CHUNK_BITS] = np.frombuffer(r.n, dtype=np.uint8)
-    held = own.sparkSession.sparkContext.broadcast(table)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slack = 1 - threshold + 1e-9
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, odds, places, sizes = [], [], [], []
-            for text in b.column(2):
-                h, w = _counted(text.as_py(), shingle_words)
-                n = held.value[h & np.uint64((1 << _COUNT_BITS) - 1)]
-                order = np.lexsort((h, n))
-                before = (np.cumsum(w[order]) - w[order]) / w.sum()  # weight that is not shared if this one is the first
-                keep = ((before <= slack) | (np.arange(len(h)) <= slack * len(h))) & (n[order] > 1)
-                lists.append(h[order][keep].view(np.int64))
-                odds.append((before / (1 - before))[keep])
-                places.append(np.flatnonzero(keep).astype(np.int32))
-                sizes.append(len(h))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64())),
-                 pa.array(odds, pa.list_(pa.float64())), pa.array(places, pa.list_(pa.int32()))],
-                names=["id", "label", "n", "shingle", "odds", "place"])
-
-    rows = own.select("id", "label", "text").mapInArrow(
-        rare, "id long, label long, n int, shingle array<long>, odds array<double>, place array<int>")
-    rows = stored(rows.select("id", "label", "n", F.inline(F.arrays_zip("shingle", "odds", "place"))), "rare_shingles")
-    shared = rows.groupBy("shingle").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last")
-    rows = rows.join(shared.select("shingle"), "shingle")
-    others = rows.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("id", "label", "n", "odds", "place")])
-    # If x and y share no shingle before this one, then with a and b the weights before it
-    #   probability Jaccard <= 1 / (1 + a / (1 - a) + b / (1 - b))
-    # (terms x_i y_i / (y_i + b x_i) are concave; equal for equal weights), and the sets share at most what is left.
-    most = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
-    reach = (1 / (1 + F.col("odds") + F.col("other_odds")) >= threshold - 1e-9) | (
-        most >= (threshold - 1e-9) * (F.col("n") + F.col("other_n") - most))
-    return (rows.join(others, "shingle").where((F.col("id") > F.col("other_id")) & (F.col("label") != F.col("other_label")) & reach)
-            .select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct())
-
-
-def near_duplicates(
+            want = np.stack([b.column(3).to_numpy(), b.column(4).to_numpy()], axis=1).astype("<i8")
+            keep = [_words_digest(t.as_py()) == w.tobytes() for t, w in zip(b.column(1), want)]
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(1)], names=["id", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(same, "id long, text string").groupBy("id").agg(F.min("text").alias("text"))
+
+
+def duplicate_classes(
     docs: DataFrame,
     threshold: float = 0.8,
     bands: int = 30,
     rows: int = 6,
     shingle_words: int = SHINGLE_WORDS,
 ) -> DataFrame:
-    """(doc_id, class_id) for every row; the class is named by its smallest doc_id."""
+    """(doc_id, h1, h2, class_id, n_links, class_key) for every row; h1 and h2 hash the words (null without words).
+
+    The class is named by its smallest doc_id; where rows of different classes
+    share that id, ``class_key`` still tells them apart (null without an id or
+    words).  ``n_links`` counts the verified links to other texts that were found
+    for the row's text (copies share one text).
+    """
     signed = stored(signatures(docs, bands, rows, shingle_words), "signatures")
     known = signed.where(F.col("doc_id").isNotNull() & F.col("h1").isNotNull())
-    copies = stored(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")), "copies")
+    copies = (known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"))
+              .withColumn("id", F.monotonically_increasing_id()))
+    copies = stored(copies, "copies")
     keys = copies.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(keys.join(shared, "key"), "buckets")
     central = members.groupBy("id").agg(F.sum("size").alias("degree"))  # who meets the most others
     members = stored(members.join(central, "id"), "ranked_buckets")
-    texts = stored(
-        docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        .where(F.col("text").isNotNull()).join(central.select("id"), "id"), "bucket_texts")
-    final = _link_buckets(members, texts, threshold, shingle_words)
-    of_copy = copies.select("h1", "h2", "id").join(final, "id", "left").select(
-        F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("label", "id").alias("class"))
+    nodes = copies.select("id", "doc_id", "h1", "h2").join(central.select("id"), "id")
+    texts = stored(_texts_of(docs, nodes), "bucket_texts")
+    labels, links = _link_buckets(members, texts, threshold, shingle_words)
+    degrees = (links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links")))
+    placed = (copies.select("h1", "h2", "id", "doc_id").join(labels, "id", "left").join(degrees, "id", "left")
+              .withColumn("label", F.coalesce("label", "id")))
+    named = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    of_copy = placed.join(named, "label").select(
+        F.col("h1").alias("c1"), F.col("h2").alias("c2"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.col("label").alias("class_key"))
+    has_id = F.col("doc_id").isNotNull()
     return (
         signed.select("doc_id", "h1", "h2")
         .join(of_copy, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
-        .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id")))
+        .select("doc_id", "h1", "h2", F.when(has_id, F.coalesce("class_id", "doc_id")).alias("class_id"),
+                F.when(has_id, F.coalesce("n_links", F.lit(0)).cast("long")).alias("n_links"), F.when(has_id, F.col("class_key")).alias("class_key")))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, n_links) for every row (options: see ``duplicate_classes``)."""
+    return duplicate_classes(docs, **options).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with its columns, without all but one of every class.
+
+    The row with the smallest id stays, of several the one with the smallest
+    words' hash, then the smallest text and columns.  Rows without an id and
+    texts without words all stay.
+    """
+    placed = duplicate_classes(docs, **options).where("class_key IS NOT NULL AND doc_id = class_id")
+    words = F.concat_ws(":", "h1", "h2")
+    chosen = placed.groupBy("class_key").agg(F.min("class_id").alias("_id"), F.min(words).alias("_chosen"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_words_digest(t.as_py()) for t in b.column(b.schema.get_field_index("_text"))]
+            text = [":".join(map(str, np.frombuffer(d, "<i8").tolist())) if d else None for d in found]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, "_words"])
+
+    held = docs.withColumn("_text", F.col("text").cast("string"))
+    keyed = held.mapInArrow(digest, T.StructType([*held.schema.fields, T.StructField("_words", T.StringType())]))
+    rest = [c for c in docs.columns if c != "text"]
+    kept = keyed.join(chosen, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_words") == F.col("_chosen")))
+    one = (kept.groupBy("class_key").agg(F.min(F.struct("text", *rest)).alias("r"))
+           .select(*[F.col("r")[c].alias(c) for c in docs.columns]))
+    return one.unionByName(keyed.where("doc_id IS NULL OR _words IS NULL").select(*docs.columns))

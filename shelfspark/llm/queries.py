@@ -149,7 +149,7 @@ def op2_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The near-duplicate class of every document."""
+    """The near-duplicate class of every document and the links found for its text."""
     return prob_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
