@@ -6,7 +6,7 @@ kept; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import langid, packing, prob_minhash, suffix_dedup
@@ -27,20 +27,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate class; rows with a null id stay.
+    """One row of every near-duplicate class: the smallest id, then the smallest words' hash, text and columns.
 
-    Of rows that share a kept id, the one with the smallest text stays.
+    Classes go by row, not by id: rows that share an id and are not near each
+    other all stay.  Rows with a null id and texts without words stay; repeated
+    rows are one class; an empty table gives no rows.
     """
-    kept = (prob_minhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct())
-    of_id = Window.partitionBy("doc_id").orderBy("text")
-    chosen = docs.join(kept, "doc_id").withColumn("_n", F.row_number().over(of_id)).where("_n = 1")
-    return chosen.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return prob_minhash.one_of_each_class(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated 100-byte strings; ``n_chars`` is counted anew.
 
-    Bytes of characters that a removed string cut in two go as well.
+    Bytes of characters that a removed string cut in two go as well.  Null texts
+    become empty; repeated rows and rows with a null id are judged like others (a
+    null id comes first); an empty table gives no rows.
     """
     found = suffix_dedup.remove_repeats(docs)
     whole = F.col("kept").cast("string")
@@ -49,7 +50,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 ids with their sequence and place."""
+    """Pieces of at most 2048 ids with their sequence and place.
+
+    A null or empty text is one piece with the end id only; repeated rows and rows
+    with a null id are packed each; an empty table gives no rows.
+    """
     pieces = packing.piece_step(spark, tokenizer_path(), capacity=2048, end_id=0)
     return packing.best_fit_pack(packing.texts_of(docs), capacity=2048, steps=(pieces,))
 
