@@ -25,6 +25,8 @@ from shelfspark.constants import (
     PSI_HIGH,
     PSI_MEDIUM,
 )
+from shelfspark.operators.quantiles import value_ranges
+from shelfspark.session import materialized
 
 
 def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -133,9 +135,9 @@ def ks_two_sample(ref: DataFrame, cur: DataFrame, columns: Sequence[str],
     """Two-sample Kolmogorov–Smirnov statistic and p-value per feature.
 
     D = max over values x of |F_ref(x) − F_cur(x)|.  Plan:
-    1. counts per (feature, value, side) — the data reduces to distinct values;
-    2. values are range-bucketed per feature (split points from
-       ``percentile_approx``; only the bucketing uses them, D stays exact);
+    1. counts per (feature, value, side), written once — the data reduces to distinct values;
+    2. values are range-bucketed per feature by collected split points, the same
+       numbers in every use (only the bucketing uses them, D stays exact);
     3. per (feature, bucket) totals → prefix offsets over that small table;
     4. running sums inside each (feature, bucket) window, plus the offset.
     A window holds about one shuffle partition's share of the values, never a whole feature.  Drift when p < threshold (0.1).
@@ -144,21 +146,16 @@ def ks_two_sample(ref: DataFrame, cur: DataFrame, columns: Sequence[str],
     r = long_form(ref, columns).withColumn("side", F.lit(0))
     c = long_form(cur, columns).withColumn("side", F.lit(1))
     allv = r.unionByName(c)
-    buckets = max(2, int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cnt = allv.groupBy("feature", "value").agg(F.count_if(F.col("side") == 0).alias("n1"),
-                                               F.count_if(F.col("side") == 1).alias("n2"))
-    levels = [i / buckets for i in range(1, buckets)]
-    splits = cnt.groupBy("feature").agg(
-        F.percentile_approx("value", F.array(*[F.lit(x) for x in levels]), 10000).alias("_sp"),
-        F.sum("n1").alias("tot1"), F.sum("n2").alias("tot2"))
-    b = cnt.join(F.broadcast(splits), "feature").withColumn(
-        "bucket", F.size(F.filter("_sp", lambda s: s < F.col("value"))))
+    cnt = materialized(allv.groupBy("feature", "value").agg(
+        F.count_if(F.col("side") == 0).alias("n1"), F.count_if(F.col("side") == 1).alias("n2")), "ks_counts")
+    sides = cnt.groupBy("feature").agg(F.sum("n1").alias("tot1"), F.sum("n2").alias("tot2"))
+    b = value_ranges(cnt, "feature", "value").withColumnRenamed("part", "bucket")
     tot = b.groupBy("feature", "bucket").agg(F.sum("n1").alias("b1"), F.sum("n2").alias("b2"))
     wb = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("feature", "bucket", F.coalesce(F.sum("b1").over(wb), F.lit(0)).alias("o1"),
                       F.coalesce(F.sum("b2").over(wb), F.lit(0)).alias("o2"))
     wv = Window.partitionBy("feature", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = (b.join(offs, ["feature", "bucket"])
+    cdf = (b.join(offs, ["feature", "bucket"]).join(F.broadcast(sides), "feature")  # one row per feature
             .select("feature", "tot1", "tot2",
                     F.abs((F.col("o1") + F.sum("n1").over(wv)) / F.col("tot1")
                           - (F.col("o2") + F.sum("n2").over(wv)) / F.col("tot2")).alias("gap")))

@@ -19,6 +19,7 @@ from shelfspark.constants import NB_DISCOUNT_EDGES, NB_DISCOUNT_LABELS
 from shelfspark.functions.bins import bins_frame, right_closed_bin
 from shelfspark.functions.numeric import round_half_up
 from shelfspark.operators.quantiles import quantile_scalar
+from shelfspark.session import materialized
 from shelfspark.sources.catalog import ROW_ORDER
 
 REV = "discounted_price"
@@ -73,7 +74,7 @@ def high_discount_low_revenue(df: DataFrame, k: int = 10, min_discount: float =
 
 def revenue_by_category(df: DataFrame, k: int = 10) -> DataFrame:
     """Revenue per full category path: best k and worst k (``side``)."""
-    agg = _sum_by(df, "category", REV, "revenue")
+    agg = materialized(_sum_by(df, "category", REV, "revenue"), "revenue_by_category")  # one row per category, ranked twice
     best = top_k(agg, "revenue", "category", k).withColumn("side", F.lit("best"))
     worst = top_k(agg, "revenue", "category", k, ascending=True).withColumn("side", F.lit("worst"))
     return best.unionByName(worst)
@@ -171,10 +172,11 @@ def stock_risk(df: DataFrame, k: int = 10, low_q: float = 0.25, high_q: float =
     revenue while their rating count is above the ``high_q`` quantile.
 
     The two thresholds are scalar subqueries over the per-product table (one
-    value each, computed once); no join is needed to attach them.
+    value each) over the per-product table, which is written once and read by
+    both and by the filter; no join is needed to attach them.
     """
-    stats = df.groupBy("product_name").agg(F.sum(REV).alias("revenue"),
-                                           F.sum("rating_count").cast("bigint").alias("rating_count"))
+    stats = materialized(df.groupBy("product_name").agg(
+        F.sum(REV).alias("revenue"), F.sum("rating_count").cast("bigint").alias("rating_count")), "product_totals")
     if exact:
         rev_q, cnt_q = quantile_scalar(stats, "revenue", low_q), quantile_scalar(stats, "rating_count", high_q)
     else:

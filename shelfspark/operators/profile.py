@@ -13,8 +13,12 @@ Shape rules used throughout:
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,9 @@ from shelfspark.functions.bins import bins_frame, right_closed_bin
 from shelfspark.functions.numeric import round_half_up
 from shelfspark.operators.quantiles import exact_quantiles
 
+# Functions of this module run inside Python workers; shipped by value, executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STAT_NAMES = ("min", "max", "mean", "median", "std")
 
 
@@ -282,35 +289,70 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] = CORRELATION_COLUM
                        digits: int = 3) -> DataFrame:
     """Pairwise-complete Pearson r for every column pair.
 
-    One aggregate without a row more than the input: each unordered pair has
-    three numerically stable built-ins over the rows where both values are
-    present, r = covar_pop(a, b) / (stddev_pop(a) · stddev_pop(b)).  A constant
-    column gives null (``corr`` would fail with divide-by-zero under ANSI).
+    One pass: every task adds up, per Arrow batch, the co-moments of all pairs as
+    matrix products over the rows where both values are present, batch means
+    taken out (batches merge by their means, so nothing cancels), and gives one
+    row per pair.  These few rows merge around the pairs' overall means.  A
+    constant column gives null.
     """
     cols = [c for c in columns if c in df.columns]
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    present = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-    src = df.select(*[x.alias(c) for c, x in present.items()])
-    aggs = []
-    for i, a in enumerate(cols):
-        aggs.append(F.stddev_pop(a).alias(f"s{i}_{i}"))
-        for j in range(i + 1, len(cols)):
-            b = cols[j]
-            aggs += [F.covar_pop(a, b).alias(f"c{i}_{j}"),
-                     F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))).alias(f"s{i}_{j}"),
-                     F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b))).alias(f"s{j}_{i}")]
-
-    def r(i: int, j: int) -> Column:
-        if i == j:
-            return F.when(F.col(f"s{i}_{i}") > 0, F.lit(1.0))
-        lo, hi = min(i, j), max(i, j)
-        x = F.try_divide(F.col(f"c{lo}_{hi}"), F.col(f"s{lo}_{hi}") * F.col(f"s{hi}_{lo}"))
-        return F.when(x.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
-
-    rows = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), round_half_up(r(i, j), digits).alias("r"))
-                     for i, a in enumerate(cols) for j, b in enumerate(cols)])
-    return src.agg(*aggs).select(F.inline(rows))
+    k = len(cols)
+    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    parts = src.mapInArrow(_co_moments(k), _MOMENTS)
+    sums = parts.groupBy("i", "j").applyInArrow(_merge_moments, "i int, j int, vi double, vj double, c double")
+    x = F.try_divide(F.col("c"), F.sqrt("vi") * F.sqrt("vj"))
+    r = (F.when(F.col("i") == F.col("j"), F.when(F.col("vi") > 0, F.lit(1.0)))
+         .otherwise(F.when(x.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))))
+    pairs = df.sparkSession.createDataFrame(
+        [(a, b, min(i, j), max(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)],
+        "column_a string, column_b string, i int, j int")
+    return (pairs.join(sums.withColumn("r", r).select("i", "j", "r"), ["i", "j"], "left")
+            .select("column_a", "column_b", round_half_up(F.col("r"), digits).alias("r")))
+
+
+_MOMENTS = "i int, j int, n double, mi double, mj double, ci double, cj double, cij double"
+
+
+def _merge_moments(t: pa.Table) -> pa.Table:
+    """One pair's rows of all tasks: sums of squares and of products around the overall means."""
+    n, mi, mj, ci, cj, cij = (t[c].to_numpy() for c in ("n", "mi", "mj", "ci", "cj", "cij"))
+    di, dj = mi - (n * mi).sum() / n.sum(), mj - (n * mj).sum() / n.sum()
+    return pa.table({"i": t["i"][:1], "j": t["j"][:1], "vi": [float((ci + n * di * di).sum())],
+                     "vj": [float((cj + n * dj * dj).sum())], "c": [float((cij + n * di * dj).sum())]})
+
+
+def _co_moments(k: int):
+    """Per task one row per pair i <= j of ``k`` columns: rows with both, their means and centred (co-)moments."""
+
+    def run(batches):
+        n, mi, mj, ci, cj, cij = (np.zeros((k, k)) for _ in range(6))
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(k)], axis=1).astype(np.float64)
+            has = ~np.isnan(x)
+            held = has.astype(np.float64)
+            near = np.divide(np.where(has, x, 0).sum(axis=0), np.maximum(1, has.sum(axis=0)))
+            x = np.where(has, x - near, 0)  # around the batch's means, so that squares stay small
+            m = held.T @ held
+            least = np.maximum(1, m)
+            s = x.T @ held  # s[i, j]: sum of column i where j is present
+            q = (x * x).T @ held
+            bi, bj = s / least, s.T / least
+            b_ci, b_cj, b_cij = q - s * bi, q.T - s.T * bj, x.T @ x - s * bj
+            bi, bj = bi + near[:, None], bj + near[None, :]
+            total = np.maximum(1, n + m)
+            di, dj, w = bi - mi, bj - mj, n * m / total
+            ci, cj, cij = ci + b_ci + di * di * w, cj + b_cj + dj * dj * w, cij + b_cij + di * dj * w
+            mi, mj, n = mi + di * m / total, mj + dj * m / total, n + m
+        i, j = np.triu_indices(k)
+        keep = n[i, j] > 0
+        i, j = i[keep], j[keep]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(t[i, j]) for t in (n, mi, mj, np.maximum(ci, 0), np.maximum(cj, 0), cij)]],
+            names=["i", "j", "n", "mi", "mj", "ci", "cj", "cij"])
+
+    return run
 
 
 def target_correlations(df: DataFrame, target: str = TARGET,

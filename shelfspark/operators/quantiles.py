@@ -1,11 +1,13 @@
 """Exact quantiles (linear interpolation between order statistics) without one task that holds a column.
 
-1. values are counted per (column, value), which combines on the map side;
-2. split points per column (a bounded sketch) deal the counted values into
-   ranges; they only balance the work;
-3. the ranges' totals give every range its offset, and a running sum inside a
-   range gives each value's ranks;
-4. one conditional aggregate reads the values at the ranks asked for.
+1. values are counted per (column, value), which combines on the map side, and
+   the counts are written once (one row per different value);
+2. split points per column (a bounded sketch, collected: one number per column
+   and range) deal the counted values into ranges; they only balance the work,
+   and as fixed numbers they are the same wherever they are used;
+3. the ranges' totals (collected: one number per column and range) say which
+   range holds a rank, and how many values stand before it;
+4. only those ranges are sorted, each in its own window, and read at the ranks.
 
 The number of ranges follows ``spark.sql.shuffle.partitions``, so a range holds
 about one shuffle partition's share of the values, whatever the table's size.
@@ -13,11 +15,26 @@ about one shuffle partition's share of the values, whatever the table's size.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.session import materialized
+
+
+def value_ranges(counts: DataFrame, key: str, value: str) -> DataFrame:
+    """``counts`` with ``part``: the range of ``value`` among its key's, by split points that are fixed numbers."""
+    spark = counts.sparkSession
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    found = counts.groupBy(key).agg(F.percentile_approx(value, steps, 10_000).alias("splits")).collect()
+    splits = spark.createDataFrame([(r[0], sorted(set(r[1]))) for r in found], f"`{key}` string, _splits array<double>")
+    return counts.join(F.broadcast(splits), key).withColumn(  # one row per key
+        "part", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
+
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float]) -> DataFrame:
     """(column, quantiles): the value at rank q·(n−1) for every level, interpolated; nulls are ignored.
@@ -27,35 +44,40 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[floa
     levels = list(levels)
     if any(not 0.0 <= q <= 1.0 for q in levels):
         raise ValueError("levels must lie in [0, 1]")
-    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = df.sparkSession
     values = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])))
-    counts = values.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    splits = counts.groupBy("column").agg(F.percentile_approx("value", steps, 10_000).alias("splits"),
-                                          F.sum("n").alias("total"))
-    dealt = counts.join(F.broadcast(splits), "column").withColumn(  # one row per column
-        "part", F.size(F.filter("splits", lambda s: s < F.col("value")))).drop("splits")
-    earlier = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (dealt.groupBy("column", "part").agg(F.sum("n").alias("m"))
-               .select("column", "part", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before")))
+    counts = materialized(
+        values.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "value_counts")
+    dealt = value_ranges(counts, "column", "value")
+    totals: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for r in dealt.groupBy("column", "part").agg(F.sum("n").alias("m")).orderBy("column", "part").collect():
+        totals[r["column"]].append((r["part"], r["m"]))
+    wanted, weights = [], []  # (column, part, rank in the part, level, upper)
+    for c, parts in totals.items():
+        n = sum(m for _, m in parts)
+        for i, q in enumerate(levels):
+            rank = q * (n - 1)
+            weights.append((c, i, rank - math.floor(rank)))
+            for upper, at in ((0, math.floor(rank)), (1, math.ceil(rank))):
+                for part, m in parts:
+                    if at < m:
+                        wanted.append((c, part, at, i, upper))
+                        break
+                    at -= m
+    ranks = spark.createDataFrame(wanted, "`column` string, part int, at long, level int, upper int")
+    weights = spark.createDataFrame(weights, "`column` string, level int, w double")
     running = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = dealt.join(F.broadcast(offsets), ["column", "part"]).withColumn(  # columns x ranges rows
-        "upto", F.col("before") + F.sum("n").over(running))
-
-    def at(rank):
-        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("value")))
-
-    picked = []
-    for i, q in enumerate(levels):
-        rank = F.lit(q) * (F.col("total") - 1).cast("double")
-        picked += [at(F.floor(rank)).alias(f"lo{i}"), at(F.ceil(rank)).alias(f"hi{i}"),
-                   F.max(rank - F.floor(rank)).alias(f"w{i}")]
+    needed = dealt.join(F.broadcast(ranks.select("column", "part").distinct()), ["column", "part"], "left_semi")
+    placed = needed.withColumn("upto", F.sum("n").over(running))
+    read = placed.join(F.broadcast(ranks), ["column", "part"]).where(  # columns x levels rows
+        (F.col("upto") - F.col("n") <= F.col("at")) & (F.col("at") < F.col("upto")))
+    both = read.groupBy("column", "level").agg(F.max(F.when(F.col("upper") == 0, F.col("value"))).alias("lo"),
+                                               F.max(F.when(F.col("upper") == 1, F.col("value"))).alias("hi"))
     # as order statistics interpolate: (1 - w) * lower + w * upper, exact where both are one value
-    each = [F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}"))
-            .otherwise((F.lit(1.0) - F.col(f"w{i}")) * F.col(f"lo{i}") + F.col(f"w{i}") * F.col(f"hi{i}"))
-            for i in range(len(levels))]
-    return ranked.groupBy("column").agg(*picked).select("column", F.array(*each).alias("quantiles"))
+    one = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.lit(1.0) - F.col("w")) * F.col("lo") + F.col("w") * F.col("hi"))
+    each = both.join(F.broadcast(weights), ["column", "level"]).select("column", F.struct("level", one.alias("value")).alias("x"))
+    return each.groupBy("column").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["value"]).alias("quantiles"))
 
 
 def quantile_scalar(df: DataFrame, column: str, level: float):

@@ -193,9 +193,9 @@ def q_bundle_pairs(spark, sf_dir):
 SELECT a AS item_a, b AS item_b, count(*) AS n
 FROM (SELECT x.product_name AS a, y.product_name AS b
       FROM r x JOIN r y ON x.user_id = y.user_id AND x.pos < y.pos)
-GROUP BY a, b HAVING count(*) > 1""",
+GROUP BY a, b""",
     extra="r AS (SELECT user_id, product_name, row_number() OVER (PARTITION BY user_id ORDER BY order_key, "
           "line_number, part_key, supp_key, actual_price) AS pos FROM nb WHERE user_id IS NOT NULL)"))
 def q_pair_self_join(spark, sf_dir):
-    """All ordered item pairs that occur more than once, with their counts."""
-    return I.ordered_pairs(questions_frame(spark, sf_dir)).where("n > 1")
+    """All ordered item pairs with their counts."""
+    return I.ordered_pairs(questions_frame(spark, sf_dir))

@@ -134,3 +134,10 @@ def content_key(*frames) -> str:
         r = df.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first()
         parts.append(f"{df.columns}{tuple(r)}")
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+
+
+def materialized(df, name: str):
+    """``df`` written as Parquet below the shared folder and read back: computed once, however often it is read."""
+    path = shared_dir(df.sparkSession, "tables", name, unique=True)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

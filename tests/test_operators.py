@@ -176,3 +176,40 @@ def test_one_user_with_half_of_all_rows(spark):
         want.update((a[1], b[1]) for a, b in combinations(own, 2))
     got = {(r.item_a, r.item_b): r.n for r in ordered_pairs(df, block_rows=16).collect()}
     assert got == dict(want)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_exact_quantiles_of_many_values(spark, adaptive):
+    """More different values than a sketch of split points holds exactly; with and without adaptive execution."""
+    from shelfspark.operators.quantiles import exact_quantiles
+
+    n, lv = 150_000, [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
+    df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(10 ** 12)) / 997.0).alias("x"), (F.col("id") % 7).alias("y"))
+    data = np.array([r.x for r in df.select("x").collect()])
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = {r["column"]: r["quantiles"] for r in exact_quantiles(df, ["x", "y"], lv).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    order = np.sort(data)
+    for q, found in zip(lv, got["x"]):
+        rank = q * (n - 1)
+        lo, hi, w = order[int(rank)], order[int(np.ceil(rank))], rank - int(rank)
+        assert found == (lo if lo == hi else (1.0 - w) * lo + w * hi)
+    assert got["y"] == [0.0, 0.0, 1.0, 3.0, 5.0, 6.0, 6.0, 6.0]
+
+
+def test_correlations_merge_over_partitions_and_large_means(spark):
+    """Co-moments of many tasks and batches, far from zero and with gaps, equal those of all rows at once."""
+    rng = np.random.default_rng(8)
+    x = 1e9 + rng.normal(size=3000)
+    y = 0.6 * (x - 1e9) + rng.normal(size=3000)
+    z = np.where(rng.random(3000) < 0.4, np.nan, rng.normal(size=3000) - 0.3 * y)
+    rows = [(float(a), float(b), None if np.isnan(c) else float(c)) for a, b, c in zip(x, y, z)]
+    df = spark.createDataFrame(rows, "x double, y double, z double").repartition(7)
+    cm = {(r["column_a"], r["column_b"]): r["r"] for r in P.correlation_matrix(df, ["x", "y", "z"], digits=6).collect()}
+    has = ~np.isnan(z)
+    assert cm[("x", "y")] == pytest.approx(np.corrcoef(x - 1e9, y)[0, 1], abs=2e-6)
+    assert cm[("z", "x")] == cm[("x", "z")] == pytest.approx(np.corrcoef(x[has] - 1e9, z[has])[0, 1], abs=2e-6)
+    assert cm[("x", "x")] == 1.0

@@ -15,7 +15,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("section", ["missing_values", "correlation_matrix", "null_counts"])
+@pytest.mark.parametrize("section", ["missing_values", "null_counts"])
 def test_section_is_one_aggregate_without_row_growth(spark, sf_small, section):
     p = plan(getattr(P, section)(enriched(spark, sf_small)))
     assert p.count("Scan parquet") == 3           # order lines, parts, texts: each once
@@ -23,6 +23,11 @@ def test_section_is_one_aggregate_without_row_growth(spark, sf_small, section):
     assert "Generate" not in p[p.index("HashAggregate(keys=[], functions=[partial"):]
 
 
+def test_correlations_are_one_pass(spark, sf_small):
+    p = plan(P.correlation_matrix(enriched(spark, sf_small)))
+    assert p.count("Scan parquet") == 3 and p.count("MapInArrow") == 1 and "Generate" not in p
+
+
 @pytest.mark.parametrize("name", ["price_stats", "rating_stats", "text_length_stats", "describe_numeric", "stock_risk",
                                   "median_impute", "dataset_summary"])
 def test_quantiles_use_no_value_map(spark, sf_small, name):
