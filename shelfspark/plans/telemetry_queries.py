@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.constants import LATENCY_BUCKETS
 from shelfspark.functions.numeric import round_half_up
+from shelfspark.operators import counters
 from shelfspark.operators import telemetry as T
 from shelfspark.plans.registry import query
 from shelfspark.plans.sql import R2
@@ -94,6 +95,33 @@ def q_rate_5m(spark, sf_dir):
     return _rate_out(T.rate_5m(ev(spark, sf_dir)))
 
 
+@query("counter_rate", oracle=f"""WITH {EV}, samples AS (
+  SELECT label, epoch_us(ts) AS us, cast(row_number() OVER (PARTITION BY label, day ORDER BY ts, event_id) AS double) AS v
+  FROM (SELECT *, floor((epoch_us(ts) / 1e6 - 1800e0) / 86400e0) AS day FROM ev)),
+fell AS (SELECT *, lag(v) OVER (PARTITION BY label, hour ORDER BY us, v) AS prev
+         FROM (SELECT *, cast(floor(us / 3600e6) AS bigint) AS hour FROM samples)),
+sums AS (
+  SELECT label, hour, count(*) AS n, min(us) AS t0, max(us) AS t1, arg_min(v, (us, v)) AS v0, arg_max(v, (us, v)) AS v1,
+         coalesce(sum(prev) FILTER (WHERE v < prev), 0e0) AS lost, count(*) FILTER (WHERE v < prev) AS resets
+  FROM fell GROUP BY label, hour),
+steps AS (
+  SELECT *, v1 - v0 + lost AS increase, (t1 - t0) / 1e6 AS sampled, (t1 - t0) / 1e6 / (n - 1) AS mean,
+         (t0 - hour * 3600000000) / 1e6 AS head, ((hour + 1) * 3600000000 - t1) / 1e6 AS tail
+  FROM sums WHERE t0 < t1),
+edges AS (
+  SELECT *, CASE WHEN head >= mean * 1.1e0 THEN mean / 2e0 ELSE head END AS head1,
+         CASE WHEN tail >= mean * 1.1e0 THEN mean / 2e0 ELSE tail END AS tail1,
+         CASE WHEN increase > 0 AND v0 >= 0 THEN sampled * (v0 / increase) END AS zero FROM steps)
+SELECT make_timestamp(hour * 3600000000) AS window_start, make_timestamp((hour + 1) * 3600000000) AS window_end, label,
+       increase, resets, {R2('increase * ((sampled + least(head1, coalesce(zero, head1)) + tail1) / sampled) / 3600e0', 9)} AS rate
+FROM edges""")
+def q_counter_rate(spark, sf_dir):
+    """Hourly request rate from counters that restart every day at half past midnight."""
+    rates = counters.counter_rate(counters.counter_samples(ev(spark, sf_dir)), size="1 hour")
+    return rates.select(ntz("window_start"), ntz("window_end"), "label", "increase", "resets",
+                        round_half_up("rate", 9).alias("rate"))
+
+
 @query("rate_by_label", oracle=_rate_sql("status", "CASE WHEN is_error THEN 'error' ELSE 'success' END"))
 def q_rate_by_label(spark, sf_dir):
     return _rate_out(T.rate_by_label(ev(spark, sf_dir)), "status")

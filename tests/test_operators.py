@@ -213,3 +213,28 @@ def test_correlations_merge_over_partitions_and_large_means(spark):
     assert cm[("x", "y")] == pytest.approx(np.corrcoef(x - 1e9, y)[0, 1], abs=2e-6)
     assert cm[("z", "x")] == cm[("x", "z")] == pytest.approx(np.corrcoef(x[has] - 1e9, z[has])[0, 1], abs=2e-6)
     assert cm[("x", "x")] == 1.0
+
+
+def test_counter_rate_with_restarts_and_edges(spark):
+    """Rates by hand: a restart, samples far from an edge, a counter that starts inside the window, one sample, nulls."""
+    from datetime import datetime, timedelta, timezone
+
+    from shelfspark.operators.counters import counter_rate
+
+    t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    series = {
+        "restart": [(0, 100), (60, 130), (120, 10), (180, 40), (240, 70)],   # 30 + 10 + 30 + 30
+        "late": [(200, 50), (220, 60), (240, 70)],                           # starts far from the edge, ends 60 s before it
+        "young": [(30, 1), (90, 4), (150, 7), (210, 10), (270, 13)],         # zero would be 20 s before the first sample
+        "alone": [(10, 5)], "still": [(0, 7), (150, 7), (290, 7)],
+    }
+    rows = [(k, t0 + timedelta(seconds=s), float(v)) for k, x in series.items() for s, v in x]
+    rows += [("restart", None, 1.0), ("late", t0, None)]
+    df = spark.createDataFrame(rows, "label string, ts timestamp, value double")
+    got = {r["label"]: (r["increase"], r["resets"], r["rate"]) for r in counter_rate(df).collect()}
+    assert set(got) == {"restart", "late", "young", "still"}
+    assert got["restart"] == (100.0, 1, pytest.approx(100 * (240 + 0 + 60) / 240 / 300))
+    assert got["late"] == (20.0, 0, pytest.approx(20 * (40 + 10 + 10) / 40 / 300))
+    assert got["young"] == (12.0, 0, pytest.approx(12 * (240 + 20 + 30) / 240 / 300))
+    assert got["still"] == (0.0, 0, 0.0)
+    assert counter_rate(df.limit(0)).collect() == []
