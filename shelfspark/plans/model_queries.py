@@ -13,13 +13,14 @@ from shelfspark.constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from shelfspark.functions.numeric import round_half_up
 from shelfspark.operators import model as M
 from shelfspark.operators import quality as Q
+from shelfspark.operators.boosting import BoostedModel, boosted_prediction, fit_boosted
 from shelfspark.operators.drift import cv_drift_score, prediction_drift
 from shelfspark.operators.enrich import enrich_catalog, fill_missing
 from shelfspark.operators.text import sentiment_scores
 from shelfspark.plans.registry import query
 from shelfspark.plans.sql import R2, with_ctes
 from shelfspark.plans.text_queries import _SENT_CTES
-from shelfspark.session import content_key
+from shelfspark.session import content_key, path_exists, shared_dir
 from shelfspark.sources.catalog import catalog_view, product_texts
 from shelfspark.sources.tables import read_table
 
@@ -147,6 +148,44 @@ def q_train_regressor(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.lit(int(model.getNumTrees)).alias("n_trees"))
 
 
+def get_boosted(spark, sf_dir):
+    """The leaf-wise model and its prepared rows; fitted if the shared folder has none for these rows and this code."""
+    df = M.train_test_split(model_frame(spark, sf_dir))
+    prep = M.fit_features(df.where("split = 'train'"))
+    rows = M.transform_features(df, prep)
+    used = rows.select("row_id", "split", M.TARGET, *prep.feature_names)
+    path = shared_dir(spark, "boosted", content_key(used))
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        own = used.where("split <> 'test'").withColumn("held", F.col("split") == "validation")
+        fit_boosted(own, prep.feature_names, M.TARGET, "row_id", "held").save(spark, path)
+    return BoostedModel.load(spark, path), used
+
+
+@query("train_leafwise")
+def q_train_leafwise(spark, sf_dir):
+    """Leaf-wise boosted trees with L1/L2, row and feature sampling: error and size on each split."""
+    model, rows = get_boosted(spark, sf_dir)
+    e = F.col(M.TARGET) - boosted_prediction(model)
+    return rows.select("split", e.alias("e")).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
+        F.lit(len(model.trees)).alias("n_trees"), F.lit(sum(t.leaves for t in model.trees)).alias("n_leaves"))
+
+
+@query("predict_leafwise")
+def q_predict_leafwise(spark, sf_dir):
+    model, rows = get_boosted(spark, sf_dir)
+    clipped = F.least(F.lit(100.0), F.greatest(F.lit(0.0), boosted_prediction(model)))
+    return rows.select("row_id", round_half_up(clipped, 2).alias("predicted_discount"))
+
+
+@query("leafwise_importance")
+def q_leafwise_importance(spark, sf_dir):
+    """Splits and summed gain per feature."""
+    model, _ = get_boosted(spark, sf_dir)
+    return spark.createDataFrame([(f, n, g) for f, (n, g) in model.importance().items()],
+                                 "feature string, splits long, gain double")
+
+
 @query("sink_model", oracle=_model_sql("SELECT split, count(*) AS n, 0e0 AS largest_difference FROM sp GROUP BY split"))
 def q_sink_model(spark, sf_dir):
     """The model saved as a new version and loaded again: rows scored by both and the largest difference."""

@@ -107,6 +107,12 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory())
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table of our own, through the Hadoop FileSystem (any scheme)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def package_fingerprint() -> str:
     """sha1 over this package's source, read from a folder or a zip: a code change names new results."""
     h = hashlib.sha1()
