@@ -17,6 +17,7 @@ from shelfspark.sinks.index import index_info, read_index, upsert_index
 from shelfspark.sinks.logs import read_json_logs, write_json_logs
 from shelfspark.sources.tables import read_table
 from shelfspark.streaming import telemetry_stream as S
+from shelfspark.streaming.alert_stream import alert_changes, stateful_session
 
 EV = """ev AS (SELECT ts, event_id, user_id, event_type AS label, value / 1000e0 AS latency,
          event_type = 'error' AS is_error, cast(json_extract_string(props, '$.k') AS integer) AS results,
@@ -259,6 +260,30 @@ def q_stream_request_pairs(spark, sf_dir):
     return S.request_pairs_stream(spark, sf_dir).select("start_id", "end_id")
 
 
+def _alert_changes_sql() -> str:
+    return f"""WITH {EV}, wm AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS w FROM ev),
+st AS (SELECT {W(60)} AS step_start, count(*) FILTER (WHERE is_error) / count(*) AS err,
+    quantile_cont(latency, 0.95) AS p95 FROM ev GROUP BY 1),
+t AS (SELECT 'HighErrorRate' AS alert, step_start FROM st, wm WHERE err > 0.1e0 AND step_start + INTERVAL 60 SECOND <= w
+      UNION ALL SELECT 'SlowResponses', step_start FROM st, wm WHERE p95 > 2e0 AND step_start + INTERVAL 60 SECOND <= w),
+k AS (SELECT alert, step_start, cast(epoch(step_start) / 60 AS bigint)
+         - row_number() OVER (PARTITION BY alert ORDER BY step_start) AS grp FROM t),
+i AS (SELECT alert, min(step_start) AS start, max(step_start) AS last, count(*) AS n FROM k GROUP BY alert, grp)
+SELECT alert, 'pending' AS state, start, start + INTERVAL 60 SECOND AS "at", 1 AS steps FROM i
+UNION ALL SELECT alert, 'firing', start, start + INTERVAL 300 SECOND, 5 FROM i WHERE n >= 5
+UNION ALL SELECT alert, CASE WHEN n >= 5 THEN 'resolved' ELSE 'cleared' END, start, last + INTERVAL 60 SECOND, n
+FROM i, wm WHERE last + INTERVAL 120 SECOND <= w"""
+
+
+@query("stream_alerts", oracle=_alert_changes_sql())
+def q_stream_alerts(spark, sf_dir):
+    """Every change of an alert's state, from the event stream, as far as the watermark has come."""
+    own = stateful_session(spark)
+    changes = alert_changes(S.request_event_stream(own, sf_dir))
+    found = S.run_to_table(changes, "alerts", "append", shared_dir(spark, "streams", "alerts", unique=True), reader=spark)
+    return found.select("alert", "state", ntz("start"), ntz("at"), "steps")
+
+
 # ---------------------------------------------------------------- sources & sinks
 
 
