@@ -31,6 +31,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +47,8 @@ _TOKEN = re.compile(
     r"|[^<]++|<",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?|"[^"]*+"|'[^']*+'""")
+_NAMED = frozenset(("class", "id", "role"))
 #: Elements that stand within a line of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
@@ -68,76 +70,130 @@ _LIKELY, _LIKELY_WORDS, _LEAST_LIKELY = 0.25, 8, 0.05
 
 def _names(attributes: str) -> list[str]:
     found = []
-    for m in _NAMES.finditer(attributes):
-        found += re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1] and m[1].lower() in _NAMED:
+            found += re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())
     return [x for x in found if x]
 
 
 class _Unlikely:
-    """An element with names that are seldom content: the names, whether it stands outside marked content and around some."""
+    """An element that is seldom or never content, linked to the next such element around it (``outer``).
 
-    def __init__(self, names: frozenset[str], outside: bool) -> None:
-        self.names, self.outside, self.wraps = names, outside, False
+    ``outside``: it stands outside marked content; ``wraps``: marked content stands
+    in it.  At the page's end ``up`` is the next element around it that is no wrapper.
+    """
+
+    __slots__ = ("names", "outside", "wraps", "outer", "never", "in_never", "outside_names", "nearest_outside", "up")
+
+    def __init__(self, names: frozenset[str], outside: bool, outer: _Unlikely | None, never: bool = False) -> None:
+        self.names, self.outside, self.wraps, self.outer, self.never = names, outside, False, outer, never
+        self.in_never = never or (outer is not None and outer.in_never)
+        around = outer.outside_names if outer else frozenset()
+        self.outside_names = around if not outside or names <= around else around | names
+        self.nearest_outside = self if outside else outer.nearest_outside if outer else None
+        self.up = outer
+
+    @property
+    def kept(self) -> _Unlikely | None:
+        return self if self.never or not self.wraps else self.up
+
+
+def _mark_wrappers(around: _Unlikely | None) -> None:
+    """``around`` and all around it hold marked content; those marked before end the walk, as all around them are marked."""
+    while around is not None and not around.wraps:
+        around.wraps = True
+        around = around.outer
+
+
+class _Open(NamedTuple):
+    """An open element: ``words`` and ``key`` are the keys of its words and of its tag, ``paragraph`` the place of a
+    paragraph that a next one would end."""
+
+    name: str
+    words: str
+    inside: bool
+    around: _Unlikely | None
+    key: str
+    paragraph: int | None
 
 
-#: What holds for the words of an element that is never content.
-_NEVER = _Unlikely(frozenset(), False)
+_PAGE = _Open("", "", False, None, "", None)
 
 
-def _parts(page: str) -> Iterator[tuple[str, str, str, bool, tuple[_Unlikely, ...]]]:
-    """As ``read_page``, with every unlikely element around a part, wrappers too (known as such at the page's end)."""
-    # name, key of its words, inside, unlikely elements around, key of its tag
-    stack: list[tuple[str, str, bool, tuple[_Unlikely, ...], str]] = []
+def _parts(page: str, made: list[_Unlikely]) -> Iterator[tuple[str, str, str, bool, _Unlikely | None]]:
+    """As ``read_page``, with the nearest unlikely element, wrappers too (known as such at the page's end).
+
+    ``made`` gets every unlikely element, outer ones first.  The time is linear in
+    the page, however deeply it nests and whatever is left open.
+    """
+    stack: list[_Open] = []
+    open_names: Counter = Counter()
+
+    def close(at: int) -> None:
+        for x in stack[at:]:
+            open_names[x.name] -= 1
+        del stack[at:]
+
     for m in _TOKEN.finditer(page):
         token = m[0]
+        top = stack[-1] if stack else _PAGE
         if token[0] != "<" or token == "<":
-            _, key, inside, never, _ = stack[-1] if stack else ("", "", False, (), "")
-            yield "text", key, token, inside, never
+            yield "text", top.words, token, top.inside, top.around
             continue
         name = (m[3] or "").lower()
         if not name:
             continue
         if m[2]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            inside, key = bool(stack) and stack[-1][2], name
-            if at is not None:
-                key = stack[at][4]
-                del stack[at:]
-            outer = bool(stack) and stack[-1][2]
-            yield "tag", f"/{key}", "", inside and outer, ()
+            key = name
+            if open_names[name] > 0:
+                at = len(stack) - 1
+                while stack[at].name != name:
+                    at -= 1
+                key = stack[at].key
+                close(at)
+            outer = bool(stack) and stack[-1].inside
+            yield "tag", f"/{key}", "", top.inside and outer, None
             continue
-        inside, never = (stack[-1][2], stack[-1][3]) if stack else (False, ())
+        inside, around = top.inside, top.around
         names = _names(m[4]) if m[4] else []
-        around = stack[-1][1].rpartition("@")[2] if stack else ""
-        key = f"{name}@{around}" if name in INLINE else ".".join([name, *names[:2]])
-        yield "tag", key, "", inside, never
+        block = top.words.rpartition("@")[2]
+        key = f"{name}@{block}" if name in INLINE else ".".join([name, *names[:2]])
+        yield "tag", key, "", inside, around
         if name in VOID or m[4].endswith("/"):
             continue
-        if name == "p":  # a paragraph ends where the next begins
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if at is not None and all(x[0] in INLINE or x[0] == "p" for x in stack[at:]):
-                del stack[at:]
+        if name == "p" and top.paragraph is not None:  # a paragraph ends where the next begins
+            close(top.paragraph)
         marks = name in _CONTENT or "main" in names
         unlikely = NEVER_NAMED.intersection(names)
-        if marks:  # a comment marked as an article does not make the comments around it content
-            for x in never:
-                x.wraps |= x.outside or not unlikely
+        if marks and around is not None:  # a comment marked as an article does not make the comments around it content
+            _mark_wrappers(around.nearest_outside if unlikely else around)
         if name in NEVER or (name == "header" and not inside):
-            never = (*never, _NEVER) if _NEVER not in never else never
+            if around is None or not around.in_never:
+                made.append(around := _Unlikely(frozenset(), False, around, never=True))
         elif not marks and name not in _WHOLE and (unlikely or name == "form"):
-            never = (*never, _Unlikely(unlikely | {"form"} if name == "form" else unlikely, not inside))
-        context = key if name not in INLINE or name == "a" else stack[-1][1] if stack else ""
-        stack.append((name, context, inside or marks, never, key))
+            made.append(around := _Unlikely(unlikely | {"form"} if name == "form" else unlikely, not inside, around))
+        words = key if name not in INLINE or name == "a" else stack[-1].words if stack else ""
+        paragraph = len(stack) if name == "p" else stack[-1].paragraph if stack and name in INLINE else None
+        stack.append(_Open(name, words, inside or marks, around, key, paragraph))
+        open_names[name] += 1
+
 
+def _read(page: str) -> tuple[list[tuple[str, str, str, bool, _Unlikely | None]], list[_Unlikely]]:
+    """The parts of a page without wrappers around them, and all unlikely elements, outer ones first."""
+    made: list[_Unlikely] = []
+    parts = list(_parts(page, made))
+    for x in made:
+        x.up = x.outer.kept if x.outer else None
+    return [(kind, key, text, inside, x.kept if x else None) for kind, key, text, inside, x in parts], made
 
-def read_page(page: str) -> Iterator[tuple[str, str, str, bool, tuple[_Unlikely, ...]]]:
-    """Parts of a page in order: (kind, key, text, inside marked content, unlikely elements around it).
+
+def read_page(page: str) -> Iterator[tuple[str, str, str, bool, _Unlikely | None]]:
+    """Parts of a page in order: (kind, key, text, inside marked content, nearest unlikely element around it).
 
     Kind is ``text`` (key: the element it stands in) or ``tag`` (key: the tag).
     Keys of links and other inline tags name the block around them: ``a@li``.
     """
-    for kind, key, text, inside, never in list(_parts(page)):
-        yield kind, key, text, inside, tuple(x for x in never if x is _NEVER or not x.wraps) if never else never
+    yield from _read(page)[0]
 
 
 class Weights:
@@ -158,32 +214,38 @@ class Weights:
                 self.tag[key] = -0.25 - 4.0 * max(0.0, min(8.0, -odds))
         self.fitted = bool(counts)
 
-    def of_word(self, key: str, never: tuple[_Unlikely, ...] = ()) -> float:
-        """Words that are never content score 0 where they stand amid content, else below; unlikely ones count less."""
+    def of_word(self, key: str, around: _Unlikely | None = None, share: float = 1.0) -> float:
+        """Words that are never content score 0 where they stand amid content, else below; others count by their ``share``."""
+        never = around is not None and around.in_never
         score = self.word.get(key)
         if score is None:
             block = key.rpartition("@")[2]
-            score = self.word.get(block, self.word.get(block.partition(".")[0], -1.0 if _NEVER in never else 1.0))
-        if score <= 0 or not never:
+            score = self.word.get(block, self.word.get(block.partition(".")[0], -1.0 if never else 1.0))
+        if score <= 0:
             return score
-        if _NEVER in never:
-            return 0.0
-        return score * min(self.likely.get(n, _LIKELY) for x in never for n in x.names)
+        return 0.0 if never else score * share
+
+    def shares(self, made: list[_Unlikely], wrappers: set[_Unlikely]) -> dict[_Unlikely | None, float]:
+        """Per unlikely element the least share of content of it and all around it but ``wrappers``."""
+        found: dict[_Unlikely | None, float] = {None: 1.0}
+        for x in made:
+            own = 1.0 if x in wrappers or not x.names else min(self.likely.get(n, _LIKELY) for n in x.names)
+            found[x] = min(own, found[x.up])
+        return found
 
     def of_tag(self, key: str) -> float:
         return self.tag.get(key, -1.0 if "@" in key else self.tag.get(key.partition(".")[0], -1.0))
 
 
-def _best_range(parts: list[tuple], weights: Weights, wrappers: set[_Unlikely]) -> tuple[int, int]:
+def _best_range(parts: list[tuple], weights: Weights, shares: dict[_Unlikely | None, float]) -> tuple[int, int]:
     best = total = 0.0
     start = 0
     best_range = (0, 0)
-    for i, (kind, key, text, _, never) in enumerate(parts):
+    for i, (kind, key, text, _, around) in enumerate(parts):
         if kind == "tag":
             total += weights.of_tag(key)
         else:
-            words = len(text.split())
-            total += words * weights.of_word(key, tuple(x for x in never if x not in wrappers) if wrappers else never)
+            total += len(text.split()) * weights.of_word(key, around, shares[around])
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -191,25 +253,41 @@ def _best_range(parts: list[tuple], weights: Weights, wrappers: set[_Unlikely])
     return best_range
 
 
+def _around_all(chosen: list[tuple], made: list[_Unlikely]) -> set[_Unlikely]:
+    """The unlikely elements in which all words of ``chosen`` stand."""
+    places = Counter(around for kind, _, text, _, around in chosen if kind == "text" and not text.isspace())
+    total = sum(places.values())
+    found = set()
+    for x in reversed(made):
+        if n := places[x]:
+            if n == total:
+                found.add(x)
+            places[x.up] += n
+    return found
+
+
 def content(page: str | None, weights: Weights) -> str:
     """The text of the best stretch, white space turned into single spaces."""
     if not page:
         return ""
-    parts = list(read_page(page))
+    parts, made = _read(page)
     wrappers: set[_Unlikely] = set()
     while True:  # a wrapper found is content: its words count in full from then on
-        chosen = parts[slice(*_best_range(parts, weights, wrappers))]
-        around = [set(never) for kind, _, text, _, never in chosen if kind == "text" and not text.isspace()]
-        found = set.intersection(*around) - wrappers if around else set()
+        chosen = parts[slice(*_best_range(parts, weights, weights.shares(made, wrappers)))]
+        found = _around_all(chosen, made) - wrappers
         if not found:
             break
         wrappers |= found
+    wanted = {None}  # elements whose words are content: they and all around them are wrappers
+    for x in made:
+        if x in wrappers and x.up in wanted:
+            wanted.add(x)
     out = []
-    for kind, key, text, _, never in chosen:
+    for kind, key, text, _, around in chosen:
         if kind == "tag":
             if "@" not in key and key.lstrip("/") not in INLINE:
                 out.append(" ")
-        elif wrappers.issuperset(never):
+        elif around in wanted:
             out.append(html_lib.unescape(text))
     return " ".join("".join(out).split())
 
@@ -230,10 +308,10 @@ def fit_weights(pages: DataFrame, html_column: str = "html", sample_pages: int =
         seen: Counter = Counter()
         for b in batches:
             for page in b.column(0):
-                for kind, key, text, inside, around in _parts(page.as_py()):
+                for kind, key, text, inside, around in _parts(page.as_py(), []):
                     n = len(text.split()) if kind == "text" else 1
                     if kind == "text" and around:
-                        for x in {x for u in around if u.outside for x in u.names}:
+                        for x in around.outside_names:
                             seen["name", x, inside] += n
                     for k in {key, key if "@" in key else key.partition(".")[0]}:
                         seen[kind, k, inside] += n

@@ -136,6 +136,25 @@ def test_names_of_wrappers_do_not_cut_the_page(spark, wrapper):
     assert html_content.content(page.replace("<h1>A page of words</h1>", ""), html_content.Weights({})) == " ".join(f"{text} {text}".split())
 
 
+@pytest.mark.parametrize("attribute", ['data-id="comments"', 'data-role="banner"', "aria-class=promo", "title='class=ad'"])
+def test_names_come_from_whole_attributes(attribute):
+    text = "some words of text " * 9
+    page = f"<body><article><p>{text}</p><p {attribute}>{text}</p><p id = 'comments'>No</p></article></body>"
+    assert html_content.content(page, html_content.Weights({})) == " ".join((text + text).split())
+
+
+@pytest.mark.parametrize("opened, closed", [
+    ("<div class=ad>", ""), ("<div class=ad>w", "</div>"), ("<b>", "</i>"), ("<p><div>", "<p></p>"), ("<div id=share><main>", ""),
+    ("<form><article class=comment>", "<p>"), ("<b>", "<p></p>"), ("<nav class=ad>", "</nav>")])
+def test_deeply_nested_and_unclosed_pages_take_linear_time(opened, closed):
+    import time
+    text = "some words of text " * 9
+    page = f"<article><p>{text}</p></article>{opened * 50_000}{closed * 50_000}"
+    began = time.monotonic()
+    assert text.strip() in html_content.content(page, html_content.Weights({}))
+    assert time.monotonic() - began < 20
+
+
 def test_comments_marked_as_articles_are_no_content():
     text = "some words of text " * 30
     page = f"<main><article><p>{text}</p></article><div id='comments'><article class='comment'><p>first!</p></article></div></main>"
