@@ -41,14 +41,19 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[floa
 
     A column without values has no row.
     """
-    levels = list(levels)
-    if any(not 0.0 <= q <= 1.0 for q in levels):
-        raise ValueError("levels must lie in [0, 1]")
-    spark = df.sparkSession
     values = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])))
     counts = materialized(
         values.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "value_counts")
+    return quantiles_of_counts(counts, levels)
+
+
+def quantiles_of_counts(counts: DataFrame, levels: Sequence[float]) -> DataFrame:
+    """The same from a written table (column, value, n) that holds each value of a column once."""
+    levels = list(levels)
+    if any(not 0.0 <= q <= 1.0 for q in levels):
+        raise ValueError("levels must lie in [0, 1]")
+    spark = counts.sparkSession
     dealt = value_ranges(counts, "column", "value")
     totals: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for r in dealt.groupBy("column", "part").agg(F.sum("n").alias("m")).orderBy("column", "part").collect():

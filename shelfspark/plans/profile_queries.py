@@ -11,6 +11,7 @@ from shelfspark.operators.insights import dedupe_reviews
 from shelfspark.plans.frames import enriched
 from shelfspark.plans.registry import query
 from shelfspark.plans.sql import R2, with_ctes, with_enriched
+from shelfspark.session import shared_dir
 from shelfspark.sources.catalog import catalog_view
 
 # enriched catalog (users=True) column -> Spark type, for the schema-driven oracles
@@ -342,6 +343,19 @@ def q_full_summary(spark, sf_dir):
     return full_summary(enriched(spark, sf_dir))
 
 
+@query("summary_view", oracle=with_enriched(_full_sql()))
+def q_summary_view(spark, sf_dir):
+    """The same sections from per-file states: one load of catalog files, a refresh, the other loads, a refresh."""
+    from shelfspark.operators.summary_view import COLUMNS, refresh_summary
+    folder = shared_dir(spark, "summary_view", unique=True)
+    rows = enriched(spark, sf_dir)
+    first = F.coalesce(F.col("line_number") <= 2, F.lit(True))
+    for load in (first, ~first):
+        rows.where(load).select(*COLUMNS).write.mode("append").parquet(f"{folder}/catalog")
+        done = refresh_summary(spark, f"{folder}/catalog", f"{folder}/view")
+    return done.summary
+
+
 _TOP_COLS = ["product_id", "product_name", "main_category", "rating", "actual_price", "discount_percentage",
              "rating_count"]
 
