@@ -10,6 +10,7 @@ from shelfspark.functions.numeric import round_half_up
 from shelfspark.functions.text import ENGLISH_STOPWORDS, TOKEN_PATTERN, point_id
 from shelfspark.functions.vectors import cosine_similarity
 from shelfspark.constants import DOMAIN_STOPWORDS
+from shelfspark.operators import lexicon as L
 from shelfspark.operators import rag as RAG
 from shelfspark.operators import text as T
 from shelfspark.operators.enrich import enrich_catalog
@@ -175,6 +176,73 @@ def q_count_reviews(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", count_segments("text").alias("n_reviews"))
 
 
+# ---------------------------------------------------------------- learned lexicon
+
+
+def _learned_sql(fold: str = "true") -> str:
+    """CTEs ``rated``, ``used`` (a word and whether it is negated), ``lexicon`` (of the texts where ``fold``), ``scored``."""
+    return f"""
+rated AS (SELECT part_key, count(*) FILTER (WHERE rating >= 4) AS good, count(*) FILTER (WHERE rating <= 2) AS bad
+          FROM catalog GROUP BY part_key HAVING count(*) FILTER (WHERE rating >= 4 OR rating <= 2) > 0),
+tt AS (SELECT doc_id, {_tok('text')} AS toks FROM documents),
+used AS (SELECT doc_id, toks[i] AS term, list_has_any(toks[greatest(1, i - 3):i - 1], [{NEG_SQL}]) AS negated
+         FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM tt)
+         WHERE toks[i] NOT IN ({NEG_SQL}) AND NOT regexp_full_match(toks[i], '[0-9]+')),
+tc AS (SELECT term, cast(sum(CASE WHEN negated THEN bad ELSE good END) AS bigint) AS positive,
+              cast(sum(CASE WHEN negated THEN good ELSE bad END) AS bigint) AS negative
+       FROM used JOIN rated ON doc_id = part_key WHERE {fold} GROUP BY term),
+tot AS (SELECT sum(positive) AS p, sum(negative) AS n FROM tc),
+pr AS (SELECT tc.*, p, n, (positive + negative) * 1e3 / (p + n) AS a FROM tc, tot),
+lo AS (SELECT *, ln((positive + a) / (p + 1e3 - positive - a)) - ln((negative + a) / (n + 1e3 - negative - a)) AS d FROM pr),
+lexicon AS (SELECT term, positive, negative, cast(floor((exp(d) - 1) / (exp(d) + 1) * 1e6 + 0.5e0) AS bigint) AS weight,
+                   d / sqrt(1 / (positive + a) + 1 / (negative + a)) AS z FROM lo
+            WHERE abs(d / sqrt(1 / (positive + a) + 1 / (negative + a))) >= 1.96e0),
+sums AS (SELECT doc_id, sum(CASE WHEN negated THEN -weight ELSE weight END) AS s, sum(abs(weight)) AS m, count(*) AS hits
+         FROM used JOIN lexicon USING (term) GROUP BY doc_id),
+scored AS (SELECT d.doc_id, coalesce(s / hits / 1e6, 0e0) AS polarity,
+                  CASE WHEN text IS NULL OR text = '' THEN 0.5e0 ELSE coalesce(m / hits / 1e6, 0e0) END AS subjectivity,
+                  cast(coalesce(hits, 0) AS bigint) AS hits
+           FROM documents d LEFT JOIN sums ON sums.doc_id = d.doc_id)"""
+
+
+def _ratings(spark, sf_dir):
+    rows = catalog_view(spark, sf_dir).select(F.col("part_key").alias("doc_id"), "rating")
+    return L.text_ratings(rows, "doc_id")
+
+
+@query("learned_lexicon", oracle=with_ctes(_learned_sql().strip(), f"""SELECT term, positive, negative,
+    {R2('weight / 1e6', 5)} AS weight, {R2('z', 6)} AS z FROM lexicon"""))
+def q_learned_lexicon(spark, sf_dir):
+    """Terms whose use tells high from low ratings, with weights from their log-odds."""
+    found = L.learn_lexicon(read_table(spark, sf_dir, "documents"), _ratings(spark, sf_dir), "doc_id", "text")
+    return found.select("term", "positive", "negative", round_half_up(F.col("weight") / 1e6, 5).alias("weight"),
+                        round_half_up("z", 6).alias("z"))
+
+
+@query("learned_sentiment", oracle=with_ctes(_learned_sql().strip(), f"""SELECT doc_id, {R2('polarity', 5)} AS polarity,
+    {R2('subjectivity', 5)} AS subjectivity, hits FROM scored"""))
+def q_learned_sentiment(spark, sf_dir):
+    """Polarity and subjectivity of every text by the learned lexicon."""
+    docs = read_table(spark, sf_dir, "documents")
+    scores = L.learned_scores(docs, L.learn_lexicon(docs, _ratings(spark, sf_dir), "doc_id", "text"), "doc_id", "text")
+    return scores.select("doc_id", round_half_up("polarity", 5).alias("polarity"),
+                         round_half_up("subjectivity", 5).alias("subjectivity"), "hits")
+
+
+@query("learned_agreement", oracle=with_ctes(_learned_sql("doc_id % 3 <> 1").strip(), """SELECT
+    cast(coalesce(sum(good + bad), 0) AS bigint) AS ratings,
+    cast(coalesce(sum(CASE WHEN polarity > 0 THEN good WHEN polarity < 0 THEN bad ELSE 0 END), 0) AS bigint) AS agreeing,
+    cast(coalesce(sum(CASE WHEN polarity > 0 THEN bad WHEN polarity < 0 THEN good ELSE 0 END), 0) AS bigint) AS opposed,
+    cast(coalesce(sum(CASE WHEN polarity = 0 THEN good + bad ELSE 0 END), 0) AS bigint) AS undecided
+    FROM scored JOIN rated ON doc_id = part_key WHERE doc_id % 3 = 1"""))
+def q_learned_agreement(spark, sf_dir):
+    """Ratings of held-out texts (a third) against the polarity by a lexicon of the other texts."""
+    docs, ratings = read_table(spark, sf_dir, "documents"), _ratings(spark, sf_dir)
+    held = F.col("doc_id") % 3 == 1
+    lexicon = L.learn_lexicon(docs, ratings.where(~held), "doc_id", "text")
+    return L.rating_agreement(L.learned_scores(docs.where(held), lexicon, "doc_id", "text"), ratings, "doc_id")
+
+
 # ---------------------------------------------------------------- documents & ids
 
 
