@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from shelfspark.constants import LATENCY_BUCKETS
 from shelfspark.functions.numeric import round_half_up
 from shelfspark.operators import counters
+from shelfspark.operators import sketches as K
 from shelfspark.operators import telemetry as T
 from shelfspark.plans.registry import query
 from shelfspark.plans.sql import R2
+from shelfspark.plans.sql import with_enriched as _catalog_sql
 from shelfspark.session import shared_dir
 from shelfspark.sinks.index import index_info, read_index, upsert_index
 from shelfspark.sinks.logs import read_json_logs, write_json_logs
+from shelfspark.sinks.metrics import counter_samples, gauge_samples, histogram_samples, read_metrics, write_metrics
 from shelfspark.sources.tables import read_table
 from shelfspark.streaming import telemetry_stream as S
 from shelfspark.streaming.alert_stream import alert_changes, stateful_session
@@ -296,12 +299,67 @@ def q_src_json_logs(spark, sf_dir):
     return logs.groupBy("path").agg(F.count(F.lit(1)).alias("n"), round_half_up(F.sum("duration"), 9).alias("total_duration"))
 
 
-@query("sink_metrics", oracle=f"WITH {EV} SELECT label, count(*) AS count FROM ev GROUP BY label")
+def _metrics_sql() -> str:
+    hist = " UNION ALL ".join(
+        f"SELECT 'histogram' AS kind, 'request_seconds_bucket' AS name, label, '{le}' AS le, cast(count(*) FILTER (WHERE {cond}) AS double) AS value FROM ev GROUP BY label"
+        for le, cond in [*[(float(b), f"latency <= {float(b)}e0") for b in LATENCY_BUCKETS], ("+Inf", "latency IS NOT NULL")])
+    return f"""WITH {EV} SELECT 'counter' AS kind, 'requests_total' AS name, label, NULL AS le, cast(count(*) AS double) AS value FROM ev GROUP BY label
+UNION ALL {hist}
+UNION ALL SELECT 'histogram', 'request_seconds_sum', label, NULL, {R2('sum(latency)', 6)} FROM ev GROUP BY label
+UNION ALL SELECT 'histogram', 'request_seconds_count', label, NULL, cast(count(latency) AS double) FROM ev GROUP BY label
+UNION ALL SELECT 'gauge', 'last_request_seconds', label, NULL, {R2('arg_max(latency, (ts, event_id))', 6)} FROM ev GROUP BY label"""
+
+
+@query("sink_metrics", oracle=_metrics_sql())
 def q_sink_metrics(spark, sf_dir):
-    """Counter roll-up written to a Parquet metrics table and read back."""
-    path = shared_dir(spark, "metrics", hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
-    T.metric_counter_totals(ev(spark, sf_dir)).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Counters, histograms and gauges of two batches of requests, one of them sent twice, merged when read."""
+    path = shared_dir(spark, "metrics", unique=True)
+    early = F.hour("ts") < 12
+    for batch, rows in (("early", early), ("late", ~early), ("early", early)):
+        part = ev(spark, sf_dir).where(rows)
+        write_metrics([
+            counter_samples(T.metric_counter_totals(part), "requests_total", ["label"]),
+            histogram_samples(T.metric_histograms(part), "request_seconds", ["label"]),
+            gauge_samples(T.metric_gauge_latest(part), "last_request_seconds", ["label"])], path, batch)
+    got = read_metrics(spark, path)
+    return got.select("kind", "name", F.get_json_object("labels", "$.label").alias("label"), "le", round_half_up("value", 6).alias("value"))
+
+
+_LEVELS = [0.5, 0.95, 0.99]
+
+
+@query("latency_sketches", oracle=f"""WITH {EV}, q AS (SELECT unnest([0.5e0, 0.95e0, 0.99e0]) AS level)
+SELECT label, level, count(latency) AS n, true AS within FROM ev, q GROUP BY label, level""")
+def q_latency_sketches(spark, sf_dir):
+    """Quantiles of each label from the streamed sketches of its 5-minute windows: how many values, and whether the
+    share of values up to each quantile is within the sketches' rank error of its level."""
+    windows = S.stream_rollup(spark, sf_dir, K.latency_sketches, "latency_sketches")
+    found = K.sketch_quantiles(windows, ["label"], _LEVELS)
+    flat = found.select("label", "n", F.posexplode("quantiles").alias("i", "value")).withColumn(
+        "level", F.element_at(F.array(*[F.lit(x) for x in _LEVELS]), F.col("i") + 1))
+    ranks = ev(spark, sf_dir).select("label", "latency").join(F.broadcast(flat), "label")  # labels x levels rows
+    held = ranks.groupBy("label", "level", "n").agg(
+        F.count_if(F.col("latency") <= F.col("value")).alias("upto"), F.count_if(F.col("latency") < F.col("value")).alias("below"))
+    rank, off = F.col("level") * F.col("n"), K.rank_error() * F.col("n") + 1
+    return held.select("label", "level", "n", ((F.col("below") <= rank + off) & (F.col("upto") >= rank - off)).alias("within"))
+
+
+@query("distinct_sketches", oracle=_catalog_sql("""SELECT 'product_id' AS "column", count(DISTINCT product_id) AS exact, true AS within FROM catalog
+UNION ALL SELECT 'review_id', count(DISTINCT review_id), true FROM catalog
+UNION ALL SELECT 'category', count(DISTINCT category), true FROM catalog"""))
+def q_distinct_sketches(spark, sf_dir):
+    """Distinct counts from sketches stored per load (one load sent twice), and whether each is within five
+    standard errors of the exact count."""
+    from shelfspark.sources.catalog import catalog_view
+    columns, path = ["product_id", "review_id", "category"], shared_dir(spark, "distinct_sketches", unique=True)
+    rows = catalog_view(spark, sf_dir)
+    first = F.coalesce(F.col("line_number") <= 2, F.lit(True))
+    for load, part in (("a", first), ("b", ~first), ("a", first)):
+        K.write_distinct_sketches(rows.where(part), columns, path, load)
+    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in columns]).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in columns])))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.lit(5 * K.distinct_error()) * F.col("exact") + 1
+    return exact.join(K.read_distinct_sketches(spark, path), "column").select("column", "exact", near.alias("within"))
 
 
 def _index_points(spark, sf_dir):
