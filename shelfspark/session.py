@@ -113,15 +113,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def complete_versions(spark: SparkSession, root: str) -> list[str]:
-    """Names of the version folders below ``root`` that were finished, oldest first (any scheme)."""
+def complete_versions(spark: SparkSession, root: str, unfinished: bool = False) -> list[str]:
+    """Names of the version folders below ``root`` that were finished, oldest first (any scheme); or of all."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(root)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    return sorted(n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_COMPLETE")))
+    return sorted(n for n in names if unfinished or fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_COMPLETE")))
 
 
 def mark_complete(spark: SparkSession, path: str) -> None:
