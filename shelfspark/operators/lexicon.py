@@ -85,11 +85,13 @@ def learned_scores(texts: DataFrame, lexicon: DataFrame, key: str, text_col: str
     negated; subjectivity: the mean of the weights' sizes.
     """
     weights = materialized(lexicon.select("term", "weight"), "lexicon")
-    if weights.count() <= BROADCAST_TERMS:
-        weights = F.broadcast(weights)  # counted just above
     used = scoped_tokens(texts, text_col, key, scope=scope)
     side = F.when(F.col("negated"), F.lit(-1)).otherwise(F.lit(1))
-    by_term = used.groupBy(key, "term").agg(F.sum(side).alias("net"), F.count(F.lit(1)).alias("uses"))
+    if weights.count() <= BROADCAST_TERMS:
+        weights = F.broadcast(weights)  # counted just above; words are dropped or added up where they are read
+        by_term = used.select(key, "term", side.alias("net"), F.lit(1).alias("uses"))
+    else:
+        by_term = used.groupBy(key, "term").agg(F.sum(side).alias("net"), F.count(F.lit(1)).alias("uses"))
     sums = by_term.join(weights, "term").groupBy(key).agg(
         F.sum(F.col("net") * F.col("weight")).alias("_s"), F.sum(F.col("uses") * F.abs("weight")).alias("_a"),
         F.sum("uses").alias("hits"))
