@@ -126,6 +126,36 @@ def test_semantic_search_matches_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_semantic_search_sends_a_query_once_per_block(spark, monkeypatch):
+    from shelfspark.operators import search as S
+    rng = np.random.default_rng(5)
+    vecs = rng.integers(-2, 3, size=(300, 8)).astype(float)  # many equal scores
+    vecs[7] = 0.0
+    vecs[100:160] = vecs[5]  # a cell larger than a block
+    rows = [(f"v{i}", [float(x) for x in v]) for i, v in enumerate(vecs)] + [("none", None)]
+    idx = spark.createDataFrame(rows, "id string, vector array<double>")
+    q = idx.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    seen = []
+    plain = S._candidate_blocks
+    monkeypatch.setattr(S, "_candidate_blocks", lambda *a: seen.append(a[3]) or plain(*a))
+    got = S.semantic_search(q, idx, top_k=7, score_threshold=0.0, chunk=32)
+    blocks = {b for r in seen[0] for b in r}
+    assert len(blocks) <= 300 / 32 * 2 + 2 and len(blocks) < sum(1 for r in seen[0] if len(r))  # cells share blocks
+    n = np.linalg.norm(vecs, axis=1, keepdims=True)
+    u = np.divide(vecs, n, out=np.zeros_like(vecs), where=n > 0)
+    s = np.round(u @ u.T, 9)
+    want = sorted((f"v{i}", rank, j) for i in range(300)
+                  for rank, (_, j) in enumerate(sorted((-s[i, j], f"v{j}") for j in range(300) if s[i, j] >= 0)[:7], start=1))
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got.collect()) == want
+
+
+def test_products_take_narrow_order_lines(spark, sf_small):
+    from shelfspark.plans.text_queries import products
+    plan = products(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    first = plan[plan.rindex("max_by"):]  # the aggregate next to the order lines
+    assert "p_name" not in first.split("\n")[0] and "l_discount" in first
+
+
 def test_catalog_view_prunes_and_pushes(spark, sf_small):
     df = catalog_view(spark, sf_small).where(F.col("order_key") < 100).select("product_id", "order_key")
     plan = df._jdf.queryExecution().executedPlan().toString()
