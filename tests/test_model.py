@@ -38,3 +38,32 @@ def test_split_is_deterministic(spark, sf_small):
     a = M.train_test_split(df).select("row_id", "split")
     b = M.train_test_split(df.repartition(7)).select("row_id", F.col("split").alias("s2"))
     assert a.join(b, "row_id").where(F.col("split") != F.col("s2")).count() == 0
+
+
+def test_training_reads_the_catalog_once(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(str(i), f"c{i % 3}", "s", "budget", float(i % 17), 1.0 + i % 4, i % 50, 0.5, 1.0, 9.0, 30.0, 0.1, float(i % 60))
+         for i in range(600)],
+        "row_id string, main_category string, sub_category string, price_tier string, actual_price double, rating double, "
+        "rating_count long, rating_count_log double, category_depth double, name_length double, description_length double, "
+        "review_sentiment double, discount_percentage double")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(M, "TRAIN_ROWS", 200)
+    model, _, metrics = M.fit_and_evaluate(rows.mapInArrow(counted, rows.schema), maxIter=2)
+    assert reads.value == 600 and model.getNumTrees >= 1 and metrics["n"] > 0
+
+
+def test_contributions_sort_without_a_comparator(spark):
+    from shelfspark.operators.explain import sort_contributions
+    rows = [("b", -0.5), ("a", 0.5), ("z", 2.0), ("c", 0.0), ("d", -3.0)]
+    df = spark.createDataFrame([(rows,)], "c array<struct<feature_name:string,shap_value:double>>")
+    out = df.select(sort_contributions(F.col("c")).alias("s"))
+    assert [(x["feature_name"], x["shap_value"]) for x in out.first()["s"]] == [
+        ("d", -3.0), ("z", 2.0), ("a", 0.5), ("b", -0.5), ("c", 0.0)]
+    assert "ELSE 0" not in out._jdf.queryExecution().optimizedPlan().toString()
