@@ -239,14 +239,18 @@ def _histograms(data: DataFrame, model: BoostedModel, done: int, tree: Tree, tar
         sums, error = np.zeros_like(rows), 0
         for batch in _pieces(batches):
             bins, y, held = _matrix(batch, width), batch["label"].to_numpy(), batch["held"].to_numpy(zero_copy_only=False)
-            residual = y - model.predict_bins(bins, batch["prediction"].to_numpy(), done)
+            so_far = batch["prediction"].to_numpy()
+
+            def residual(at: np.ndarray) -> np.ndarray:
+                return y[at] - model.predict_bins(bins[at], so_far[at], done)
+
             if with_error and held.any():
-                error += int(np.rint(np.minimum(residual[held] ** 2, scale.bound**2) * scale.error_unit).astype(np.int64).sum())
-            seen = ~held & drawn_rows(batch["key"].to_numpy(), p.seed, number, p.subsample)
+                error += int(np.rint(np.minimum(residual(held) ** 2, scale.bound**2) * scale.error_unit).astype(np.int64).sum())
+            seen = np.flatnonzero(~held & drawn_rows(batch["key"].to_numpy(), p.seed, number, p.subsample))
             at = slot[leaf_of(tree, bins[seen])]
-            hit = at >= 0
-            cell = ((at[hit, None] * width + np.arange(width)) * WIDTH + bins[seen][hit]).ravel()
-            g = np.rint(np.clip(residual[seen][hit], -scale.bound, scale.bound) * scale.unit)
+            seen, at = seen[at >= 0], at[at >= 0]  # only rows of the leaves asked for walk the trees so far
+            cell = ((at[:, None] * width + np.arange(width)) * WIDTH + bins[seen]).ravel()
+            g = np.rint(np.clip(residual(seen), -scale.bound, scale.bound) * scale.unit)
             rows += np.bincount(cell, minlength=len(rows))
             sums += np.bincount(cell, np.repeat(g, width), minlength=len(rows)).astype(np.int64)
         cells = np.flatnonzero(rows)
@@ -385,7 +389,8 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, key: str, va
         rows.write.mode("errorifexists").parquet(path)
         return spark.read.parquet(path)
 
-    data = written(_binned(df, features, edges, label, key, held), tables[0])
+    # dealt by key: every pass reads this table, so its tasks must not be as few as the files of the input
+    data = written(_binned(df, features, edges, label, key, held).repartition("key"), tables[0])
     stats = data.agg(F.count_if(~F.col("held")).alias("n"), F.count_if("held").alias("m"), F.min("label").alias("lo"),
                      F.max("label").alias("hi"), F.sum(F.when(~F.col("held"), F.col("label").cast("decimal(38,12)"))).alias("s")).first()
     model = BoostedModel(features, edges, float(stats["s"] / stats["n"]) if stats["n"] else 0.0, p)

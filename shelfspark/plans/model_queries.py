@@ -20,7 +20,7 @@ from shelfspark.operators.text import sentiment_scores
 from shelfspark.plans.registry import query
 from shelfspark.plans.sql import R2, with_ctes
 from shelfspark.plans.text_queries import _SENT_CTES
-from shelfspark.session import content_key, path_exists, shared_dir
+from shelfspark.session import content_key, materialized, path_exists, shared_dir
 from shelfspark.sources.catalog import catalog_view, product_texts
 from shelfspark.sources.tables import read_table
 
@@ -150,7 +150,9 @@ def q_train_regressor(spark, sf_dir):
 
 def get_boosted(spark, sf_dir):
     """The leaf-wise model and its prepared rows; fitted if the shared folder has none for these rows and this code."""
-    df = M.train_test_split(model_frame(spark, sf_dir))
+    df = M.train_test_split(model_frame(spark, sf_dir)).select(
+        "row_id", "split", M.TARGET, *CATEGORICAL_FEATURES, *NUMERIC_FEATURES)
+    df = materialized(df.repartition("row_id"), "split_rows")  # read by every step of the fit, the texts are not
     prep = M.fit_features(df.where("split = 'train'"))
     rows = M.transform_features(df, prep)
     used = rows.select("row_id", "split", M.TARGET, *prep.feature_names)

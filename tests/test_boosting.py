@@ -132,3 +132,23 @@ def test_odd_tables(spark):
     model = B.fit_boosted(same, ["a"], "y", "id", min_child=1)
     assert model.base == 3.0 and model.trees == []
     assert same.select(B.boosted_prediction(model).alias("p")).distinct().collect() == [(3.0,)]
+
+
+def test_fit_deals_rows_over_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"r{i}", float(a), float(b), float(a * 2 + (b > 0.3)), i % 7 == 0) for i, (a, b) in enumerate(rng.random((3000, 2)))]
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double, held boolean")
+    files, plain = [], B._histograms
+
+    def counted(data, *rest):
+        files.append(data.select(F.input_file_name()).distinct().count())
+        return plain(data, *rest)
+
+    monkeypatch.setattr(B, "_histograms", counted)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions stay apart
+    try:
+        one = B.fit_boosted(df.coalesce(1), ["a", "b"], "y", "k", "held", rounds=3, max_depth=3)
+        four = B.fit_boosted(df.repartition(4), ["a", "b"], "y", "k", "held", rounds=3, max_depth=3)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert min(files) > 1 and one.to_json() == four.to_json()
