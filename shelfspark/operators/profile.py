@@ -7,8 +7,8 @@ Shape rules used throughout:
   and unpivoted afterwards with ``inline`` on a one-row result.
 * Histograms are right-closed CASE bins; empty bins are kept by joining the
   per-bin counts (at most #bins rows) to the fixed bins table.
-* Exact quantiles (linear interpolation, like pandas) come from counted values
-  dealt into ranges (``operators.quantiles``); ``exact=False`` takes a sketch.
+* Exact quantiles (linear interpolation, like pandas) come from values dealt
+  into ranges (``operators.quantiles``); ``exact=False`` takes a sketch.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from shelfspark.constants import (
 from shelfspark.functions.bins import bins_frame, right_closed_bin
 from shelfspark.functions.numeric import round_half_up
 from shelfspark.operators.quantiles import exact_quantiles
+from shelfspark.session import materialized
 
 # Functions of this module run inside Python workers; shipped by value, executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -67,15 +68,19 @@ def numeric_stats(
     percentiles: Sequence[float] = (),
     digits: int | None = 2,
     exact: bool = True,
+    written: bool = False,
 ) -> DataFrame:
     """Long-format stats: one row per column, one column per statistic.
 
-    All columns are aggregated in one pass over ``df`` (nulls ignored); exact
-    quantiles (the median among them) come from one more pass over counted
-    values.  ``exact=False`` takes a sketch in the same pass instead.
+    All columns are aggregated in one pass over ``df`` (nulls ignored).  For exact
+    quantiles (the median among them) the columns are written once (unless ``df``
+    is a stored table, ``written``), so that ``df`` is computed once for all
+    passes.  ``exact=False`` takes a sketch in the same pass instead.
     """
     df = df.select(*[F.col(c) for c in columns])
     levels = sorted(set(percentiles) | ({0.5} if "median" in stats else set()))
+    if levels and exact and not written:
+        df = materialized(df, "profile_columns")
     aggs: list[Column] = []
     for i, col in enumerate(columns):
         aggs += [_stat(F.col(col), s).alias(f"_{i}_{s}") for s in stats if s != "median"]
@@ -91,7 +96,7 @@ def numeric_stats(
         for i, col in enumerate(columns)])
     out = df.agg(*aggs).select(F.inline(rows))
     if levels and exact:
-        out = out.join(F.broadcast(exact_quantiles(df, columns, levels)), "column", "left")  # one row per column
+        out = out.join(F.broadcast(exact_quantiles(df, columns, levels, written=True)), "column", "left")  # one row per column
     named = {s: F.col(s) for s in rest}
     if levels:
         named |= {f"p{int(round(q * 100))}": F.get("quantiles", F.lit(levels.index(q))) for q in percentiles}
@@ -409,9 +414,10 @@ def head_rows(df: DataFrame, n: int = 5, order_by: Sequence[str] = ("product_id"
     return df.orderBy(*order_by).limit(n)
 
 
-def dataset_summary(df: DataFrame) -> DataFrame:
+def dataset_summary(df: DataFrame, written: bool = False) -> DataFrame:
     """Catalog summary as (section, key, value) rows: counts, top-10 main
     categories, stats of the five numeric columns, missing counts.
+    ``written``: ``df`` is a stored table, read as it is for every section.
     """
     from shelfspark.constants import SUMMARY_NUMERIC_COLUMNS
 
@@ -427,7 +433,7 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     top = (value_counts(df, "main_category", 10)
            .select(F.lit("top_categories").alias("section"), F.col("main_category").alias("key"),
                    F.col("n").cast("double").alias("value")))
-    stats = numeric_stats(df, cols, digits=None)
+    stats = numeric_stats(df, cols, digits=None, written=written)
     stats = stats.select(F.lit("stats").alias("section"), F.inline(F.array(*[
         F.struct(F.concat(F.col("column"), F.lit("."), F.lit(s)).alias("key"),
                  round_half_up(F.col(s)).alias("value")) for s in STAT_NAMES])))

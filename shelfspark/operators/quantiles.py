@@ -1,13 +1,15 @@
 """Exact quantiles (linear interpolation between order statistics) without one task that holds a column.
 
-1. values are counted per (column, value), which combines on the map side, and
-   the counts are written once (one row per different value);
+1. the columns are written once, as they are;
 2. split points per column (a bounded sketch, collected: one number per column
-   and range) deal the counted values into ranges; they only balance the work,
-   and as fixed numbers they are the same wherever they are used;
+   and range) deal the values into ranges; they only balance the work, and as
+   fixed numbers they are the same wherever they are used;
 3. the ranges' totals (collected: one number per column and range) say which
    range holds a rank, and how many values stand before it;
-4. only those ranges are sorted, each in its own window, and read at the ranks.
+4. only those ranges' values are counted and shuffled, and sorted, each range in
+   its own window, and read at the ranks.
+
+``quantiles_of_counts`` takes the same steps from values that are counted already.
 
 The number of ranges follows ``spark.sql.shuffle.partitions``, so a range holds
 about one shuffle partition's share of the values, whatever the table's size.
@@ -18,47 +20,92 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.session import materialized
 
 
+def _splits(df: DataFrame, columns: Sequence[str], ranges: int) -> list[list[float]]:
+    """Up to ``ranges`` - 1 rising split points of each column (none for a column without values), from one pass."""
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    near = max(1000, 10 * ranges)  # ranks are off by a tenth of a range at most
+    found = df.agg(*[F.percentile_approx(F.col(c).cast("double"), steps, near).alias(f"_{i}") for i, c in enumerate(columns)])
+    return [sorted(set(x or [])) for x in found.first()]
+
+
+def _range_of(value: Column, splits: Sequence[float]) -> Column:
+    """How many of the rising ``splits`` lie below ``value``, by halving."""
+    at = F.array(*[F.lit(float(x)) for x in splits])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(splits).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(at, n + step - 1) < value, step).otherwise(0))
+
+
 def value_ranges(counts: DataFrame, key: str, value: str) -> DataFrame:
     """``counts`` with ``part``: the range of ``value`` among its key's, by split points that are fixed numbers."""
     spark = counts.sparkSession
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    found = counts.groupBy(key).agg(F.percentile_approx(value, steps, 10_000).alias("splits")).collect()
-    splits = spark.createDataFrame([(r[0], sorted(set(r[1]))) for r in found], f"`{key}` string, _splits array<double>")
-    return counts.join(F.broadcast(splits), key).withColumn(  # one row per key
-        "part", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
+    found = counts.groupBy(key).agg(F.percentile_approx(value, steps, max(1000, 10 * ranges)).alias("splits")).collect()
+    part = F.lit(None).cast("int")
+    for r in found:  # one row per key; a null key is none
+        if r[0] is not None and r[1] is not None:
+            part = F.when(F.col(key) == r[0], _range_of(F.col(value), sorted(set(r[1])))).otherwise(part)
+    return counts.where(F.col(key).isNotNull()).withColumn("part", part)
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float], written: bool = False) -> DataFrame:
     """(column, quantiles): the value at rank q·(n−1) for every level, interpolated; nulls are ignored.
 
-    A column without values has no row.
+    A column without values has no row.  ``written`` says that ``df`` is a stored
+    table, which is read several times as it is.
     """
-    values = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])))
-    counts = materialized(
-        values.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "value_counts")
-    return quantiles_of_counts(counts, levels)
+    columns = list(dict.fromkeys(columns))
+    spark = df.sparkSession
+    if not written:
+        df = materialized(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "quantile_columns")
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    splits = _splits(df, columns, ranges) if columns else []
+    held = [(c, s) for c, s in zip(columns, splits) if s]
+    empty = spark.createDataFrame([], "`column` string, part int, value double, n long")
+    value = lambda c: F.col(c).cast("double")
+    totals, needed = {}, empty
+    if held:
+        counted = [df.where(F.col(c).isNotNull()).select(F.lit(i).alias("i"), _range_of(value(c), s).alias("part"))
+                   for i, (c, s) in enumerate(held)]
+        sums = reduce(DataFrame.union, counted).groupBy("i", "part").agg(F.count(F.lit(1)).alias("m"))
+        for r in sums.orderBy("i", "part").collect():
+            totals.setdefault(held[r["i"]][0], []).append((r["part"], r["m"]))
+    wanted, weights = _ranks(totals, levels)
+    parts = {c: sorted({p for x, p, *_ in wanted if x == c}) for c, _ in held}
+    for c, s in held:
+        part = F.lit(None).cast("int")
+        for p in parts[c]:  # s[p - 1] < value <= s[p]
+            inside = (F.lit(True) if p == 0 else value(c) > s[p - 1]) & (F.lit(True) if p == len(s) else value(c) <= s[p])
+            part = F.when(inside, F.lit(p)).otherwise(part)
+        of_c = df.where(F.col(c).isNotNull()).select(F.lit(c).alias("column"), part.alias("part"), value(c).alias("value"))
+        needed = needed.union(of_c.where("part IS NOT NULL").groupBy("column", "part", "value").agg(F.count(F.lit(1)).alias("n")))
+    return _read_at(needed, wanted, weights)
 
 
 def quantiles_of_counts(counts: DataFrame, levels: Sequence[float]) -> DataFrame:
     """The same from a written table (column, value, n) that holds each value of a column once."""
-    levels = list(levels)
-    if any(not 0.0 <= q <= 1.0 for q in levels):
-        raise ValueError("levels must lie in [0, 1]")
-    spark = counts.sparkSession
     dealt = value_ranges(counts, "column", "value")
     totals: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for r in dealt.groupBy("column", "part").agg(F.sum("n").alias("m")).orderBy("column", "part").collect():
         totals[r["column"]].append((r["part"], r["m"]))
-    wanted, weights = [], []  # (column, part, rank in the part, level, upper)
+    wanted, weights = _ranks(totals, levels)
+    ranks = counts.sparkSession.createDataFrame([w[:2] for w in wanted], "`column` string, part int").distinct()
+    return _read_at(dealt.join(F.broadcast(ranks), ["column", "part"], "left_semi"), wanted, weights)
+
+
+def _ranks(totals: dict[str, list[tuple[int, int]]], levels: Sequence[float]) -> tuple[list[tuple], list[tuple]]:
+    """(column, part, rank in the part, level, upper) of the order statistics asked for, and (column, level, weight of the upper)."""
+    if any(not 0.0 <= q <= 1.0 for q in levels):
+        raise ValueError("levels must lie in [0, 1]")
+    wanted, weights = [], []
     for c, parts in totals.items():
         n = sum(m for _, m in parts)
         for i, q in enumerate(levels):
@@ -70,10 +117,15 @@ def quantiles_of_counts(counts: DataFrame, levels: Sequence[float]) -> DataFrame
                         wanted.append((c, part, at, i, upper))
                         break
                     at -= m
+    return wanted, weights
+
+
+def _read_at(needed: DataFrame, wanted: list[tuple], weights: list[tuple]) -> DataFrame:
+    """(column, quantiles) from the counted values of the parts that hold a rank."""
+    spark = needed.sparkSession
     ranks = spark.createDataFrame(wanted, "`column` string, part int, at long, level int, upper int")
     weights = spark.createDataFrame(weights, "`column` string, level int, w double")
     running = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    needed = dealt.join(F.broadcast(ranks.select("column", "part").distinct()), ["column", "part"], "left_semi")
     placed = needed.withColumn("upto", F.sum("n").over(running))
     read = placed.join(F.broadcast(ranks), ["column", "part"]).where(  # columns x levels rows
         (F.col("upto") - F.col("n") <= F.col("at")) & (F.col("at") < F.col("upto")))
