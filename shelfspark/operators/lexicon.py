@@ -17,7 +17,9 @@ Texts without a rating at either end teach nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import is_number_token, tokens
@@ -45,11 +47,10 @@ def scoped_tokens(df: DataFrame, text_col: str, *keep: str, scope: int = SCOPE)
     if scope < 1:
         raise ValueError("scope must be at least 1")
     words = tokens(F.col(text_col))
-    not_ = F.array(*[F.lit(x) for x in NEGATIONS])
 
     def place(t, i):
-        before = F.slice("_t", F.greatest(F.lit(1), i - (scope - 1)), F.least(i, F.lit(scope)))
-        return F.struct(t.alias("term"), F.arrays_overlap(before, not_).alias("negated"))
+        before = [F.coalesce(F.get("_t", i - k).isin(NEGATIONS), F.lit(False)) for k in range(1, scope + 1)]  # null before the first
+        return F.struct(t.alias("term"), reduce(Column.__or__, before).alias("negated"))
 
     placed = df.select(*keep, words.alias("_t")).select(*keep, F.inline(F.transform("_t", place)))
     return placed.where(~F.col("term").isin(NEGATIONS) & ~is_number_token(F.col("term")))
@@ -85,12 +86,13 @@ def learned_scores(texts: DataFrame, lexicon: DataFrame, key: str, text_col: str
     negated; subjectivity: the mean of the weights' sizes.
     """
     weights = materialized(lexicon.select("term", "weight"), "lexicon")
-    if weights.count() <= BROADCAST_TERMS:
-        weights = F.broadcast(weights)  # counted just above
     used = scoped_tokens(texts, text_col, key, scope=scope)
-    side = F.when(F.col("negated"), F.lit(-1)).otherwise(F.lit(1))
-    by_term = used.groupBy(key, "term").agg(F.sum(side).alias("net"), F.count(F.lit(1)).alias("uses"))
-    sums = by_term.join(weights, "term").groupBy(key).agg(
+    side = F.when(F.col("negated"), F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
+    if weights.count() <= BROADCAST_TERMS:  # words meet their weights where they are cut: a row per text is exchanged
+        met = used.select(key, "term", side.alias("net"), F.lit(1).cast("bigint").alias("uses")).join(F.broadcast(weights), "term")
+    else:
+        met = used.groupBy(key, "term").agg(F.sum(side).alias("net"), F.count(F.lit(1)).alias("uses")).join(weights, "term")
+    sums = met.groupBy(key).agg(
         F.sum(F.col("net") * F.col("weight")).alias("_s"), F.sum(F.col("uses") * F.abs("weight")).alias("_a"),
         F.sum("uses").alias("hits"))
     empty = F.col(text_col).isNull() | (F.col(text_col) == "")
