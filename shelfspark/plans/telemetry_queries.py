@@ -14,7 +14,7 @@ from shelfspark.operators import telemetry as T
 from shelfspark.plans.registry import query
 from shelfspark.plans.sql import R2
 from shelfspark.plans.sql import with_enriched as _catalog_sql
-from shelfspark.session import shared_dir
+from shelfspark.session import materialized, shared_dir
 from shelfspark.sinks.index import index_info, read_index, upsert_index
 from shelfspark.sinks.logs import read_json_logs, write_json_logs
 from shelfspark.sinks.metrics import counter_samples, gauge_samples, histogram_samples, read_metrics, write_metrics
@@ -380,7 +380,8 @@ def _index_sql(body: str) -> str:
 def q_sink_vector_index(spark, sf_dir):
     """A first load, then an upsert that sends products twice, the later row changed: the last write stays, with its vector."""
     root = shared_dir(spark, "vector_index", "points", unique=True)
-    pts = _index_points(spark, sf_dir).withColumn("rating", F.coalesce("rating", F.lit(0.0)))
+    points = materialized(_index_points(spark, sf_dir), "index_points")  # read by both loads: texts are embedded once
+    pts = points.withColumn("rating", F.coalesce("rating", F.lit(0.0)))
     upsert_index(spark, root, pts.withColumn("write", F.lit(0)), "write", recreate=True)
     even = pts.where(F.col("id").cast("bigint") % 2 == 0)
     stale = even.withColumns({"rating": F.lit(-9.0), "write": F.lit(1)})

@@ -22,7 +22,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructType
 
@@ -91,12 +91,22 @@ def read_index(spark: SparkSession, root: str) -> DataFrame | None:
     return _newest(spark, root, v, v.parts).drop("_seq") if v.number else None
 
 
-def _write(spark: SparkSession, root: str, rows: DataFrame, v: _Version, sort: str | None) -> list[tuple[str, int, int]]:
-    """Store ``rows`` (with ``_seq`` and ``_deleted``) in their buckets as one write; its parts."""
+def _bucket(v: _Version) -> Column:
+    return F.pmod(F.xxhash64(v.key), F.lit(v.buckets)).cast("int")
+
+
+def _write(spark: SparkSession, root: str, rows: DataFrame, v: _Version, sort: str | None,
+           placed: bool = False) -> list[tuple[str, int, int]]:
+    """Store ``rows`` (with ``_seq`` and ``_deleted``) in their buckets as one write; its parts.
+
+    ``placed``: ``rows`` lie by bucket already (column ``bucket``) and are not exchanged again.
+    """
     write = uuid.uuid4().hex[:12]
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(v.key), F.lit(v.buckets)).cast("int"))
     order = ["bucket", *([sort] if sort in rows.columns else [])]
-    dealt = dealt.hint("rebalance", F.col("bucket")).sortWithinPartitions(*order)  # by size: a large bucket is many files
+    dealt = rows
+    if not placed:  # by size: a large bucket is many files
+        dealt = rows.withColumn("bucket", _bucket(v)).hint("rebalance", F.col("bucket"))
+    dealt = dealt.sortWithinPartitions(*order)
     dealt.write.partitionBy("bucket").parquet(f"{root}/data/{write}")
     if not _has_buckets(spark, f"{root}/data/{write}"):
         return []
@@ -131,11 +141,17 @@ def upsert_index(spark: SparkSession, root: str, points: DataFrame, order_col: s
     cols = [c for c in points.columns if c != order_col]
     if recreate or not v.number:
         v.parts, v.key, v.buckets, v.schema = [], key, buckets, StructType()
-    last = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col))
-    points = points.where(F.col(v.key).isNotNull()).groupBy(v.key).agg(last.alias("_r")).select("_r.*")
-    v.schema = _merged_schema(v.schema, points.schema)
+    v.schema = _merged_schema(v.schema, points.select(*cols).schema)
     number = v.next
-    fresh = _write(spark, root, points.withColumns({"_seq": F.lit(number).cast("long"), "_deleted": F.lit(False)}), v, partition_col)
+    # the rows move once: a bucket is dealt into shares by another part of the key's hash, the last row per key is
+    # taken in each share, and the shares are written where they lie
+    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // v.buckets)
+    share = F.pmod(F.shiftright(F.xxhash64(v.key), 32), F.lit(shares)).cast("int")
+    dealt = points.where(F.col(v.key).isNotNull()).withColumns({"_bucket": _bucket(v), "_share": share}).repartition("_bucket", "_share")
+    last = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col))
+    points = dealt.groupBy("_bucket", "_share", v.key).agg(last.alias("_r")).select("_r.*", F.col("_bucket").alias("bucket"))
+    fresh = _write(spark, root, points.withColumns({"_seq": F.lit(number).cast("long"), "_deleted": F.lit(False)}), v,
+                   partition_col, placed=True)
     path = _publish(spark, root, number, v, v.parts + fresh)
     return compact_index(spark, root, most, partition_col) or path
 
