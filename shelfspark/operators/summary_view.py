@@ -84,7 +84,10 @@ def refresh_summary(spark: SparkSession, source: str, root: str, force_refresh:
     before = spark.read.schema(_FILES).parquet(f"{last}/files") if last else spark.createDataFrame([], _FILES)
     listing = materialized(_listing(spark, source), "summary_files")
     known = before.limit(0) if force_refresh else before
-    fresh = [r["file"] for r in listing.join(known, ["file", "key"], "left_anti").select("file").collect()]
+    unread = listing.join(known, ["file", "key"], "left_anti").select("file", "code").collect()
+    fresh = [r["file"] for r in unread]
+    if len({r["code"] for r in unread}) < len(fresh):
+        raise ValueError("two files have one code; rename one")
     kept = listing.join(known, ["file", "key"]).select("file", "key", "load")
     n_kept, n_before = kept.count(), before.count()
     dropped = n_before - before.join(listing, ["file", "key"], "left_semi").count()
@@ -96,9 +99,10 @@ def refresh_summary(spark: SparkSession, source: str, root: str, force_refresh:
         rows = spark.read.option("recursiveFileLookup", "true").parquet(source)
         if n_kept:
             rows = rows.where(F.col("_metadata.file_path").isin(fresh))  # prunes whole files
-        rows = rows.select("*", _key().alias("_key"))
-        _write_states(prepare(rows) if prepare else rows, f"{root}/states/{load}")
-    files = kept.unionByName(listing.join(known, ["file", "key"], "left_anti").withColumn("load", F.lit(load)))
+        rows = rows.select("*", _code().alias("_key"))
+        read = listing.join(known, ["file", "key"], "left_anti")
+        _write_states(prepare(rows) if prepare else rows, f"{root}/states/{load}", read.select(F.col("code").alias("_key"), "key"))
+    files = kept.unionByName(listing.join(known, ["file", "key"], "left_anti").select("file", "key", F.lit(load).alias("load")))
     loads = [r["load"] for r in files.select("load").distinct().collect()]
     states = {name: _live(spark, root, name, loads, files) for name in _SCHEMAS}
     if len(loads) > most_loads:
@@ -138,11 +142,16 @@ def _key():
                        F.unix_micros("_metadata.file_modification_time").cast("string"))
 
 
+def _code():
+    """A number for a file's key: rows and states of one load go by it instead of the long key."""
+    return F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+
+
 def _listing(spark: SparkSession, source: str) -> DataFrame:
-    """(file, key) of the Parquet files below ``source``; their content is not read."""
+    """(file, key, code) of the Parquet files below ``source``; their content is not read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.parquet").load(source))
-    return files.select(F.col("_metadata.file_path").alias("file"), _key().alias("key"))
+    return files.select(F.col("_metadata.file_path").alias("file"), _key().alias("key"), _code().alias("code"))
 
 
 def _live(spark: SparkSession, root: str, name: str, loads: list[str], files: DataFrame) -> DataFrame:
@@ -153,24 +162,32 @@ def _live(spark: SparkSession, root: str, name: str, loads: list[str], files: Da
     return spark.read.schema(_SCHEMAS[name]).parquet(*paths).join(files.select("key"), "key", "left_semi")
 
 
-def _write_states(rows: DataFrame, path: str) -> None:
-    keyed = rows.select(F.col("_key").alias("key"), *COLUMNS)
+def _write_states(rows: DataFrame, path: str, files: DataFrame) -> None:
+    """The states of ``rows`` under their files' keys; ``files`` has (_key, key), a row per file of the load."""
+    keyed = rows.select("_key", *COLUMNS)
+
+    def write(state: DataFrame, name: str) -> None:
+        named = state.join(F.broadcast(files), "_key")
+        named.select(*[F.col(c) for c in spark.createDataFrame([], _SCHEMAS[name]).columns]).write.parquet(f"{path}/{name}")
+
+    spark = rows.sparkSession
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in MEASURES:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}_n"), F.count_if(x.isNull() | F.isnan(x)).alias(f"{c}_missing"),
                  F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"), F.sum(x).alias(f"{c}_sum")]
-    keyed.groupBy("key", *GROUPS).agg(*aggs).write.parquet(f"{path}/cells")
-    numbers = keyed.select(*[F.col(c).cast("double").alias(c) for c in CORRELATION_COLUMNS], "key")
-    numbers.mapInArrow(_file_moments(len(CORRELATION_COLUMNS)), _SCHEMAS["moments"]).write.parquet(f"{path}/moments")
-    values = keyed.select("key", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in SUMMARY_NUMERIC_COLUMNS])))
-    (values.where(F.col("value").isNotNull()).groupBy("key", "column", "value").agg(F.count(F.lit(1)).alias("n"))
-     .write.parquet(f"{path}/values"))
+    write(keyed.groupBy("_key", *GROUPS).agg(*aggs), "cells")
+    numbers = keyed.select(*[F.col(c).cast("double").alias(c) for c in CORRELATION_COLUMNS], "_key")
+    write(numbers.mapInArrow(_file_moments(len(CORRELATION_COLUMNS)), f"_key long, {_MOMENTS}"), "moments")
+    values = keyed.select("_key", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("value")) for i, c in enumerate(SUMMARY_NUMERIC_COLUMNS)])))
+    counts = values.where(F.col("value").isNotNull()).groupBy("_key", "i", "value").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(c) for c in SUMMARY_NUMERIC_COLUMNS])
+    write(counts.withColumn("column", F.get(names, F.col("i"))), "values")
 
 
 def _file_moments(k: int):
-    """``_co_moments`` of each run of rows of one file; the file's key is the column after the ``k`` numbers."""
+    """``_co_moments`` of each run of rows of one file; the file's code is the column after the ``k`` numbers."""
     of_run = _co_moments(k)
 
     def runs(batches):
@@ -186,8 +203,8 @@ def _file_moments(k: int):
     def run(batches):
         for key, group in groupby(runs(batches), key=lambda x: x[0]):
             for out in of_run(b for _, b in group):
-                yield pa.RecordBatch.from_arrays([pa.array([key] * out.num_rows, pa.string()), *out.columns],
-                                                 names=["key", *out.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * out.num_rows, pa.int64()), *out.columns],
+                                                 names=["_key", *out.schema.names])
 
     return run
 

@@ -109,3 +109,12 @@ def test_a_failed_refresh_leaves_the_last_version(spark, catalog, tmp_path):
     two = refresh_summary(spark, src, view)
     assert two.version > one.version and (two.read, two.dropped) == (2, 0)
     same(rows_of(two.summary), rows_of(full_summary(spark.read.parquet(f"{src}/a", f"{src}/b"))))
+
+
+def test_states_of_a_load_go_by_numbers(spark, tmp_path):
+    """A file's long key is joined after its rows are added up."""
+    from shelfspark.operators.summary_view import _listing
+
+    spark.range(3).repartition(3).write.parquet(str(tmp_path / "files"))
+    rows = _listing(spark, str(tmp_path / "files")).collect()
+    assert len({r["code"] for r in rows}) == len({r["key"] for r in rows}) == len(rows)
