@@ -434,11 +434,13 @@ def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_words_digest(t.as_py()) for t in b.column(b.schema.get_field_index("_text"))]
+            found = [_words_digest(t.as_py()) for t in b.column(b.schema.get_field_index(whole))]
             text = [":".join(map(str, np.frombuffer(d, "<i8").tolist())) if d else None for d in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, "_words"])
 
-    held = docs.withColumn("_text", F.col("text").cast("string"))
+    # texts that are strings go to the worker once, not beside a copy
+    whole = "text" if isinstance(docs.schema["text"].dataType, T.StringType) else "_text"
+    held = docs if whole == "text" else docs.withColumn(whole, F.col("text").cast("string"))
     keyed = held.mapInArrow(digest, T.StructType([*held.schema.fields, T.StructField("_words", T.StringType())]))
     rest = [c for c in docs.columns if c != "text"]
     kept = keyed.join(chosen, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_words") == F.col("_chosen")))
