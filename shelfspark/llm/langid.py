@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfspark.llm.common import bounded_batches, lean
+
 UND = "und"
 HASH_BITS = 13
 _SLICE = 1 << 18
@@ -200,6 +202,8 @@ def identify_languages(
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                            T.StructField("ambiguous", T.BooleanType())])
 
+    bounded_batches(docs.sparkSession)
+
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
@@ -220,8 +224,8 @@ def identify_languages(
 
     if text_column in names and isinstance(docs.schema[text_column].dataType, T.StringType):
         read = text_column  # carried anyway: sent once
-        return docs.select(*names).mapInArrow(identify, schema)
-    return docs.withColumn(read, F.col(text_column).cast("string")).select(*names, read).mapInArrow(identify, schema)
+        return docs.select(*names).mapInArrow(lean(identify), schema)
+    return docs.withColumn(read, F.col(text_column).cast("string")).select(*names, read).mapInArrow(lean(identify), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import stored
+from shelfspark.llm.common import bounded_batches, free_worker, lean, stored
 from shelfspark.llm.components import connected_components
 from shelfspark.llm.rolling import Substrings, byte_values, mix
 
@@ -195,7 +195,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, shingle_words: int) -> Da
                 lo = hi
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        sign, "doc_id long, h1 long, h2 long, bands array<long>")
+        lean(sign), "doc_id long, h1 long, h2 long, bands array<long>")
 
 
 def _near(pairs: DataFrame, texts: DataFrame, threshold: float, shingle_words: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _near(pairs: DataFrame, texts: DataFrame, threshold: float, shingle_words: i
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(kept))
 
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
-            .mapInArrow(verify, "a long, b long"))
+            .mapInArrow(lean(verify), "a long, b long"))
 
 
 def _link_buckets(
@@ -280,6 +280,7 @@ def _links_between_blocks(
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(t: pa.Table) -> pa.Table:
+        free_worker()
         ids, labels, blocks = (t[c].to_numpy() for c in ("id", "label", "block"))
         found = []
         if len(np.unique(labels)) > 1:
@@ -371,7 +372,7 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = [_words_digest(t.as_py()) == w.tobytes() for t, w in zip(b.column(1), want)]
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1)], names=["id", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(same, "id long, text string").groupBy("id").agg(F.min("text").alias("text"))
+    return joined.mapInArrow(lean(same), "id long, text string").groupBy("id").agg(F.min("text").alias("text"))
 
 
 def duplicate_classes(
@@ -388,6 +389,7 @@ def duplicate_classes(
     words).  ``n_links`` counts the verified links to other texts that were found
     for the row's text (copies share one text).
     """
+    bounded_batches(docs.sparkSession)
     signed = stored(signatures(docs, bands, rows, shingle_words), "signatures")
     known = signed.where(F.col("doc_id").isNotNull() & F.col("h1").isNotNull())
     copies = (known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"))
@@ -441,7 +443,7 @@ def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     # texts that are strings go to the worker once, not beside a copy
     whole = "text" if isinstance(docs.schema["text"].dataType, T.StringType) else "_text"
     held = docs if whole == "text" else docs.withColumn(whole, F.col("text").cast("string"))
-    keyed = held.mapInArrow(digest, T.StructType([*held.schema.fields, T.StructField("_words", T.StringType())]))
+    keyed = held.mapInArrow(lean(digest), T.StructType([*held.schema.fields, T.StructField("_words", T.StringType())]))
     rest = [c for c in docs.columns if c != "text"]
     kept = keyed.join(chosen, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_words") == F.col("_chosen")))
     one = (kept.groupBy("class_key").agg(F.min(F.struct("text", *rest)).alias("r"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import stored
+from shelfspark.llm.common import bounded_batches, free_worker, lean, stored
 from shelfspark.llm.rolling import Substrings, byte_values, mix
 
 _PLACE = np.uint64((1 << 20) - 1)
@@ -45,6 +45,8 @@ _CHUNK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SAMPLE_BLOCKS, _SAMPLE_EACH = 64, 256
 _FIRST_ID = -(1 << 63)
+#: A task deals about so many bytes of rows to blocks at a time.
+_DEALT_BYTES = 16 << 20
 
 
 # ---------------------------------------------------------------- blocks
@@ -59,26 +61,38 @@ def pack_blocks(docs: DataFrame, blocks: int) -> DataFrame:
             writer.write_table(table)
         return sink.getvalue().to_pybytes()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size = [], 0
         for batch in batches:
-            block = batch.column(0).to_numpy()
-            rest = batch.select(batch.schema.names[1:])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= _DEALT_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dealt in gather(batches):
+            block = dealt.column(0).to_numpy()
+            rest = dealt.select(dealt.schema.names[1:])
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order])) + 1
             for rows in np.split(order, cuts) if len(order) else []:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block[rows[0]]], pa.int32()),
-                     pa.array([write(pa.Table.from_batches([rest.take(pa.array(rows))]))], pa.binary())],
+                     pa.array([write(rest.take(pa.array(rows)))], pa.binary())],
                     names=["block", "data"])
 
     def join(parts: pa.Table) -> pa.Table:
+        free_worker()
         table = pa.concat_tables(read_block(x) for x in parts["data"])
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
         return pa.table({"block": pa.array([parts["block"][0].as_py()], pa.int32()), "data": pa.array([write(table)], pa.binary())})
 
     spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
     schema = "block int, data binary"
-    return docs.select(spread, "*").mapInArrow(pack, schema).groupBy("block").applyInArrow(join, schema)
+    return docs.select(spread, "*").mapInArrow(lean(pack), schema).groupBy("block").applyInArrow(join, schema)
 
 
 def read_block(data: pa.Scalar | bytes) -> pa.Table:
@@ -199,6 +213,7 @@ def find_repeated(blocks: DataFrame, buckets: int, window: int, gram: int) -> Da
                     names=["bucket", "block", "data"])
 
     def repeated(t: pa.Table) -> pa.Table:
+        free_worker()
         bucket = t["bucket"][0].as_py()
         if bucket < 0:
             return pa.table({"block": pa.array([-1], pa.int32()), "bucket": pa.array([-1], pa.int32()),
@@ -219,7 +234,7 @@ def find_repeated(blocks: DataFrame, buckets: int, window: int, gram: int) -> Da
                          "data": pa.array([x.tobytes() for x in np.split(flags, ends[:-1])], pa.binary())})
 
     schema = "bucket int, block int, data binary"
-    return blocks.mapInArrow(hashes, schema).groupBy("bucket").applyInArrow(repeated, "block int, bucket int, data binary")
+    return blocks.mapInArrow(lean(hashes), schema).groupBy("bucket").applyInArrow(repeated, "block int, bucket int, data binary")
 
 
 # ---------------------------------------------------------------- sorted runs
@@ -366,6 +381,7 @@ def sort_and_judge(
     """(kind, dest, block, data): repeats within a block (0), front-coded runs by range (1), windows by bucket (2)."""
 
     def judge(packed: pa.Table, flagged: pa.Table) -> pa.Table:
+        free_worker()
         rows: list[tuple] = []
         if len(packed) and len(flagged):
             flags = dict(zip(flagged["bucket"].to_pylist(), flagged["data"].to_pylist()))
@@ -456,6 +472,7 @@ def merge_and_compare(judged: DataFrame, window: int) -> DataFrame:
     """(block, data): spans that repeat something earlier, in the same block or another."""
 
     def compare(t: pa.Table) -> pa.Table:
+        free_worker()
         coded = t["data"].to_pylist()
         if t["kind"][0].as_py() == 0:
             return t.select(["block", "data"])
@@ -507,6 +524,7 @@ def remove_spans(blocks: DataFrame, spans: DataFrame, fields: list[T.StructField
             T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def remove(packed: pa.Table, found: pa.Table) -> pa.Table:
+        free_worker()
         table = read_block(packed["data"][0])
         data, offsets, _ = block_texts(table)
         change = np.zeros(len(data) + 1, dtype=np.int32)
@@ -541,6 +559,7 @@ def remove_repeats(
     """Every column but ``text``, plus n_bytes, kept (bytes) and removed (spans) of every document."""
     names = [c for c in docs.columns if c not in ("n_bytes", "kept", "removed")]
     docs = docs.select(*names).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    bounded_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(1, -(-total // block_bytes)), max(1, -(-total // range_bytes))
     packed = stored(pack_blocks(docs, blocks), "blocks", blobs=True)

@@ -9,11 +9,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfspark.llm import html_content, langid, packing, prob_minhash, suffix_dedup
+from shelfspark.llm import common, html_content, langid, packing, prob_minhash, suffix_dedup, tokens
 from shelfspark.llm.components import connected_components
 from shelfspark.llm.queries import QUERIES
 from tests.llm.conftest import ODD_TEXTS
@@ -448,6 +449,43 @@ def test_op7_query(spark, sf_dir):
 # ---------------------------------------------------------------- pipeline
 
 
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a word "), 1500).alias("text"))
+    few = docs.limit(3)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    for stage in (suffix_dedup.remove_repeats, prob_minhash.one_of_each_class, packing.best_fit_pack):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        if stage is packing.best_fit_pack:
+            stage(spark.createDataFrame([(1,)], "length int")).count()
+        else:
+            stage(few).count()
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+        sizes = [r.n for r in sizes.collect()]
+        assert sum(sizes) > 20e6 and max(sizes) < 6e6
+
+
+def test_a_step_drops_what_other_steps_left_in_its_worker(tokenizer_path):
+    spec = tokens.read_tokenizer(tokenizer_path)
+    first = tokens.worker_encoder(spec)
+    assert tokens.worker_encoder(spec) is first
+    step = common.lean(lambda batches: (len(common.worker_cache()) for _ in batches))
+    held = [k for k in common.worker_cache() if not isinstance(k, tuple)]
+    assert list(step(iter("ab"))) == [len(held)] * 2
+    assert tokens.worker_encoder(spec) is not first
+
+
+def test_blocks_get_the_rows_of_all_batches(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_DEALT_BYTES", 2000)
+    docs = spark.range(0, 300, 1, 2).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20).alias("text"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        blocks = suffix_dedup.pack_blocks(docs, 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(i for b in blocks for i in suffix_dedup.read_block(b.data)["doc_id"].to_pylist()) == [*range(300)]
+    assert len(blocks) == 4
+
+
 def test_pipeline_equals_brute_force(spark, sf_dir, tokenizer):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     docs = {i: t for i, t in docs.items() if any(c.isalpha() for c in t or "")}
