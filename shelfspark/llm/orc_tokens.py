@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import int_lists, shuffle_partitions, string_values
+from shelfspark.llm.common import shuffle_partitions, slices_by_bytes
 from shelfspark.llm.tokens import read_tokenizer, worker_encoder
 
 ORC_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
-_FLUSH_BYTES = 4 << 20
+_SLICE_BYTES = 4 << 20
 
 
 def write_token_orc(
@@ -46,22 +46,15 @@ def write_token_orc(
         .repartitionByRange(partitions or shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     )
-    end = int(end_id).to_bytes(4, "little")
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(spec.value)
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids: list[bytes] = []
-            lo = held = 0
-            for i, text in enumerate(string_values(batch.column(1))):
-                ids.append(encoder.encode(text) + end)
-                held += len(ids[-1])
-                if held >= _FLUSH_BYTES or i + 1 == batch.num_rows:
-                    out = _encoded(batch.column(0).slice(lo, len(ids)), part, start, ids)
-                    start += held >> 2
-                    yield out
-                    ids, lo, held = [], i + 1, 0
+            for lo, n in slices_by_bytes(batch.column(1), _SLICE_BYTES):
+                ids, sizes = encoder.encode_column(batch.column(1).slice(lo, n))
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                yield _encoded(batch.column(0).slice(lo, n), part, start, ids, sizes + 1)
+                start += len(ids)
 
     (ordered.mapInArrow(encode, ORC_SCHEMA).write.mode("errorifexists")
      .option("compression", "zstd")
@@ -73,12 +66,12 @@ def write_token_orc(
      .orc(path))
 
 
-def _encoded(doc_ids: pa.Array, part: int, start: int, ids: list[bytes]) -> pa.RecordBatch:
-    sizes = np.array([len(x) >> 2 for x in ids], dtype=np.int64)
-    starts = start + np.cumsum(sizes) - sizes
+def _encoded(doc_ids: pa.Array, part: int, start: int, ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    ends = np.cumsum(sizes)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view(np.int32)))
     return pa.RecordBatch.from_arrays(
-        [doc_ids, pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(starts),
-         pa.array(sizes.astype(np.int32)), int_lists(ids)],
+        [doc_ids, pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(start + ends - sizes),
+         pa.array(sizes.astype(np.int32)), lists],
         names=["doc_id", "part", "start_in_part", "n_tokens", "ids"],
     )
 

@@ -1,10 +1,12 @@
 """Token ids: ORC files, packing, and the encoder against the tokenizers library."""
 
+import json
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 
@@ -38,6 +40,38 @@ def test_encoders_equal_the_library(tokenizer, tokenizer_path):
         assert own.decode(want) == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_a_column_of_texts_equals_the_library(tokenizer, tokenizer_path):
+    encoder, texts = TextEncoder(read_tokenizer(tokenizer_path)), [None, "x", *random_texts(1500), None, "a\x01b \x00 c\x00", "y" * 1001]
+    assert encoder._joined is not None
+    joined = encoder._joined
+    for encoder._joined in (joined, None):
+        ids, sizes = encoder.encode_column(pa.array(texts, pa.string()).slice(1))
+        assert sizes.tolist() == [len(ids_of(tokenizer, t)) for t in texts[1:]]
+        assert ids.tolist() == [i for t in texts[1:] for i in ids_of(tokenizer, t)]
+        assert [x.tolist() for x in encoder.encode_column(pa.array([], pa.string()))] == [[], []]
+        assert [x.tolist() for x in encoder.encode_column(pa.array([None, " "], pa.string()))] == [[], [0, 0]]
+
+
+def test_plain_words_of_a_column_are_encoded_together(tokenizer, tokenizer_path, monkeypatch):
+    called = []
+    monkeypatch.setattr(TextEncoder, "_word", lambda self, word: called.append(word) or b"")
+    ids, sizes = TextEncoder(read_tokenizer(tokenizer_path)).encode_column(pa.array(["It's 12,5 Été!", "été it's", "日 日"]))
+    assert called == ["日"]
+    assert ids.tolist() == ids_of(tokenizer, "It's 12,5 Été! été it's") and sizes[2] == 0
+
+
+def test_a_vocabulary_whose_entries_are_not_their_own_encoding_goes_word_by_word(tokenizer_path):
+    spec = json.loads(read_tokenizer(tokenizer_path))
+    vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    last = max(vocabulary.values())
+    vocabulary["h~"], vocabulary["th~"] = last + 1, last + 2
+    shape = list if isinstance(merges[0], list) else " ".join
+    spec["model"]["merges"] = [*merges, shape(["h", "~"]), shape(["t", "h~"])]  # "th" is merged first: "t" never meets "h~"
+    spec["added_tokens"] = []
+    assert last + 1 == 512 + len(merges)
+    assert TextEncoder(json.dumps(spec))._joined is None
+
+
 def test_segment_tree_takes_the_leftmost_lowest_rank(tokenizer_path):
     own = bpe.WordBpe(read_tokenizer(tokenizer_path))
     rank = {int(k): int(r) for k, r in zip(own._keys, own._ranks)}
