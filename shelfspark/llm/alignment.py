@@ -9,6 +9,13 @@ the other list are the range of tokens that it overlaps; these are its links.
 Texts are aligned many at a time: their ends, laid one after another, are again
 two ascending lists, and a text's last end is common to both.
 
+Where neither tokenizer joins bytes across the start of white space (a byte-level
+file with the common pattern; a byte-pair file without normaliser, whose pieces
+have spaces at their start only), texts are cut there into words with the space
+before them, and such a word's last end is common to both, too.  Each different
+word of many texts is encoded and aligned once; a text's tokens, groups and links
+are those of its words, one after another.  With other files a text is one word.
+
 Counts of linked id pairs over the corpus are added up per task, then over a
 shuffle, and read back by a join on the pair: a broadcast one where the counted
 pairs are at most ``broadcast_pairs`` rows, else a shuffled one, whose hot pairs
@@ -29,17 +36,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import stored, worker_cache
+from shelfspark.llm.common import gathered, joined_text, slices_by_bytes, stored, worker_cache
 
 #: Rows of the pair counts that may be broadcast: 24 bytes each, about 100 MB in an executor with its hash table.
 BROADCAST_PAIRS = 1 << 21
 #: The pattern by which the public byte-level vocabulary cuts texts (a fixed value).
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_TEXT_BYTES = 1 << 20
+_TEXT_BYTES = 2 << 20
+_ENCODED_BYTES = 32 << 10
+_LONG_WORD = 4000
 _COARSE = 64
+#: White space by Unicode and U+001C..U+001F: a superset of what either tokenizer takes for it.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+#: Texts that ``split(" ")`` would cut inside a run of white space, and where to cut these.
+_RUNS = f"^{_WHITE}| {_WHITE}| $"
+_CUT = re.compile(r"(?<=\S) (?=\s*\S)")
 
 
 # ---------------------------------------------------------------- tokenizers
@@ -82,6 +97,7 @@ class ByteLevel:
 
             ranks = {p: i for i, p in enumerate(self.pieces) if p}
             self._ranks = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.by_word = self._ranks is not None
 
     def encode(self, text: str) -> list[int]:
         if self._ranks is None or self._RUN.search(text):
@@ -110,11 +126,29 @@ class Pieces:
             piece = self._model.id_to_piece(i)
             self.pieces.append(bytes([int(piece[3:5], 16)]) if self._model.is_byte(i)
                                else piece.replace("▁", " ").encode("utf-8"))
+        self.by_word = _spaces_at_start(model, self._model)
 
     def encode(self, text: str) -> list[int]:
         return self._model.encode(text, num_threads=1)
 
 
+def _spaces_at_start(source: bytes, model) -> bool:
+    """Whether a sentencepiece file's tokens never reach from a character into a space after it."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:
+        return False
+    spec = sentencepiece_model_pb2.ModelProto.FromString(source)
+    normalizer, trainer = spec.normalizer_spec, spec.trainer_spec
+    plain = (normalizer.add_dummy_prefix and normalizer.escape_whitespaces and not normalizer.remove_extra_whitespaces
+             and not normalizer.precompiled_charsmap and not trainer.treat_whitespace_as_suffix)
+    kinds = {p.type for p in spec.pieces}
+    odd = {spec.pieces[0].USER_DEFINED, spec.pieces[0].UNUSED}
+    return (plain and trainer.model_type == trainer.BPE and trainer.byte_fallback and not kinds & odd
+            and sum(model.is_byte(i) for i in range(len(spec.pieces))) == 256
+            and not any(re.search("[^▁]▁", p.piece) for p in spec.pieces))
+
+
 # ---------------------------------------------------------------- alignment
 
 
@@ -175,8 +209,9 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return link_short, link_long, group_short, group_long
 
 
-def _group_text(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, names: dict) -> bytes:
-    """``a1,a2|b1;a3|b2,b3`` of the groups of one text."""
+def _group_texts(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, to_a: np.ndarray,
+                 to_b: np.ndarray, names: pa.Array, lengths: np.ndarray) -> pa.Array:
+    """``a1,a2|b1;a3|b2,b3;`` of each word's groups; a word's tokens end before ``to_a`` and ``to_b``."""
     last_a, last_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
     last_a[group_a - 1] = True
     last_b[group_b - 1] = True
@@ -186,13 +221,26 @@ def _group_text(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.n
     before_b = np.repeat(group_a, sizes_b)
     codes[np.arange(len(a)) + before_a] = 3 * a + last_a
     codes[np.arange(len(b)) + before_b] = 3 * b + 2 * last_b
-    named = names["of"]
-    return "".join([named[c] for c in codes.tolist()])[:-1].encode()
+    text = names.take(pa.array(codes))
+    ends = np.concatenate([[0], np.cumsum(lengths[codes])])[np.concatenate([[0], to_a + to_b])]
+    return pa.Array.from_buffers(pa.large_binary(), len(to_a), [None, pa.py_buffer(ends), text.buffers()[2]])
+
+
+def _names(size: int) -> tuple[pa.Array, np.ndarray]:
+    """``id,`` ``id|`` and ``id;`` at 3 * id + 0, 1 and 2, and their lengths."""
+    names = pa.array([f"{i}{sign}" for i in range(size) for sign in ",|;"], pa.large_string())
+    return names, pc.binary_length(names).to_numpy()
 
 
-def _names(size: int) -> dict:
-    """``id,`` ``id|`` and ``id;`` at 3 * id + 0, 1 and 2."""
-    return {"of": [f"{i}{sign}" for i in range(size) for sign in ",|;"]}
+def words_of(texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+    """Each text's words without the space before them, and the texts' places in the order given out."""
+    odd = pc.match_substring_regex(texts, _RUNS)
+    words, places = pc.split_pattern(texts, " "), np.arange(len(texts))
+    if not pc.any(odd).as_py():
+        return words, places
+    cut = pa.array([_CUT.split(t) for t in texts.filter(odd).to_pylist()], words.type)
+    odd = odd.to_numpy(zero_copy_only=False)
+    return pa.concat_arrays([words.filter(pa.array(~odd)), cut]), np.concatenate([places[~odd], places[odd]])
 
 
 # ---------------------------------------------------------------- operator
@@ -201,73 +249,115 @@ def _names(size: int) -> dict:
 _ROW = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 
-def align_documents(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
-    """One row per document: counts, the groups' digest, and its distinct linked id pairs (a << 32 | b) with their times."""
-    context = docs.sparkSession.sparkContext
-    with open(byte_file, encoding="utf-8") as f:
-        byte_source = f.read()
-    with open(piece_file, "rb") as f:
-        piece_source = f.read()
-    held = context.broadcast((byte_source, piece_source))  # two tokenizer files of a few MB
-    key = ("alignment", hashlib.sha1(byte_source.encode()).hexdigest(), hashlib.sha1(piece_source).hexdigest())
-
-    def tokenizers():
-        cache = worker_cache()
-        if key not in cache:
-            a, b = ByteLevel(held.value[0]), Pieces(held.value[1])
-            sizes = [np.array([len(p) for p in t.pieces], dtype=np.int64) for t in (a, b)]
-            cache[key] = a, b, *sizes, _names(max(len(a.pieces), len(b.pieces)))
-        return cache[key]
+def aligner(byte_source: str, piece_source: bytes):
+    """A function of doc ids and texts that gives their rows."""
+    a, b = ByteLevel(byte_source), Pieces(piece_source)
+    size_a, size_b = (np.array([len(p) for p in t.pieces], dtype=np.int64) for t in (a, b))
+    names = _names(max(len(a.pieces), len(b.pieces)))
+    by_word = a.by_word and b.by_word
 
-    def encoded(text: str | None, a, b):
+    def encoded(text: str):
+        """Ids of space + text by both, or none."""
         if not text:
             return [], []
         whole = (" " + text).encode("utf-8", "surrogatepass")
         ids_a, ids_b = a.encode(" " + text), b.encode(text)
-        if b"".join([a.pieces[i] for i in ids_a]) != whole or b"".join([b.pieces[i] for i in ids_b]) != whole:
+        if b"".join(map(a.pieces.__getitem__, ids_a)) != whole or b"".join(map(b.pieces.__getitem__, ids_b)) != whole:
             return [], []
         return ids_a, ids_b
 
-    def aligned(ids: list, texts: list, tools) -> pa.RecordBatch:
-        a, b, size_a, size_b, names = tools
-        both = [encoded(t, a, b) for t in texts]
-        n_a, n_b = (np.array([len(x[k]) for x in both], dtype=np.int64) for k in (0, 1))
-        all_a, all_b = (np.array([i for x in both for i in x[k]], dtype=np.int64) for k in (0, 1))
+    def together(words: pa.Array) -> tuple:
+        """(ids, ids, counts, counts) of words that are encoded as one text; one by one where that has no tokens."""
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        ids = [np.array(x, dtype=np.int64) for x in encoded(joined_text(words, " "))]
+        if len(ids[0]):
+            of = [np.cumsum(size[x]) for size, x in zip((size_a, size_b), ids)]
+            to = [np.searchsorted(x, ends) for x in of]
+            if all((x[i] == ends).all() for x, i in zip(of, to)):
+                return *ids, *(np.diff(i + 1, prepend=0) for i in to)
+        return one_by_one(words)
+
+    def one_by_one(words: pa.Array) -> tuple:
+        both = [encoded(w) for w in words.to_pylist()]
+        return (*(np.array([i for x in both for i in x[k]], dtype=np.int64) for k in (0, 1)),
+                *(np.array([len(x[k]) for x in both], dtype=np.int64) for k in (0, 1)))
+
+    def aligned(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        words, places = words_of(texts) if by_word else (
+            pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), texts), np.arange(len(texts)))
+        coded, n_words = words.flatten().dictionary_encode(), np.diff(words.offsets.to_numpy())
+        different, word = coded.dictionary, coded.indices.to_numpy()
+
+        # words in runs of white space and long ones are encoded alone, the others many at a time
+        alone = pc.or_(pc.match_substring_regex(different, f"^({_WHITE}|$)"),
+                       pc.greater_equal(pc.binary_length(different), _LONG_WORD)) if by_word else pa.array([True] * len(different))
+        others = different.filter(pc.invert(alone))
+        parts = [together(others.slice(lo, n)) for lo, n in slices_by_bytes(others, _ENCODED_BYTES)]
+        parts.append(one_by_one(different.filter(alone)))
+        all_a, all_b, n_a, n_b = (np.concatenate(x) for x in zip(*parts))
+        alone = alone.to_numpy(zero_copy_only=False)
+        order = np.empty(len(different), dtype=np.int64)
+        order[np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])] = np.arange(len(different))
+        word = order[word]
+
+        # tokens, links and groups of the different words
         link_a, link_b, group_a, group_b = align(np.cumsum(size_a[all_a]), np.cumsum(size_b[all_b]))
-        pairs = all_a[link_a] << 32 | all_b[link_b]
         to_a, to_b = np.cumsum(n_a), np.cumsum(n_b)
         to_link, to_group = np.searchsorted(link_a, to_a), np.searchsorted(group_a, to_a, side="right")
-        rows, lo = [], (0, 0, 0, 0)
-        for i, hi in enumerate(zip(to_a.tolist(), to_b.tolist(), to_link.tolist(), to_group.tolist())):
-            if n_a[i]:
-                text = _group_text(all_a[lo[0]:hi[0]], all_b[lo[1]:hi[1]], group_a[lo[3]:hi[3]] - lo[0],
-                                   group_b[lo[3]:hi[3]] - lo[1], names)
-                rows.append((hi[3] - lo[3], hi[2] - lo[2], hashlib.sha256(text).hexdigest(),
-                             *np.unique(pairs[lo[2]:hi[2]], return_counts=True)))
-            else:
-                rows.append((0, 0, "", pairs[:0], pairs[:0]))
-            lo = hi
-        groups, links, digests, distinct, times = zip(*rows)
+        n_links, n_groups = np.diff(to_link, prepend=0), np.diff(to_group, prepend=0)
+        group_text = _group_texts(all_a, all_b, group_a, group_b, to_a, to_b, *names)
+        pairs, code = np.unique(all_a[link_a] << 32 | all_b[link_b], return_inverse=True)
+
+        # texts: a word without tokens leaves its text without
+        of = np.repeat(np.arange(len(texts)), n_words)
+        broken = np.zeros(len(texts), dtype=bool)
+        broken[of[n_a[word] == 0]] = True
+        kept = ~broken[of]
+        of, word, n_words = of[kept], word[kept], np.where(broken, 0, n_words)
+        to_word = np.concatenate([[0], np.cumsum(n_words)])
+
+        def per_text(counts: np.ndarray) -> np.ndarray:
+            return np.diff(np.concatenate([[0], np.cumsum(counts[word])])[to_word])
+
+        links = n_links[word]
+        every = code[gathered((to_link - n_links)[word], links)] + np.repeat(of * max(1, len(pairs)), links)
+        every, times = np.unique(every, return_counts=True)
+        to_pair = np.searchsorted(every, np.arange(len(texts) + 1) * max(1, len(pairs))).astype(np.int32)
+        text = group_text.take(pa.array(word))
+        ends = np.frombuffer(text.buffers()[1], dtype=np.int64)[:len(word) + 1][to_word].tolist()
+        view = memoryview(text.buffers()[2] or b"")
+        digests = [hashlib.sha256(view[lo:hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip(ends[:-1], ends[1:])]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(n_a), pa.array(n_b), pa.array(groups, pa.int64()),
-             pa.array(links, pa.int64()), pa.array(digests, pa.string()), pa.array(distinct, pa.list_(pa.int64())),
-             pa.array([t.astype(np.int32) for t in times], pa.list_(pa.int32()))],
+            [ids.take(pa.array(places)), pa.array(per_text(n_a)), pa.array(per_text(n_b)), pa.array(per_text(n_groups)),
+             pa.array(per_text(n_links)), pa.array(digests, pa.string()),
+             pa.ListArray.from_arrays(pa.array(to_pair), pa.array(pairs[every % max(1, len(pairs))])),
+             pa.ListArray.from_arrays(pa.array(to_pair), pa.array(times.astype(np.int32)))],
             names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
+    return aligned
+
+
+def align_documents(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
+    """One row per document: counts, the groups' digest, and its distinct linked id pairs (a << 32 | b) with their times."""
+    context = docs.sparkSession.sparkContext
+    with open(byte_file, encoding="utf-8") as f:
+        byte_source = f.read()
+    with open(piece_file, "rb") as f:
+        piece_source = f.read()
+    held = context.broadcast((byte_source, piece_source))  # two tokenizer files of a few MB
+    key = ("alignment", hashlib.sha1(byte_source.encode()).hexdigest(), hashlib.sha1(piece_source).hexdigest())
+
+    def tools():
+        cache = worker_cache()
+        if key not in cache:
+            cache[key] = aligner(*held.value)
+        return cache[key]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = None
         for batch in batches:
-            tools = tools or tokenizers()
-            ids, texts, size = [], [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(i)
-                texts.append(text.as_py())
-                size += len(texts[-1] or "")
-                if size >= _TEXT_BYTES:
-                    yield aligned(ids, texts, tools)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield aligned(ids, texts, tools)
+            texts = pc.fill_null(batch.column(1), "")
+            for lo, n in slices_by_bytes(texts, _TEXT_BYTES):
+                yield tools()(batch.column(0).slice(lo, n), texts.slice(lo, n))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, _ROW)

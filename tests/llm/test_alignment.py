@@ -5,6 +5,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from shelfspark.llm import alignment
@@ -96,6 +98,35 @@ def test_the_query_equals_the_plain_version(spark, sf_dir, tools):
     assert sum(r[4] for r in got) == sum(r[1] + r[2] - r[3] for r in got)
 
 
+def test_white_space_and_repeated_words_equal_the_plain_version(spark, tools, monkeypatch):
+    rnd = random.Random(9)
+    parts = list("abc it's,.!0\n\t\x0b\x1c\x85\xa0\u3000éñ日😀-") + [" "] * 6 + ["  ", " \n", "\n ", " \u2581", "the ", "the ", "\r"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 40))) for _ in range(300)]
+    texts += [" ", "  ", "\n", " a", "a ", "a  ", "the \x1c", "the " * 3000, "x" * 5000 + " the", "the " + " " * 5000 + "q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(alignment, "_ENCODED_BYTES", 100)
+    monkeypatch.setattr(alignment, "_TEXT_BYTES", 2000)
+    assert rows_of(alignment.cross_tokenizer_links(docs, BYTE_FILE, PIECE_FILE)) == plain_result(enumerate(texts), tools)
+
+
+def test_files_that_join_across_white_space_get_whole_texts(spark, tools, monkeypatch):
+    monkeypatch.setattr(alignment, "_spaces_at_start", lambda source, model: False)
+    texts = [(i, t) for i, t in enumerate([*BROKEN, "the cat  the\n the cat", None, ""])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows_of(alignment.cross_tokenizer_links(docs, BYTE_FILE, PIECE_FILE)) == plain_result(texts, tools)
+
+
+def test_a_repeated_word_is_encoded_once(monkeypatch):
+    sent = []
+    encode = alignment.Pieces.encode
+    monkeypatch.setattr(alignment.Pieces, "encode", lambda self, text: sent.append(text) or encode(self, text))
+    aligner = alignment.aligner(open(BYTE_FILE, encoding="utf-8").read(), open(PIECE_FILE, "rb").read())
+    texts = pa.array(["the cat", "the dog the", "cat the"] * 100)
+    got = aligner(pa.array(range(300)), texts)
+    assert sorted(" ".join(sent).split()) == ["cat", "dog", "the"]
+    assert got.num_rows == 300 and pc.min(got["n_b"]).as_py() > 1
+
+
 def test_no_documents(no_docs):
     assert alignment.cross_tokenizer_links(no_docs, BYTE_FILE, PIECE_FILE).collect() == []
 
