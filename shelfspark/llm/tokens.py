@@ -13,7 +13,7 @@ words' numbers.  Plain words go through tiktoken together, with a NUL for the
 end of a word: its merges are ranked by the bytes they make, which gives the
 library's ids where every entry of the vocabulary is encoded as itself (then
 no other pair of neighbours makes an entry's bytes before its own merge does);
-this is checked when a file is loaded, and other files go word by word.
+this is checked once per worker, and other files go word by word.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +89,11 @@ class TextEncoder:
         self._letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self._pieces = Remembered(self._piece, cache_words // 2)
         self._words = Remembered(self._word, cache_words)
-        self._joined = _joined_pieces(json.loads(tokenizer_json), self._model)
+        self._source = tokenizer_json
+
+    @cached_property
+    def _joined(self):
+        return _joined_pieces(json.loads(self._source), self._model)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids; null gives none."""
