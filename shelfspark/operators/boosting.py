@@ -2,7 +2,8 @@
 
 1. every feature gets at most ``max_bins`` bins by exact quantiles, and a bin of its
    own for null and NaN; bins, label, row hash and the prediction so far are written
-   once to the shared folder, a byte per feature;
+   once to the shared folder, a byte per feature and ``_BLOCK`` rows in one stored row,
+   so that a pass hands blocks to its tasks and not row after row;
 2. a pass adds up, per open leaf, feature and bin, the rows and their residuals: a
    dense histogram in each task, then one hash aggregate.  Only the smaller child of
    a split is counted, the other one is the parent less it;
@@ -30,10 +31,12 @@ import math
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +50,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MISSING = 255  # the bin of null and NaN
 WIDTH = MISSING + 1
 _ROWS = 1 << 14  # rows a histogram step adds at once: their fixed-point sums are exact in a double
+_BLOCK = 128  # rows of a stored row; a reader's batch of 4096 such rows stays below 20 MB
 
 
 @dataclass(frozen=True)
@@ -102,16 +106,20 @@ class Tree:
 
 def leaf_of(tree: Tree, bins: np.ndarray) -> np.ndarray:
     """The node in which each row of ``bins`` (rows x features) ends."""
-    feature, cut, left, right = (np.asarray(x) for x in (tree.feature, tree.bin, tree.left, tree.right))
-    missing_left = np.asarray(tree.missing_left)
-    at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    while True:
-        inner = left[at] >= 0
-        if not inner.any():
-            return at
-        b = bins[rows, feature[at]]
-        go_left = np.where(b == MISSING, missing_left[at], b <= cut[at])
-        at = np.where(inner, np.where(go_left, left[at], right[at]), at)
+    feature, cut, left, right = (np.asarray(x, np.int64) for x in (tree.feature, tree.bin, tree.left, tree.right))
+    depth = np.zeros(len(left), np.int64)
+    for node in np.flatnonzero(left >= 0).tolist():  # children come after their parents
+        depth[[left[node], right[node]]] = depth[node] + 1
+    goes_left = np.arange(WIDTH) <= cut[:, None]
+    goes_left[:, MISSING] = tree.missing_left
+    following = np.where(goes_left, left[:, None], right[:, None])  # the next node by node and bin
+    stays = left < 0
+    following[stays] = np.flatnonzero(stays)[:, None]
+    flat, following = np.ascontiguousarray(bins).ravel(), following.ravel()
+    first, at = np.arange(len(bins)) * bins.shape[1], np.zeros(len(bins), np.int64)
+    for _ in range(depth.max()):
+        at = following[at * WIDTH + flat[first + feature[at]]]
+    return at
 
 
 def bins_of(x: np.ndarray, edges: Sequence[Sequence[float]]) -> np.ndarray:
@@ -214,45 +222,62 @@ class _Scale:
         return cls(bound, unit(bound), unit(bound * bound))
 
 
-def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch["bins"].to_pylist()), np.uint8).reshape(-1, width)
+def _flat(blocks: pa.Array, kind: type) -> np.ndarray:
+    """The values of the rows of blocks that follow each other, without a copy."""
+    if not len(blocks):
+        return np.empty(0, kind)
+    ends = np.frombuffer(blocks.buffers()[1], np.int64 if pa.types.is_large_binary(blocks.type) else np.int32)
+    lo, hi = int(ends[blocks.offset]), int(ends[blocks.offset + len(blocks)])
+    return np.frombuffer(blocks.buffers()[2], np.uint8, hi - lo, lo).view(kind)
+
+
+def _blocks_of(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The rows of ``values`` between the ``cuts`` as binary values."""
+    values = np.ascontiguousarray(values)
+    ends = (cuts * (values.nbytes // len(values))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
+def _start(batch: pa.RecordBatch, model: BoostedModel, rows: int) -> np.ndarray:
+    """The stored predictions, the model's base where there are none yet."""
+    return np.full(rows, model.base) if batch["prediction"].null_count else _flat(batch["prediction"], np.float64)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, _ROWS):
-            yield batch.slice(at, _ROWS)
+        for at in range(0, batch.num_rows, _ROWS // _BLOCK):
+            yield batch.slice(at, _ROWS // _BLOCK)
 
 
 def _histograms(data: DataFrame, model: BoostedModel, done: int, tree: Tree, targets: list[int], scale: _Scale,
-                number: int, with_error: bool) -> tuple[dict[int, np.ndarray], int]:
-    """Per target leaf (feature, bin, [rows, residual sum]) and the validation rows' summed squared error.
+                number: int, with_error: bool, drawn: list[int]) -> tuple[dict[int, np.ndarray], int]:
+    """Per target leaf (feature, bin, [rows, residual sum]), of the drawn features, and the validation rows' summed squared error.
 
     ``done`` trees are part of the stored prediction already.
     """
-    width, p = len(model.features), model.params
+    width, p, k = len(model.features), model.params, len(drawn)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = np.full(len(tree.left), -1)
         slot[targets] = np.arange(len(targets))
-        rows = np.zeros(len(targets) * width * WIDTH, np.int64)
+        rows = np.zeros(len(targets) * k * WIDTH, np.int64)
         sums, error = np.zeros_like(rows), 0
         for batch in _pieces(batches):
-            bins, y, held = _matrix(batch, width), batch["label"].to_numpy(), batch["held"].to_numpy(zero_copy_only=False)
-            so_far = batch["prediction"].to_numpy()
+            bins, y, held = _flat(batch["bins"], np.uint8).reshape(-1, width), _flat(batch["label"], np.float64), _flat(batch["held"], np.bool_)
+            so_far = _start(batch, model, len(y))
 
             def residual(at: np.ndarray) -> np.ndarray:
                 return y[at] - model.predict_bins(bins[at], so_far[at], done)
 
             if with_error and held.any():
                 error += int(np.rint(np.minimum(residual(held) ** 2, scale.bound**2) * scale.error_unit).astype(np.int64).sum())
-            seen = np.flatnonzero(~held & drawn_rows(batch["key"].to_numpy(), p.seed, number, p.subsample))
+            seen = np.flatnonzero(~held & drawn_rows(_flat(batch["key"], np.int64), p.seed, number, p.subsample))
             at = slot[leaf_of(tree, bins[seen])]
             seen, at = seen[at >= 0], at[at >= 0]  # only rows of the leaves asked for walk the trees so far
-            cell = ((at[:, None] * width + np.arange(width)) * WIDTH + bins[seen]).ravel()
+            cell = ((at[:, None] * k + np.arange(k)) * WIDTH + bins[seen][:, drawn]).ravel()
             g = np.rint(np.clip(residual(seen), -scale.bound, scale.bound) * scale.unit)
             rows += np.bincount(cell, minlength=len(rows))
-            sums += np.bincount(cell, np.repeat(g, width), minlength=len(rows)).astype(np.int64)
+            sums += np.bincount(cell, np.repeat(g, k), minlength=len(rows)).astype(np.int64)
         cells = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(cells, -1), pa.int64()), pa.array(np.append(rows[cells], 0), pa.int64()),
@@ -260,11 +285,11 @@ def _histograms(data: DataFrame, model: BoostedModel, done: int, tree: Tree, tar
 
     found = data.mapInArrow(count, "cell long, n long, g long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
     got = found.toPandas()  # at most leaves x features x bins rows
-    out, error = np.zeros((len(targets) * width * WIDTH, 2), np.int64), 0
+    counted, out = np.zeros((len(targets) * k * WIDTH, 2), np.int64), np.zeros((len(targets), width, WIDTH, 2), np.int64)
     own = got["cell"] >= 0
-    out[got["cell"][own]] = got.loc[own, ["n", "g"]].to_numpy()
-    error = int(got.loc[~own, "g"].sum())
-    return dict(zip(targets, out.reshape(len(targets), width, WIDTH, 2))), error
+    counted[got["cell"][own]] = got.loc[own, ["n", "g"]].to_numpy()
+    out[:, drawn] = counted.reshape(len(targets), k, WIDTH, 2)
+    return dict(zip(targets, out)), int(got.loc[~own, "g"].sum())
 
 
 @dataclass(order=True)
@@ -362,12 +387,49 @@ def _kept(chosen: list[_Leaf], unit: float, p: BoostParams) -> Tree:
 
 
 def _binned(df: DataFrame, features: Sequence[str], edges: list[list[float]], label: str, key: str, held: Column) -> DataFrame:
-    @F.pandas_udf("binary")
-    def pack(x: pd.DataFrame) -> pd.Series:
-        return pd.Series([row.tobytes() for row in bins_of(x.to_numpy(dtype=float, na_value=np.nan), edges)])
-    return df.select(pack(F.struct(*[F.col(f).cast("double").alias(f) for f in features])).alias("bins"),
-                     F.col(label).cast("double").alias("label"), F.xxhash64(F.col(key).cast("string")).alias("key"),
-                     held.alias("held"))
+    """A row's bins, label, hash and whether it is held back."""
+    width = len(features)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(width)])
+                each = np.arange(batch.num_rows + 1)
+                yield pa.RecordBatch.from_arrays([_blocks_of(bins_of(x, edges), each), *batch.columns[width:]],
+                                                 ["bins", "label", "key", "held"])
+
+    raw = df.select(*[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("label"),
+                    F.xxhash64(F.col(key).cast("string")).alias("key"), held.alias("held"))
+    return raw.mapInArrow(pack, "bins binary, label double, key long, held boolean")
+
+
+_TABLE = "bins binary, label binary, key binary, held binary, n long, m long, lo double, hi double, s decimal(38,12)"
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Binned rows, ``_BLOCK`` to a stored row, with the numbers of rows to fit and held back, the labels' range and sum."""
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.arange(0, batch.num_rows, _BLOCK)
+            cuts = np.append(starts, batch.num_rows)
+            y, held = batch["label"].to_numpy(zero_copy_only=False), batch["held"].to_numpy(zero_copy_only=False).astype(np.bool_)
+            key = batch["key"].to_numpy(zero_copy_only=False)
+            m = np.add.reduceat(held.astype(np.int64), starts)
+            total = [Decimal(0)] * len(starts)
+            with localcontext(prec=76):
+                for x, times in zip(*(v.tolist() for v in np.unique(y[~held], return_counts=True))):
+                    if abs(x) < 1e25:  # as decimal(38,12)
+                        total[0] += Decimal(repr(x)).quantize(Decimal("1e-12"), ROUND_HALF_UP) * times
+            yield pa.RecordBatch.from_arrays(
+                [_blocks_of(_flat(batch["bins"], np.uint8).reshape(batch.num_rows, -1), cuts), _blocks_of(y, cuts), _blocks_of(key, cuts),
+                 _blocks_of(held, cuts), pa.array(np.diff(cuts) - m), pa.array(m), pa.array(np.minimum.reduceat(y, starts)),
+                 pa.array(np.maximum.reduceat(y, starts)), pa.array(total, pa.decimal128(38, 12))],
+                ["bins", "label", "key", "held", "n", "m", "lo", "hi", "s"])
+
+    return rows.mapInArrow(block, _TABLE)
 
 
 def fit_boosted(df: DataFrame, features: Sequence[str], label: str, key: str, validation: str | None = None,
@@ -390,12 +452,12 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, key: str, va
         return spark.read.parquet(path)
 
     # dealt by key: every pass reads this table, so its tasks must not be as few as the files of the input
-    data = written(_binned(df, features, edges, label, key, held).repartition("key"), tables[0])
-    stats = data.agg(F.count_if(~F.col("held")).alias("n"), F.count_if("held").alias("m"), F.min("label").alias("lo"),
-                     F.max("label").alias("hi"), F.sum(F.when(~F.col("held"), F.col("label").cast("decimal(38,12)"))).alias("s")).first()
+    data = written(_in_blocks(_binned(df, features, edges, label, key, held).repartition("key")), tables[0])
+    stats = data.agg(*[F.sum(c).alias(c) for c in ("n", "m", "s")], F.min("lo").alias("lo"), F.max("hi").alias("hi")).first().asDict()
+    stats = {c: x or 0 for c, x in stats.items()}
     model = BoostedModel(features, edges, float(stats["s"] / stats["n"]) if stats["n"] else 0.0, p)
-    scale = _Scale.of(max(stats["n"], stats["m"], 1), (stats["hi"] or 0.0) - (stats["lo"] or 0.0))
-    rows, done, root = data.withColumn("prediction", F.lit(model.base)), 0, Tree()
+    scale = _Scale.of(max(stats["n"], stats["m"], 1), float(stats["hi"] - stats["lo"]))
+    rows, done, root = data.select("bins", "label", "key", "held", F.lit(None).cast("binary").alias("prediction")), 0, Tree()
     root.add()
     best = 0  # trees at the lowest error
     while stats["n"]:
@@ -404,7 +466,8 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, key: str, va
             tables.append(shared_dir(spark, "boosting", "rows", unique=True))
             rows, done = written(_with_predictions(rows, model, done), tables[-1]), number
             delete_path(spark, tables.pop(0))
-        found, error = _histograms(rows, model, done, root, [0], scale, number, bool(stats["m"]))
+        drawn = drawn_features(len(features), p.seed, number, p.colsample)
+        found, error = _histograms(rows, model, done, root, [0], scale, number, bool(stats["m"]), drawn)
         if number and stats["m"]:
             model.errors.append(error / scale.error_unit / stats["m"])
             if model.errors[-1] < model.errors[best - 1] or best == 0:
@@ -413,8 +476,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, key: str, va
                 break
         if number == p.rounds:
             break
-        drawn = drawn_features(len(features), p.seed, number, p.colsample)
-        tree = _grow(lambda t, leaves: _histograms(rows, model, done, t, leaves, scale, number, False)[0],
+        tree = _grow(lambda t, leaves: _histograms(rows, model, done, t, leaves, scale, number, False, drawn)[0],
                      found[0], drawn, scale.unit, p)
         if tree is None:
             break
@@ -431,9 +493,10 @@ def _with_predictions(rows: DataFrame, model: BoostedModel, done: int) -> DataFr
     width = len(model.features)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                new = model.predict_bins(_matrix(batch, width), batch["prediction"].to_numpy(), done)
-                yield batch.set_column(batch.schema.get_field_index("prediction"), "prediction", pa.array(new))
+        for batch in _pieces(batches):
+            bins = _flat(batch["bins"], np.uint8).reshape(-1, width)
+            new = model.predict_bins(bins, _start(batch, model, len(bins)), done)
+            cuts = np.append(0, np.cumsum(pc.binary_length(batch["held"]).to_numpy()))
+            yield batch.set_column(batch.schema.get_field_index("prediction"), "prediction", _blocks_of(new, cuts))
 
     return rows.mapInArrow(add, rows.schema)

@@ -153,7 +153,7 @@ def get_boosted(spark, sf_dir):
     df = M.train_test_split(model_frame(spark, sf_dir)).select(
         "row_id", "split", M.TARGET, *CATEGORICAL_FEATURES, *NUMERIC_FEATURES)
     df = materialized(df.repartition("row_id"), "split_rows")  # read by every step of the fit, the texts are not
-    prep = M.fit_features(df.where("split = 'train'"))
+    prep = M.fit_features(df.where("split = 'train'"), written=True)
     rows = M.transform_features(df, prep)
     used = rows.select("row_id", "split", M.TARGET, *prep.feature_names)
     path = shared_dir(spark, "boosted", content_key(used))
