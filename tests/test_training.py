@@ -60,3 +60,22 @@ def test_split_rows_are_not_stored_again_for_their_quantiles(spark, monkeypatch)
     monkeypatch.setattr(Q, "materialized", lambda d, name: stored.append(name) or d)
     prep = M.fit_features(df, ["main_category"], ["x", "z"], written=True)
     assert stored == [] and prep.medians == {"x": 19.5, "z": 2.0}
+
+
+def test_contributions_are_sorted_in_their_batch(spark):
+    from shelfspark.operators import explain as X
+    names = ["b", "a", "z", "Ä", "c"]
+    rng = np.random.default_rng(2)
+    phi = np.round(rng.normal(size=(300, 5)), 1)
+    phi[5], phi[6, 2], phi[7] = 0.0, np.nan, [-0.0, 0.0, 1.0, -1.0, np.nan]
+    df = spark.createDataFrame([(i, [(n, float(v)) for n, v in zip(names, row)]) for i, row in enumerate(phi)],
+                               "i int, c array<struct<feature_name:string,shap_value:double>>")
+    want = {r["i"]: [x["feature_name"] for x in r["s"]] for r in df.select("i", X.sort_contributions(F.col("c")).alias("s")).collect()}
+    got = X.sort_contributions(phi, names)
+    assert {i: [names[j] for j in row] for i, row in enumerate(got.tolist())} == want
+
+
+def test_local_contributions_need_no_sort_per_row(spark, sf_small):
+    import __spark_entry__ as E
+    plan = E.queries()["sort_contributions"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan and "array_sort" not in plan
